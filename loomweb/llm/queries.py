@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from .common import table
+from pyspark.sql import functions as F
+
+from .common import fold, table
+from .embed_dedup import vector_components
 from .ngram_join import ngram_components
+from .quality import score_quality
+from .toxicity import score_toxicity
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -17,6 +22,23 @@ def query(name: str):
     return put
 
 
+@query("op1_toxicity")
+def op1(spark, sf_dir):
+    out = score_toxicity(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"), threshold=0.7)
+    return out.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), F.col("toxicity").alias("score"), F.col("toxic").alias("predicted"), "toxic_weight")
+
+
 @query("op4_ngram_jaccard_join")
 def op4(spark, sf_dir):
     return ngram_components(table(spark, sf_dir, "documents"), k=4, similarity="0.85")
+
+
+@query("op9_quality_rules")
+def op9(spark, sf_dir):
+    out = score_quality(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"), threshold=0.3)
+    return out.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), F.col("quality_score").alias("score"), F.col("good").alias("predicted"))
+
+
+@query("op10_embedding_near_dedup")
+def op10(spark, sf_dir):
+    return vector_components(table(spark, sf_dir, "embeddings"), threshold=0.98)

@@ -12,14 +12,17 @@ least T = ceil(J * a) hashes, whichever of the two is a. The search runs in thes
     merged, since a partner that is in them alone can't reach t. What is left are its p shortest lists, and those with
     no other document fall away too. A document that has none left has no partner.
 4.  Each short list links its members to its first one; such pairs are checked and components formed, which closes
-    groups of near copies in a number of checks that is linear in their size. For what then still spans several
-    components, the short lists are merged with a heap for each document, and every candidate in another component is
-    checked. The check probes by binary search the larger set for all hashes of the smaller, long lists included.
+    groups of near copies in a number of checks that is linear in their size. The check probes by binary search the
+    larger set for all hashes of the smaller.
+5.  What then still spans several components is cut into pairs of chunks of documents of similar size. A task builds
+    the chunk's inverted lists and runs DivideSkip for each document of the other: it merges the short lists, probes
+    the long ones, and retains the documents in other components that reach the overlap.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 from fractions import Fraction
 
 import numpy as np
@@ -34,8 +37,8 @@ from .common import Scratch, connected_components
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 #: Documents of up to so many shingles are listed in full.
 FULL = 320
-#: Members of a list segment that meet in one merge.
-SEGMENT = 1024
+#: Documents of a chunk; share of long lists (the weight in DivideSkip's rule); ids that are broadcast at most (16 MB).
+CHUNK, MU, BROADCAST_IDS = 64, 0.01, 1_000_000
 
 
 class Words(dict):
@@ -49,7 +52,7 @@ class Words(dict):
 
 
 def shingle_set(text: bytes | None, k: int, words: Words) -> np.ndarray:
-    """The sorted distinct signed 64-bit hashes of the k-word shingles; of all words as one if there are fewer."""
+    """The sorted distinct hashes (63 bits, the last bit 0) of the k-word shingles; of all words as one if there are fewer."""
     found = text.lower().split() if text else []  # bytes: A-Z alone are folded, and the six ASCII white spaces split
     if not found:
         return np.empty(0, np.int64)
@@ -60,7 +63,7 @@ def shingle_set(text: bytes | None, k: int, words: Words) -> np.ndarray:
         h = (h ^ (h >> np.uint64(29))) * M1 + w[j : len(w) - k + 1 + j]
     h = (h ^ (h >> np.uint64(32))) * M2
     h = h ^ (h >> np.uint64(31))
-    return np.unique(h.view(np.int64))
+    return np.unique(h.view(np.int64) & ~np.int64(1))
 
 
 def need(n: int, num: int, den: int) -> int:
@@ -130,6 +133,51 @@ def divide_skip(lists: list[list[int]], t: int) -> list[tuple[int, int]]:
     return out
 
 
+def overlapping(sets: list[np.ndarray], queries: list[np.ndarray], num: int, den: int, skip=None) -> list[tuple[int, int]]:
+    """All (query, set) with a Jaccard similarity of num / den or more, by DivideSkip over the sets' inverted lists.
+
+    skip(query, sets) may tell by a boolean array which sets need no look.
+    """
+    if not sets or not queries:
+        return []
+    sizes = np.array([len(s) for s in sets])
+    tokens = np.concatenate(sets)
+    order = np.argsort(tokens, kind="stable")
+    members = np.repeat(np.arange(len(sets)), sizes)[order]
+    keys, starts = np.unique(tokens[order], return_index=True)
+    ends = np.append(starts[1:], len(tokens))
+    out = []
+    for q, s in enumerate(queries):
+        n = len(s)
+        open_ = (sizes * den >= n * num) & (n * den >= sizes * num)
+        if skip is not None:
+            open_ &= ~skip(q)
+        if not n or not open_.any():
+            continue
+        t = need(n, num, den)
+        at = np.searchsorted(keys, s)
+        at[at == len(keys)] = 0
+        hit = np.flatnonzero(keys[at] == s)
+        if len(hit) < t:
+            continue
+        length = (ends - starts)[at[hit]]
+        hit = hit[np.argsort(length, kind="stable")]
+        skipped = min(t - 1, int(t / (MU * np.log(max(2, length.max())) + 1)))
+        short, long = at[hit[: len(hit) - skipped]], s[np.sort(hit[len(hit) - skipped :])]
+        lists = [members[starts[i] : ends[i]] for i in short]
+        if sum(map(len, lists)) <= 2000:
+            seen = np.zeros(len(sets), np.int64)
+            for x, c in merge_short([x.tolist() for x in lists]):
+                seen[x] = c
+        else:  # as the heap, for many members
+            seen = np.bincount(np.concatenate(lists), minlength=len(sets))
+        for x in np.flatnonzero((seen >= t - skipped) & open_):
+            both = int(seen[x]) + probe(long, sets[x])
+            if den * both >= num * (n + int(sizes[x]) - both):
+                out.append((q, int(x)))
+    return out
+
+
 def ngram_components(docs: DataFrame, k: int = 5, similarity: str | float = "0.8") -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs (doc_id, text, any other columns).
 
@@ -143,77 +191,67 @@ def ngram_components(docs: DataFrame, k: int = 5, similarity: str | float = "0.8
     num, den = j.numerator, j.denominator
     share = min(1.0, 2.2 * (1 - num / den) + 0.005)
     cut = int(-(2**63) + share * 2**64) if share < 1 else 2**63 - 1
-
-    def measure(s: np.ndarray):
-        n = len(s)
-        weak = n > 0 and int(np.searchsorted(s, cut)) < n - need(n, num, den) + 1
-        return n, xxhash.xxh3_128_digest(s.tobytes()) if n else None, n if weak else 0
-
-    base = scratch.keep(_sets(docs, k, "doc_id bigint, n int, digest binary, weak int", measure), "sizes")
-    classes = scratch.keep(base.where("n > 0 and doc_id is not null").groupBy("n", "digest").agg(F.min("doc_id").alias("rep"), F.max("weak").alias("weak")), "classes")
-    most_weak = classes.agg(F.max("weak")).first()[0] or 0
-    #: Documents of up to `full` shingles are listed in full; those above `alone` also below the cut.
-    full = max(FULL, -(-most_weak * den // num))
-    alone = full * num // den
-
-    heads = docs.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "text").dropDuplicates(["doc_id"])
-
-    def listed(s: np.ndarray, level: int) -> np.ndarray:
-        n = len(s)
-        if level:
-            return s if n <= full else s[:0]
-        return s[: int(np.searchsorted(s, cut))] if n > alone else s[:0]
-
-    def levels(s: np.ndarray) -> np.ndarray:
-        """Both levels' lists of one document; the last bit of a hash tells the level."""
-        return np.concatenate([listed(s, 0) & ~np.int64(1), listed(s, 1) | np.int64(1)])
+    full = FULL
+
+    while True:
+        # documents of up to `full` shingles are listed in full; those above `alone` below the cut
+        alone = full * num // den
+
+        def listed(s: np.ndarray, full=full, alone=alone):
+            n, low = len(s), int(np.searchsorted(s, cut))
+            weak = n if 0 < n and low < n - need(n, num, den) + 1 else 0
+            parts = ([s[:low]] if n > alone else []) + ([s | np.int64(1)] if n <= full else [])
+            return n, xxhash.xxh3_128_digest(s.tobytes()) if n else None, weak, low if n > alone else 0, np.concatenate(parts).tobytes() if n else b""
+
+        base = scratch.keep(_sets(docs.where("doc_id is not null"), k, "doc_id bigint, n int, digest binary, weak int, l0 int, lists binary", listed), "lists")
+        total = base.agg(F.max("weak").alias("weak"), F.count("*").alias("rows"), F.count_distinct("doc_id").alias("ids")).first()
+        if -(-(total.weak or 0) * den // num) <= full:
+            break
+        full = -(-total.weak * den // num)
+        scratch.drop(base)
+
+    classes = scratch.keep(base.where("n > 0").groupBy("n", "digest").agg(F.min("doc_id").alias("rep")), "classes")
+    heads = base.where("n > 0")
+    copies = base.where("n > 0").select("doc_id", "n", "digest").join(classes, ["n", "digest"]).where("doc_id <> rep").select("doc_id").distinct()
+    heads = heads.join(_checked(copies), "doc_id", "left_anti")
+    if total.rows != total.ids:
+        heads = heads.groupBy("doc_id").agg(F.first("n").alias("n"), F.first("l0").alias("l0"), F.first("lists").alias("lists"))
+    heads = heads.select("doc_id", "n", "l0", "lists")
 
     def counted(batches):
-        words, held, size = Words(), [], 0
-
-        def flush():
-            token, count = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(token), pa.array(count.astype(np.int32))], names=["token", "c"])
-
+        held, size = [], 0
         for b in batches:
-            for t in b.column(1):
-                held.append(np.unique(levels(shingle_set(t.as_py(), k, words))))
+            for x in b.column(0).to_pylist():
+                held.append(np.frombuffer(x, np.int64))
                 size += len(held[-1])
                 if size > 1_000_000:
-                    yield flush()
+                    yield _tokens(*np.unique(np.concatenate(held), return_counts=True))
                     held, size = [], 0
         if held:
-            yield flush()
+            yield _tokens(*np.unique(np.concatenate(held), return_counts=True))
 
     def postings(batches):
-        words = Words()
         for b in batches:
-            ids, tokens = [], []
-            size = 0
-            for d, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                tokens.append(np.unique(levels(shingle_set(t.as_py(), k, words))))
-                ids.append(np.full(len(tokens[-1]), d, np.int64))
-                size += len(tokens[-1])
+            held, ids, size = [], [], 0
+            for d, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                held.append(np.frombuffer(x, np.int64))
+                ids.append(np.full(len(held[-1]), d, np.int64))
+                size += len(held[-1])
                 if size > 500_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), pa.array(np.concatenate(ids))], names=["token", "doc"])
-                    ids, tokens, size = [], [], 0
-            if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), pa.array(np.concatenate(ids))], names=["token", "doc"])
+                    yield _tokens(np.concatenate(held), np.concatenate(ids), "doc")
+                    held, ids, size = [], [], 0
+            if held:
+                yield _tokens(np.concatenate(held), np.concatenate(ids), "doc")
 
-    texts = heads.select("doc_id", F.col("text").cast("binary").alias("text"))
     # counted per task first: a list that most documents are in is a few rows a task here
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    lengths = texts.mapInArrow(counted, "token bigint, c int").repartition(parts, "token").groupBy("token").agg(F.sum("c").cast("int").alias("df")).where("df > 1")
+    lengths = heads.select("lists").mapInArrow(counted, "token bigint, c bigint").repartition(parts, "token").groupBy("token").agg(F.sum("c").cast("int").alias("df")).where("df > 1")
     lengths = scratch.keep(lengths, "lengths")
-    shared = texts.mapInArrow(postings, "token bigint, doc bigint").join(lengths, "token")
+    shared = heads.select("doc_id", "lists").mapInArrow(postings, "token bigint, doc bigint").join(lengths, "token")
     mine = shared.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("lists"))
 
-    # step 3: of a document's listed hashes its p rarest are merged; those of no other document come first and cost nothing
-    def counts(s: np.ndarray):
-        return len(s), len(np.unique(listed(s, 0) & ~np.int64(1))), len(np.unique(listed(s, 1) | np.int64(1)))
-
-    sizes = _sets(heads, k, "doc_id bigint, n int, l0 int, l1 int", counts)
-
+    # of a document's listed hashes its p rarest are merged; those of no other document come first and cost nothing
+    sizes = heads.select("doc_id", "n", "l0", F.when(F.col("n") <= full, F.col("n")).otherwise(0).alias("l1"))
     level = lambda one: F.filter("lists", lambda x: x["token"].bitwiseAND(F.lit(1)) == one)
     p = F.col("n") - F.ceil(F.col("n") * F.lit(num) / F.lit(den)).cast("int") + 1
     keep = lambda lists, total: F.slice(lists, 1, F.greatest(F.lit(0), p - (total - F.size(lists))))
@@ -226,57 +264,89 @@ def ngram_components(docs: DataFrame, k: int = 5, similarity: str | float = "0.8
         .select("doc", "n", F.explode(F.col("lists.token")).alias("token"))
     )
     short = scratch.keep(merged, "short")
-    found = scratch.keep(_sets(heads.join(short.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi"), k, "doc_id bigint, s binary", lambda s: (s.tobytes(),)), "sets")
-
-    def linked(pairs: DataFrame) -> DataFrame:
-        """Of pairs (x, y), those that are similar enough."""
-
-        @F.pandas_udf("boolean")
-        def similar(a, b):
-            import pandas as pd
-
-            out = np.zeros(len(a), bool)
-            for i, (u, v) in enumerate(zip(a, b, strict=True)):
-                u, v = np.frombuffer(u, np.int64), np.frombuffer(v, np.int64)
-                both = probe(u, v)
-                out[i] = den * both >= num * (len(u) + len(v) - both)
-            return pd.Series(out)
-
-        sx = found.select(F.col("doc_id").alias("x"), F.col("s").alias("sx"))
-        sy = found.select(F.col("doc_id").alias("y"), F.col("s").alias("sy"))
-        return pairs.join(sx, "x").join(sy, "y").where(similar("sx", "sy")).select(F.col("x").alias("src"), F.col("y").alias("dst"))
+    scratch.drop(lengths)
 
-    fits = lambda a, b: (F.least(a, b) * den >= F.greatest(a, b) * num)
     first = short.groupBy("token").agg(F.min(F.struct("doc", "n")).alias("f"), F.count("*").alias("c")).where("c > 1").select("token", F.col("f.doc").alias("y"), F.col("f.n").alias("m"))
-    star = short.join(first, "token").where((F.col("doc") != F.col("y")) & fits(F.col("n"), F.col("m"))).select(F.col("doc").alias("x"), "y").distinct()
-    edges = scratch.keep(linked(star), "star")
+    fits = lambda a, b: F.least(a, b) * den >= F.greatest(a, b) * num
+    star = scratch.keep(short.join(first, "token").where((F.col("doc") != F.col("y")) & fits(F.col("n"), F.col("m"))).select(F.col("doc").alias("x"), "y").distinct(), "star")
+    ends = star.select("x").union(star.select("y")).union(short.join(first, "token").select("doc")).toDF("doc_id").distinct()
+    found = scratch.keep(_sets(docs.select("doc_id", "text").join(_checked(scratch.keep(ends, "ends")), "doc_id", "left_semi"), k, "doc_id bigint, s binary", lambda s: (s.tobytes(),)), "sets")
+    if total.rows != total.ids:
+        found = found.groupBy("doc_id").agg(F.first("s").alias("s"))
+
+    def similar(a, b):
+        import pandas as pd
+
+        out = np.zeros(len(a), bool)
+        for i, (u, v) in enumerate(zip(a, b, strict=True)):
+            u, v = np.frombuffer(u, np.int64), np.frombuffer(v, np.int64)
+            both = probe(u, v)
+            out[i] = den * both >= num * (len(u) + len(v) - both)
+        return pd.Series(out)
+
+    pairs = star.join(found.select(F.col("doc_id").alias("x"), F.col("s").alias("sx")), "x").join(found.select(F.col("doc_id").alias("y"), F.col("s").alias("sy")), "y")
+    edges = scratch.keep(pairs.where(F.pandas_udf(similar, "boolean")("sx", "sy")).select(F.col("x").alias("src"), F.col("y").alias("dst")), "linked")
     near = scratch.keep(connected_components(edges, scratch), "near")
 
-    # what still spans several components: merge the lists with a heap, document by document
+    # what still spans several components
     named = short.join(near.select(F.col("id").alias("doc"), "component"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    open_ = named.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("c")).where("lo < hi")
-    left = scratch.keep(named.join(open_.select("token", "c"), "token"), "open")
-    longest = left.agg(F.max("c")).first()[0] or 0
-    if longest:
-        segments = -(-longest // SEGMENT)
-        lists = left.groupBy("token", F.pmod(F.xxhash64("doc"), F.lit(segments)).alias("segment")).agg(F.sort_array(F.collect_list(F.struct("doc", "n", "component"))).alias("members"))
-        mine = left.select("token", F.col("doc").alias("x"), F.col("n").alias("nx"), F.col("component").alias("cx")).join(lists, "token")
-        others = F.transform(
-            F.filter("members", lambda m: (m["doc"] > F.col("x")) & (m["component"] != F.col("cx")) & (F.least(m["n"], F.col("nx")) * den >= F.greatest(m["n"], F.col("nx")) * num)),
-            lambda m: m["doc"],
-        )
-        mine = mine.select("x", "segment", others.alias("others")).where("size(others) > 0").groupBy("x", "segment").agg(F.collect_list("others").alias("lists"))
-
-        @F.pandas_udf("array<bigint>")
-        def partners(lists):
-            return lists.map(lambda ls: [m for m, _ in merge_short([x.tolist() for x in ls])])
-
-        pairs = mine.select("x", F.explode(partners("lists")).alias("y"))
-        more = scratch.keep(linked(pairs), "more")
-        near = scratch.keep(connected_components(edges.union(more), scratch), "components")
+    open_ = named.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("doc").alias("head")).where("lo < hi").select("token", "head")
+    left = scratch.keep(named.join(open_, "token").select("doc", "n", "component", "head"), "open")
+    if not left.isEmpty():
+        near = scratch.keep(connected_components(edges.union(_remaining(left, found, num, den, scratch)), scratch), "components")
 
     named = classes.join(near.select(F.col("id").alias("rep"), "component"), "rep", "left").select("n", "digest", F.coalesce("component", "rep").alias("component"))
-    return base.join(named, ["n", "digest"], "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    out = base.select("doc_id", "n", "digest").join(named, ["n", "digest"], "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    nameless = _sets(docs.where("doc_id is null"), k, "doc_id bigint, n int", lambda s: (len(s),))
+    return out.union(nameless.select("doc_id", F.col("n").cast("long"), F.lit(None).cast("long")))
+
+
+def _tokens(token: np.ndarray, value: np.ndarray, name: str = "c") -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(token), pa.array(value.astype(np.int64))], names=["token", name])
+
+
+def _checked(ids: DataFrame) -> DataFrame:
+    """Ids for a semi join: sent to all tasks if they are few, else joined by a shuffle."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
+def _remaining(left: DataFrame, found: DataFrame, num: int, den: int, scratch: Scratch) -> DataFrame:
+    """Links between different components among documents that share a short list (doc, n, component, head of the list).
+
+    Documents that lists connect form a group; within it only documents of one size band or two adjacent ones can link.
+    A band is cut into chunks and each pair of chunks is searched by a task of its own.
+    """
+    group = connected_components(left.select(F.col("doc").alias("src"), F.col("head").alias("dst")), scratch)
+    band = F.floor(F.log("n") / F.lit(math.log(den / num) * (1 + 1e-9))) if num < den else F.col("n").cast("long")
+    docs = left.select("doc", "n", "component").distinct().join(group.select(F.col("id").alias("doc"), F.col("component").alias("g")), "doc").withColumn("band", band)
+    docs = scratch.keep(docs, "bands")
+    chunks = docs.groupBy("g", "band").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("nb"))
+    here, above, below = chunks, chunks.select("g", (F.col("band") - 1).alias("band"), F.col("nb").alias("na")), chunks.select("g", (F.col("band") + 1).alias("band"), F.col("nb").alias("nu"))
+    docs = docs.join(here, ["g", "band"]).join(above, ["g", "band"], "left").join(below, ["g", "band"], "left").withColumn("c", F.pmod(F.xxhash64("doc"), F.col("nb")).cast("int"))
+    to = lambda count, f: F.when(count > 0, F.transform(F.sequence(F.lit(0), count - 1), f)).otherwise(F.array())
+    task = lambda band, kind, i, j: F.struct(band.cast("long").alias("b"), F.lit(kind).alias("kind"), i.cast("int").alias("i"), j.cast("int").alias("j"))
+    own, nb = F.col("band"), F.col("nb")
+    tasks = F.concat(
+        to(nb, lambda o: task(own, 0, F.least(o, F.col("c")), F.greatest(o, F.col("c")))),
+        to(F.coalesce("na", F.lit(0)), lambda o: task(own, 1, F.col("c"), o)),
+        to(F.coalesce("nu", F.lit(0)), lambda o: task(own - 1, 1, o, F.col("c"))),
+    )
+    dealt = docs.withColumn("task", F.explode(tasks)).select("doc", "component", "c", "g", (F.col("task.b") == F.col("band")).alias("base"), "task.*")
+    dealt = dealt.join(found.select(F.col("doc_id").alias("doc"), "s"), "doc")
+
+    def search(table: pa.Table) -> pa.Table:
+        kind, i, j = (table.column(x)[0].as_py() for x in ("kind", "i", "j"))
+        doc, comp, c, base = (table.column(x).to_numpy() for x in ("doc", "component", "c", "base"))
+        sets = [np.frombuffer(x, np.int64) for x in table.column("s").to_pylist()]
+        if kind:
+            a, b = np.flatnonzero(base), np.flatnonzero(~base)
+        else:
+            a, b = np.flatnonzero(c == i), np.flatnonzero(c == j)
+        same = (lambda q: (comp[a] == comp[b[q]]) | (doc[a] >= doc[b[q]])) if not kind and i == j else (lambda q: comp[a] == comp[b[q]])
+        links = overlapping([sets[x] for x in a], [sets[x] for x in b], num, den, same)
+        return pa.table({"src": pa.array([int(doc[b[q]]) for q, _ in links], pa.int64()), "dst": pa.array([int(doc[a[x]]) for _, x in links], pa.int64())})
+
+    return scratch.keep(dealt.groupBy("g", "b", "kind", "i", "j").applyInArrow(search, "src bigint, dst bigint"), "more")
 
 
 def one_of_each(docs: DataFrame, k: int = 5, similarity: str | float = "0.8") -> DataFrame:

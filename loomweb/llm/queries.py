@@ -6,8 +6,11 @@ from pyspark.sql import functions as F
 
 from .common import fold, table
 from .embed_dedup import vector_components
+from .mixing import mixed_sizes
 from .ngram_join import ngram_components
+from .packing import pack
 from .quality import score_quality
+from .sharding import shard
 from .toxicity import score_toxicity
 
 QUERIES: dict = {}
@@ -28,11 +31,26 @@ def op1(spark, sf_dir):
     return out.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), F.col("toxicity").alias("score"), F.col("toxic").alias("predicted"), "toxic_weight")
 
 
+@query("op2_best_fit_packing")
+def op2(spark, sf_dir):
+    return pack(table(spark, sf_dir, "documents"), capacity=2048, per_source=4)
+
+
 @query("op4_ngram_jaccard_join")
 def op4(spark, sf_dir):
     return ngram_components(table(spark, sf_dir, "documents"), k=4, similarity="0.85")
 
 
+@query("op6_source_mixing")
+def op6(spark, sf_dir):
+    return mixed_sizes(table(spark, sf_dir, "documents"), weights=(5, 2, 1), most=3.0)
+
+
+@query("op7_balanced_sharding")
+def op7(spark, sf_dir):
+    return shard(table(spark, sf_dir, "documents"), shards=40)
+
+
 @query("op9_quality_rules")
 def op9(spark, sf_dir):
     out = score_quality(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"), threshold=0.3)

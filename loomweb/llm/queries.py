@@ -6,6 +6,9 @@ from pyspark.sql import functions as F
 
 from .common import fold, table
 from .embed_dedup import vector_components
+from .htmltext import extract
+from .licenses import scan, scan_sql
+from .media import read_back, store
 from .mixing import mixed_sizes
 from .ngram_join import ngram_components
 from .packing import pack
@@ -36,11 +39,21 @@ def op2(spark, sf_dir):
     return pack(table(spark, sf_dir, "documents"), capacity=2048, per_source=4)
 
 
+@query("op3_html_extraction")
+def op3(spark, sf_dir):
+    return extract(table(spark, sf_dir, "pages"))
+
+
 @query("op4_ngram_jaccard_join")
 def op4(spark, sf_dir):
     return ngram_components(table(spark, sf_dir, "documents"), k=4, similarity="0.85")
 
 
+@query("op5_media_columns")
+def op5(spark, sf_dir):
+    return read_back(store(table(spark, sf_dir, "documents")))
+
+
 @query("op6_source_mixing")
 def op6(spark, sf_dir):
     return mixed_sizes(table(spark, sf_dir, "documents"), weights=(5, 2, 1), most=3.0)
@@ -51,6 +64,14 @@ def op7(spark, sf_dir):
     return shard(table(spark, sf_dir, "documents"), shards=40)
 
 
+@query("op8_license_scan")
+def op8(spark, sf_dir):
+    return scan(table(spark, sf_dir, "documents"))
+
+
+ORACLE["op8_license_scan"] = scan_sql()
+
+
 @query("op9_quality_rules")
 def op9(spark, sf_dir):
     out = score_quality(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"), threshold=0.3)

@@ -2,5 +2,540 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import dims, text, urls
+from ..operators import answers, chains, cohort, content, crawl, eligibility, entities, graph, links, scores, search, technical
+from ..sources import parse, robots, sitemaps
+from ..sources import crawl as source
+from . import reports
+
 QUERIES: dict = {}
 ORACLE: dict = {}
+
+
+def query(name: str, sql: str | None = None):
+    def put(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLE[name] = sql
+        return f
+
+    return put
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def _crawl(spark, d, by_domain=False) -> DataFrame:
+    return source.from_pages(table(spark, d, "pages"), by_domain)
+
+
+def _parsed(spark, d, by_domain=False) -> DataFrame:
+    return parse.parse_pages(source.eligible(_crawl(spark, d, by_domain)))
+
+
+def _links(spark, d, by_domain=True) -> DataFrame:
+    return links.extract_links(_parsed(spark, d, by_domain))
+
+
+def _content(spark, d, by_domain=True) -> DataFrame:
+    return content.page_content(_parsed(spark, d, by_domain))
+
+
+def _document_content(spark, d) -> DataFrame:
+    """Documents as pages of their source, for the operators that need text alone."""
+    t = table(spark, d, "documents").select(F.coalesce("source", F.lit("none")).alias("site"), F.col("doc_id").cast("string").alias("url"), F.coalesce("text", F.lit("")).alias("main_text"))
+    return t.withColumn("words", text.word_count(F.col("main_text"))).withColumn("content_hash", text.content_hash(F.col("main_text"))).withColumn("simhash", text.simhash(F.col("main_text"))).withColumn("blocks", F.filter(F.transform(F.split("main_text", "\n"), text.stripped), lambda b: b != ""))
+
+
+# --- expressions alone, each with its SQL ---
+
+_SQL_HOST = r"regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)', 1)), '', '')"
+_SQL_STRIP = r"trim(regexp_replace(regexp_replace(lower({0}), '[^\p{{L}}\p{{N}}_\s]', '', 'g'), '\s+', ' ', 'g'))"
+_SQL_NORM = r"""(regexp_extract(url, '^([A-Za-z]+)://', 1) || '://' || lower(regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1)) ||
+ CASE WHEN regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1) IN ('', '/') THEN '/' ELSE regexp_replace(regexp_replace(regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1), '/+', '/', 'g'), '(.)/$', '\1') END ||
+ CASE WHEN len(q) = 0 THEN '' ELSE '?' || array_to_string(q, '&') END)"""
+_SQL_Q = "list_sort(list_filter(string_split(regexp_extract(url, '^[^?#]*\\?([^#]*)', 1), '&'), lambda x: x <> '' AND lower(regexp_extract(x, '^([^=]*)', 1)) NOT IN (" + ", ".join(f"'{t}'" for t in dims.TRACKING) + ")))"
+
+
+@query(
+    "page_link_summary",
+    rf"""WITH p AS (SELECT page_id, url, html, {_SQL_Q} AS q FROM pages),
+n AS (SELECT *, {_SQL_NORM} AS norm FROM p),
+l AS (SELECT page_id, norm, regexp_extract(url, '^([A-Za-z]+://[^/?#]*)', 1) || h AS target FROM (SELECT page_id, norm, url, unnest(regexp_extract_all(html, 'href="(/[^"/][^"]*)"', 1)) AS h FROM n)),
+o AS (SELECT page_id, count(*) AS links_out, count(DISTINCT target) AS targets FROM l GROUP BY 1),
+i AS (SELECT target, count(DISTINCT page_id) AS links_in FROM l GROUP BY 1)
+SELECT n.page_id, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS title, regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1) AS h1, lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]*)', 1)) AS host, norm AS normalized_url,
+coalesce(links_out, 0) AS links_out, coalesce(targets, 0) AS targets, coalesce(links_in, 0) AS links_in, coalesce(links_out, 0) = 0 AS is_dead_end, coalesce(links_in, 0) = 0 AS is_orphan
+FROM n LEFT JOIN o USING (page_id) LEFT JOIN i ON i.target = n.norm""",
+)
+def page_link_summary(spark, d):
+    """Title, heading, host and links in and out of each page, by expressions alone: the HTML is read once, in the JVM."""
+    p = table(spark, d, "pages").select("page_id", "url", "html", urls.normalise_expr(F.col("url")).alias("normalized_url"))
+    l = p.select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="(/[^"/][^"]*)"'), F.lit(1))).alias("h"), F.regexp_extract("url", "^([A-Za-z]+://[^/?#]*)", 1).alias("o"))
+    l = l.select("page_id", F.concat("o", "h").alias("target"))
+    out = l.groupBy("page_id").agg(F.count("*").alias("links_out"), F.count_distinct("target").alias("targets"))
+    inn = l.groupBy(F.col("target").alias("normalized_url")).agg(F.count_distinct("page_id").alias("links_in"))
+    base = p.select("page_id", F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1).alias("title"), F.regexp_extract("html", "(?s)<h1>(.*?)</h1>", 1).alias("h1"), urls.host(F.col("url")).alias("host"), "normalized_url")
+    j = base.join(out, "page_id", "left").join(inn, "normalized_url", "left").na.fill(0, ["links_out", "targets", "links_in"])
+    return j.withColumn("is_dead_end", F.col("links_out") == 0).withColumn("is_orphan", F.col("links_in") == 0)
+
+
+@query("url_normalization", rf"SELECT page_id, {_SQL_NORM} AS normalized_url, lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]*)', 1)) AS host FROM (SELECT *, {_SQL_Q} AS q FROM pages)")
+def url_normalization(spark, d):
+    return table(spark, d, "pages").select("page_id", urls.normalise_expr(F.col("url")).alias("normalized_url"), urls.host(F.col("url")).alias("host"))
+
+
+@query("url_duplicates", rf"SELECT normalized_url, count(*) AS pages FROM (SELECT {_SQL_NORM} AS normalized_url FROM (SELECT *, {_SQL_Q} AS q FROM pages)) GROUP BY 1 HAVING count(*) > 1")
+def url_duplicates(spark, d):
+    return table(spark, d, "pages").groupBy(urls.normalise_expr(F.col("url")).alias("normalized_url")).agg(F.count("*").alias("pages")).where("pages > 1")
+
+
+@query("page_hrefs", r"""SELECT page_id, h AS href, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS h FROM pages) GROUP BY 1, 2""")
+def page_hrefs(spark, d):
+    return table(spark, d, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("href")).groupBy("page_id", "href").agg(F.count("*").alias("n"))
+
+
+@query("duplicate_titles", r"""WITH t AS (SELECT page_id, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS title FROM pages) SELECT title, count(*) AS pages FROM t WHERE title <> '' GROUP BY 1 HAVING count(*) > 1""")
+def duplicate_titles(spark, d):
+    t = table(spark, d, "pages").select(F.lit("all").alias("site"), F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1).alias("title"))
+    return crawl.duplicate_titles(t).select("title", "pages")
+
+
+@query("title_bounds", r"""SELECT page_id, length(t) AS title_length, CASE WHEN length(t) = 0 THEN 'MISSING' WHEN length(t) < 30 THEN 'SHORT' WHEN length(t) > 65 THEN 'LONG' ELSE 'FINE' END AS verdict FROM (SELECT page_id, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS t FROM pages)""")
+def title_bounds(spark, d):
+    t = F.length(F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1))
+    return table(spark, d, "pages").select("page_id", t.alias("title_length"), F.when(t == 0, "MISSING").when(t < dims.TITLE_LENGTH[0], "SHORT").when(t > dims.TITLE_LENGTH[1], "LONG").otherwise("FINE").alias("verdict"))
+
+
+@query("exact_duplicates", rf"""SELECT source, h AS content_hash, count(*) AS pages, min(doc_id) AS first_doc FROM (SELECT coalesce(source, 'none') AS source, doc_id, sha256({_SQL_STRIP.format("coalesce(text, '')")}) AS h FROM documents WHERE regexp_matches(coalesce(text, ''), '\S')) GROUP BY 1, 2 HAVING count(*) > 1""")
+def exact_duplicates(spark, d):
+    c = content.exact_duplicates(_document_content(spark, d))
+    return c.select(F.col("site").alias("source"), "content_hash", "pages", F.array_min(F.transform("urls", lambda u: u.cast("long"))).alias("first_doc"))
+
+
+@query(
+    "near_duplicate_pairs",
+    rf"""WITH t AS (SELECT coalesce(source, 'none') AS site, doc_id, {_SQL_STRIP.format("coalesce(text, '')")} AS s, len(regexp_extract_all(coalesce(text, ''), '\S+')) AS n FROM documents),
+w AS (SELECT site, doc_id, n, sha256(s) AS h, string_split(s, ' ') AS w FROM t WHERE s <> ''),
+k AS (SELECT site, doc_id, n, h, w, CASE WHEN len(w) >= 3 THEN list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) ELSE list_distinct(w) END AS g FROM w),
+e AS (SELECT site, doc_id, len(w) >= 3 AS long, len(g) AS m, unnest(g) AS x FROM k),
+c AS (SELECT a.site, a.doc_id AS a, b.doc_id AS b, count(*) AS shared, any_value(a.m) AS ma, any_value(b.m) AS mb FROM e a JOIN e b ON a.site = b.site AND a.x = b.x AND a.long = b.long AND a.doc_id::VARCHAR < b.doc_id::VARCHAR GROUP BY ALL),
+j AS (SELECT c.*, round(shared / (ma + mb - shared), 4) AS j, abs(ka.n - kb.n) AS dn, ka.h AS ha, kb.h AS hb FROM c JOIN k ka ON ka.doc_id = a JOIN k kb ON kb.doc_id = b)
+SELECT site, a AS doc_a, b AS doc_b, round(j * 100, 1) AS similarity FROM j WHERE j >= 0.8 AND ha <> hb AND dn <= 30""",
+)
+def near_duplicate_pairs(spark, d):
+    """Pairs whose lengths differ by 30 words at most: the branch of the gate that SQL can check."""
+    c = _document_content(spark, d)
+    n = c.select("site", "url", F.col("words").alias("n"))
+    p = content.near_duplicates(c).join(n.select("site", F.col("url").alias("url_a"), F.col("n").alias("na")), ["site", "url_a"]).join(n.select("site", F.col("url").alias("url_b"), F.col("n").alias("nb")), ["site", "url_b"])
+    return p.where("abs(na - nb) <= 30").select("site", F.col("url_a").cast("long").alias("doc_a"), F.col("url_b").cast("long").alias("doc_b"), "similarity")
+
+
+@query(
+    "repeated_boilerplate",
+    rf"""WITH d AS (SELECT coalesce(source, 'none') AS site, doc_id, text FROM documents),
+t AS (SELECT site, count(*) AS n FROM d GROUP BY 1),
+b AS (SELECT DISTINCT site, doc_id, {_SQL_STRIP.format("l")} AS block FROM (SELECT site, doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS l FROM d)),
+g AS (SELECT site, block, count(*) AS pages, len(regexp_extract_all(block, '\S+')) AS words FROM b WHERE block <> '' GROUP BY 1, 2)
+SELECT g.site, block, pages, words FROM g JOIN t USING (site) WHERE words >= 8 AND pages >= CASE WHEN n >= 4 THEN 3 ELSE greatest(2, n) END""",
+)
+def repeated_boilerplate(spark, d):
+    return content.boilerplate(_document_content(spark, d), top=None)
+
+
+@query("word_count_tiers", r"""SELECT tier, count(*) AS docs, sum(n) AS words FROM (SELECT n, CASE WHEN n = 0 THEN 'EMPTY' WHEN n < 100 THEN 'VERY_LOW' WHEN n < 200 THEN 'LOW' WHEN n < 600 THEN 'MODERATE' ELSE 'SUBSTANTIVE' END AS tier FROM (SELECT len(regexp_extract_all(coalesce(text, ''), '\S+')) AS n FROM documents)) GROUP BY 1""")
+def word_count_tiers(spark, d):
+    n = table(spark, d, "documents").select(text.word_count(F.col("text")).alias("n"))
+    return n.groupBy(content.tier(F.col("n")).alias("tier")).agg(F.count("*").alias("docs"), F.sum("n").alias("words"))
+
+
+@query(
+    "source_overlap_matrix",
+    r"""WITH i AS (SELECT DISTINCT source AS site, lower(w) AS item FROM (SELECT source, unnest(regexp_extract_all(text, '[A-Za-z]{4,}')) AS w FROM documents) WHERE source IS NOT NULL),
+s AS (SELECT site, count(*) AS n FROM i GROUP BY 1)
+SELECT a.site AS site_a, b.site AS site_b, count(*) AS shared, round(count(*) / (any_value(sa.n) + any_value(sb.n) - count(*)), 4) AS similarity
+FROM i a JOIN i b USING (item) JOIN s sa ON sa.site = a.site JOIN s sb ON sb.site = b.site WHERE a.site < b.site GROUP BY 1, 2""",
+)
+def source_overlap_matrix(spark, d):
+    w = F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{4,}"), F.lit(0)))
+    return cohort.overlap_matrix(table(spark, d, "documents").where("source is not null").select(F.col("source").alias("site"), w.alias("w")).select("site", F.lower("w").alias("item")))
+
+
+@query("term_frequency", r"""SELECT item, count(DISTINCT source) AS sites, CASE WHEN count(DISTINCT source) >= 2 THEN 'COMMON' ELSE 'UNIQUE' END AS state FROM (SELECT source, lower(unnest(regexp_extract_all(text, '[A-Za-z]{6,}'))) AS item FROM documents WHERE source IS NOT NULL) GROUP BY 1""")
+def term_frequency(spark, d):
+    w = F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{6,}"), F.lit(0)))
+    i = table(spark, d, "documents").where("source is not null").select(F.col("source").alias("site"), w.alias("w")).select("site", F.lower("w").alias("item"))
+    return cohort.frequency(i).select("item", "sites", "state")
+
+
+@query("label_agreement", """SELECT d.lang, count(*) AS docs, count(l.doc_id) AS labelled, count(*) FILTER (l.quality = 1) AS good, count(*) FILTER (l.toxic = 1) AS toxic FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY 1""")
+def label_agreement(spark, d):
+    j = table(spark, d, "documents").select("doc_id", "lang").join(table(spark, d, "labels").withColumn("has", F.lit(1)), "doc_id", "left")
+    return j.groupBy("lang").agg(F.count("*").alias("docs"), F.count("has").alias("labelled"), F.count_if(F.col("quality") == 1).alias("good"), F.count_if(F.col("toxic") == 1).alias("toxic"))
+
+
+@query("unlabelled_documents", "SELECT source, count(*) AS docs FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id) GROUP BY 1")
+def unlabelled_documents(spark, d):
+    return table(spark, d, "documents").select("doc_id", "source").join(table(spark, d, "labels").select("doc_id"), "doc_id", "left_anti").groupBy("source").agg(F.count("*").alias("docs"))
+
+
+@query(
+    "console_summary",
+    """SELECT user_id AS page, count(*) AS clicks, sum(impressions) AS impressions, round(count(*) / nullif(sum(impressions), 0), 6) AS ctr, round(sum(position * impressions) / nullif(sum(impressions), 0), 6) AS position
+FROM (SELECT user_id, 1 + event_id % 20 AS impressions, 1.0 + event_id % 50 AS position FROM events) GROUP BY 1""",
+)
+def console_summary(spark, d):
+    """Events as search-console rows: weighted rates and positions."""
+    e = table(spark, d, "events").select(F.col("event_type").alias("query"), F.col("user_id").alias("page"), F.lit(1).alias("clicks"), (1 + F.col("event_id") % 20).alias("impressions"), (1.0 + F.col("event_id") % 50).alias("position"))
+    return scores.console_summary(e).select("page", "clicks", "impressions", F.round("ctr", 6).alias("ctr"), F.round("position", 6).alias("position"))
+
+
+@query("conversation_bounds", "SELECT conv_id, count(*) AS turns, min_by(role, turn) AS first_role, max_by(role, turn) AS last_role, sum(length(text)) AS characters FROM conversations GROUP BY 1")
+def conversation_bounds(spark, d):
+    return table(spark, d, "conversations").groupBy("conv_id").agg(F.count("*").alias("turns"), F.min_by("role", "turn").alias("first_role"), F.max_by("role", "turn").alias("last_role"), F.sum(F.length("text")).alias("characters"))
+
+
+@query("anchor_texts", r"""SELECT anchor_text, count(DISTINCT page_id) AS pages, count(DISTINCT href) AS targets, count(*) AS occurrences FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)">[^<]*</a>', 1)) AS href, unnest(regexp_extract_all(html, '<a href="[^"]*">([^<]*)</a>', 1)) AS anchor_text FROM pages) GROUP BY 1 HAVING count(DISTINCT href) > 1""")
+def anchor_texts(spark, d):
+    """Anchor texts with several targets, over all pages."""
+    pattern = '<a href="([^"]*)">([^<]*)</a>'
+    a = table(spark, d, "pages").select("page_id", F.explode(F.arrays_zip(F.regexp_extract_all("html", F.lit(pattern), F.lit(1)).alias("href"), F.regexp_extract_all("html", F.lit(pattern), F.lit(2)).alias("anchor_text"))).alias("a")).select("page_id", "a.*")
+    return a.groupBy("anchor_text").agg(F.count_distinct("page_id").alias("pages"), F.count_distinct("href").alias("targets"), F.count("*").alias("occurrences")).where("targets > 1")
+
+
+@query("host_degrees", rf"""WITH p AS (SELECT page_id, {_SQL_HOST} AS host, html FROM pages) SELECT host, count(DISTINCT page_id) AS pages, count(*) FILTER (h IS NOT NULL) AS links FROM (SELECT page_id, host, unnest(CASE WHEN len(x) = 0 THEN [NULL] ELSE x END) AS h FROM (SELECT page_id, host, regexp_extract_all(html, 'href="(/[^"]*)"', 1) AS x FROM p)) GROUP BY 1""")
+def host_degrees(spark, d):
+    p = table(spark, d, "pages").select("page_id", urls.host(F.col("url")).alias("host"), F.explode_outer(F.regexp_extract_all("html", F.lit('href="(/[^"]*)"'), F.lit(1))).alias("h"))
+    return p.groupBy("host").agg(F.count_distinct("page_id").alias("pages"), F.count("h").alias("links"))
+
+
+@query("conflict_grouping", "SELECT lang, source, count(*) AS n FROM documents GROUP BY GROUPING SETS ((lang), (source))")
+def conflict_grouping(spark, d):
+    return table(spark, d, "documents").groupingSets([["lang"], ["source"]], "lang", "source").agg(F.count("*").alias("n"))
+
+
+@query("vitals_bands", """SELECT event_type, count(*) FILTER (b = 'GOOD') AS good, count(*) FILTER (b = 'NEEDS_IMPROVEMENT') AS middling, count(*) FILTER (b = 'POOR') AS poor FROM (SELECT event_type, CASE WHEN value / 50 <= 2.5 THEN 'GOOD' WHEN value / 50 <= 4.0 THEN 'NEEDS_IMPROVEMENT' WHEN value IS NOT NULL THEN 'POOR' END AS b FROM events) GROUP BY 1""")
+def vitals_bands(spark, d):
+    b = technical.band(F.lit("LCP"), F.col("value") / 50)
+    e = table(spark, d, "events").select("event_type", b.alias("b"))
+    return e.groupBy("event_type").agg(F.count_if(F.col("b") == "GOOD").alias("good"), F.count_if(F.col("b") == "NEEDS_IMPROVEMENT").alias("middling"), F.count_if(F.col("b") == "POOR").alias("poor"))
+
+
+# --- what needs a parsed page ---
+
+
+@query("page_issues")
+def page_issues(spark, d):
+    return crawl.page_issues(_parsed(spark, d))
+
+
+@query("crawl_rollup")
+def crawl_rollup(spark, d):
+    return crawl.rollup(_parsed(spark, d, True))
+
+
+@query("frontier_admission")
+def frontier_admission(spark, d):
+    l = _links(spark, d, False)
+    c = l.select("site", F.col("pos").cast("long").alias("seq"), F.col("target_url").alias("url"), F.lit(1).alias("depth"), F.col("source_url").alias("parent_url"))
+    return crawl.admit(c, F.col("parent_url")).select("site", "seq", "url", "normalized_url", "identity_url", "verdict")
+
+
+@query("record_lookup")
+def record_lookup(spark, d):
+    k = _links(spark, d).select("site", F.col("target_url").alias("target")).distinct()
+    return crawl.lookup(k, _crawl(spark, d, True))
+
+
+@query("extracted_links")
+def extracted_links(spark, d):
+    return _links(spark, d)
+
+
+@query("link_evidence")
+def link_evidence(spark, d):
+    return links.link_evidence(_links(spark, d))
+
+
+@query("anchor_summary")
+def anchor_summary(spark, d):
+    return links.anchor_summary(_links(spark, d))
+
+
+@query("ambiguous_anchors")
+def ambiguous_anchors(spark, d):
+    return links.ambiguous_anchors(_links(spark, d))
+
+
+@query("broken_links")
+def broken_links(spark, d):
+    return links.broken_links(_links(spark, d), _crawl(spark, d, True))
+
+
+@query("link_graph_nodes")
+def link_graph_nodes(spark, d):
+    return graph.link_graph(_crawl(spark, d, True), _links(spark, d))[0]
+
+
+@query("weak_components")
+def weak_components(spark, d):
+    e = graph.edges_of(_links(spark, d))
+    return graph.weak_components(graph.nodes_of(_crawl(spark, d, True), e), e)
+
+
+@query("link_findings")
+def link_findings(spark, d):
+    c, l = _crawl(spark, d, True), _links(spark, d)
+    n, _ = graph.link_graph(c, l)
+    return links.structural_findings(n, links.broken_links(l, c), links.ambiguous_anchors(l))
+
+
+@query("redirect_chains")
+def redirect_chains(spark, d):
+    """Pages over http are taken to redirect to https."""
+    return chains.redirect_chains(_redirecting(spark, d))
+
+
+def _redirecting(spark, d):
+    c = _crawl(spark, d, True)
+    http = F.col("url").startswith("http://")
+    return c.withColumn("redirect_url", F.when(http, F.regexp_replace("url", "^http://", "https://"))).withColumn("status_code", F.when(http, 301).otherwise(F.col("status_code"))).withColumn("crawl_status", F.when(http, "REDIRECTED").otherwise(F.col("crawl_status")))
+
+
+@query("canonical_chains")
+def canonical_chains(spark, d):
+    p = _parsed(spark, d, True)
+    return chains.canonical_chains(_crawl(spark, d, True), eligibility.canonical_of(p))
+
+
+@query("page_content")
+def page_content(spark, d):
+    return _content(spark, d).drop("blocks", "headings", "main_text")
+
+
+@query("heading_skips")
+def heading_skips(spark, d):
+    return content.heading_skips(_parsed(spark, d))
+
+
+@query("page_near_duplicates")
+def page_near_duplicates(spark, d):
+    return content.near_duplicates(_content(spark, d))
+
+
+@query("page_boilerplate")
+def page_boilerplate(spark, d):
+    return content.boilerplate(_content(spark, d))
+
+
+@query("site_content")
+def site_content(spark, d):
+    return content.site_content(_content(spark, d))
+
+
+@query("search_eligibility")
+def search_eligibility(spark, d):
+    return eligibility.eligibility(_parsed(spark, d, True), links=_links(spark, d))
+
+
+@query("url_representations")
+def url_representations(spark, d):
+    return eligibility.representations(_parsed(spark, d, True))
+
+
+ROBOTS = "User-agent: *\nDisallow: /en/1\nAllow: /en/12\nDisallow: /*?page=\n\nUser-agent: GPTBot\nUser-agent: CCBot\nDisallow: /\n\nSitemap: https://example.com/sitemap.xml\n"
+
+
+def _robots(spark, d):
+    return _crawl(spark, d).select("site").distinct().select("site", F.lit(200).alias("status_code"), F.lit(ROBOTS).alias("content"))
+
+
+@query("bot_matrix")
+def bot_matrix(spark, d):
+    paths = _crawl(spark, d).select("site", F.regexp_replace("url", "^[A-Za-z]+://[^/?#]*", "").alias("path"))
+    return robots.bot_matrix(_robots(spark, d), paths, dims.bots(spark))
+
+
+@query("sitemap_reconciliation")
+def sitemap_reconciliation(spark, d):
+    """Against sitemaps that list the pages of each site under their normal address, and one that was never crawled."""
+    c = _crawl(spark, d, True)
+    loc = F.array_join(F.transform(F.sort_array(F.collect_set("normalized_url")), lambda u: F.concat(F.lit("<url><loc>"), F.replace(u, F.lit("&"), F.lit("&amp;")), F.lit("</loc></url>"))), "")
+    body = F.concat(F.lit('<?xml version="1.0"?><urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">'), loc, F.lit("<url><loc>https://example.com/never</loc><priority>0.5</priority></url></urlset>"))
+    docs = c.groupBy("site").agg(body.alias("body")).select("site", F.concat(F.lit("https://"), "site", F.lit("/sitemap.xml")).alias("sitemap"), F.lit(200).alias("status_code"), "body")
+    u = sitemaps.sitemap_urls(sitemaps.traverse(docs.select("site", "sitemap"), docs))
+    return sitemaps.reconcile(u, eligibility.eligibility(_parsed(spark, d, True)), c)
+
+
+@query("search_signals")
+def search_signals(spark, d):
+    return search.signals(_parsed(spark, d))
+
+
+@query("recurring_concepts")
+def recurring_concepts(spark, d):
+    return search.recurring(search.signals(_parsed(spark, d, True)))
+
+
+def _search(spark, d):
+    p = _parsed(spark, d)
+    s = search.signals(p)
+    t = search.page_topics(search.topic_members(s))
+    return p, s, t, search.concepts(s, t, p), search.intents(search.intent_evidence(p), p)
+
+
+@query("page_topics")
+def page_topics(spark, d):
+    return _search(spark, d)[2]
+
+
+@query("topic_relations")
+def topic_relations(spark, d):
+    return search.site_relations(search.topic_relations(_search(spark, d)[2]))
+
+
+@query("concept_pages")
+def concept_pages(spark, d):
+    return search.concept_pages(_search(spark, d)[3])
+
+
+@query("page_intents")
+def page_intents(spark, d):
+    return _search(spark, d)[4]
+
+
+@query("topic_coverage")
+def topic_coverage(spark, d):
+    _, _, t, c, i = _search(spark, d)
+    return search.coverage(c, t, i)
+
+
+@query("cannibalization")
+def cannibalization(spark, d):
+    p, _, t, c, i = _search(spark, d)
+    return search.cannibalization(c, t, p, i)
+
+
+@query("topic_gaps")
+def topic_gaps(spark, d):
+    p, _, t, c, _ = _search(spark, d)
+    return search.topic_gaps(c, t).union(search.depth_gaps(c, t, p))
+
+
+@query("page_entities")
+def page_entities(spark, d):
+    return entities.page_entities(_parsed(spark, d)).drop("same_as")
+
+
+@query("entity_profiles")
+def entity_profiles(spark, d):
+    return entities.entity_profiles(entities.page_entities(_parsed(spark, d, True)))
+
+
+@query("image_audit")
+def image_audit(spark, d):
+    return technical.image_summary(technical.images(_parsed(spark, d)))
+
+
+@query("head_audit")
+def head_audit(spark, d):
+    return technical.head_audit(_parsed(spark, d))
+
+
+@query("accessibility_findings")
+def accessibility_findings(spark, d):
+    return technical.accessibility(_parsed(spark, d))
+
+
+@query("security_findings")
+def security_findings(spark, d):
+    h = F.create_map(F.lit("Server"), F.array(F.lit("nginx/1.2")), F.lit("Set-Cookie"), F.array(F.lit("a=b; Secure")))
+    return technical.security(_parsed(spark, d).withColumn("response_headers", h))
+
+
+@query("retrieval_readiness")
+def retrieval_readiness(spark, d):
+    p, bots = _parsed(spark, d), dims.bots(spark)
+    paths = p.select("site", F.regexp_replace("url", "^[A-Za-z]+://[^/?#]*", "").alias("path"))
+    return answers.retrieval(eligibility.eligibility(p), answers.waf(p), robots.bot_matrix(_robots(spark, d), paths, bots), bots)
+
+
+@query("answer_units")
+def answer_units(spark, d):
+    return answers.answer_units(_parsed(spark, d))
+
+
+@query("grounded_claims")
+def grounded_claims(spark, d):
+    p = _parsed(spark, d, True)
+    u = answers.answer_units(p)
+    return answers.ground_claims(answers.claims(p, u), u)
+
+
+@query("visual_assets")
+def visual_assets(spark, d):
+    return answers.visual_assets(_parsed(spark, d))
+
+
+@query("agent_surfaces")
+def agent_surfaces(spark, d):
+    return answers.agent_surfaces(_parsed(spark, d))
+
+
+def _scores(spark, d, by_domain=True):
+    p = _parsed(spark, d, by_domain)
+    cite = scores.citability(p)
+    s = scores.technical_score(p).join(cite, ["site", "url"]).join(scores.trust(p, cite), ["site", "url"])
+    return scores.health(s.select("site", "url", "technical_score", "citability", "trust", F.lit(None).cast("double").alias("performance"), F.lit(None).cast("double").alias("keyword")))
+
+
+@query("citability")
+def citability(spark, d):
+    return scores.citability(_parsed(spark, d))
+
+
+@query("page_health")
+def page_health(spark, d):
+    return _scores(spark, d)
+
+
+@query("page_actions")
+def page_actions(spark, d):
+    return scores.actions(_parsed(spark, d))
+
+
+@query("page_remediations")
+def page_remediations(spark, d):
+    return scores.remediations(_parsed(spark, d))
+
+
+@query("site_packages")
+def site_packages(spark, d):
+    p = _parsed(spark, d, True)
+    s = search.signals(p)
+    t = search.page_topics(search.topic_members(s))
+    return cohort.reviews(cohort.site_packages(p, content.page_content(p), answers.answer_units(p), entities.page_entities(p), t, search.intents(search.intent_evidence(p), p), _scores(spark, d)))
+
+
+@query("cohort_voids")
+def cohort_voids(spark, d):
+    return cohort.voids(site_packages(spark, d))
+
+
+@query("site_report")
+def site_report(spark, d):
+    p = _parsed(spark, d, True)
+    return reports.markdown_lines(_scores(spark, d).groupBy("site").agg(F.round(F.avg("health"), 1).alias("health")), technical.tally(technical.accessibility(p)), scores.actions(p))
+
+
+@query("conversation_mentions")
+def conversation_mentions(spark, d):
+    """Mentions of the most frequent word of each role's turns."""
+    c = table(spark, d, "conversations").select(F.col("role").alias("site"), F.concat_ws("-", "conv_id", "turn").alias("id"), "text")
+    w = c.select("site", F.explode(F.regexp_extract_all("text", F.lit(r"\p{L}{5,}"), F.lit(0))).alias("name")).groupBy("site", "name").agg(F.count("*").alias("n"))
+    top = w.groupBy("site").agg(F.max(F.struct("n", "name")).alias("m")).select("site", F.col("m.name").alias("name"))
+    return answers.mentions(c, top)

@@ -205,7 +205,7 @@ def second_pass(found: list[Block], labels: list[int], marked: bool) -> list[boo
         last = None
         for i in order:
             to[i] = last
-            if labels[i] in (GOOD, BAD) and not (marked and not found[i].article):
+            if labels[i] in (GOOD, BAD) and not (marked and (found[i].noise or not found[i].article)):
                 last = i
     out = []
     for i, (b, label) in enumerate(zip(found, labels, strict=True)):

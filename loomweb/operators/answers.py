@@ -124,12 +124,19 @@ FOUNDED = r"(?i)\b(?:founded|established|since|incorporated)\s+(?:in\s+)?((?:19|
 METRIC = r"(?i)\b(\d[\d,.]*\s?(?:%|percent|\+|years|clients|customers|projects|countries|employees))"
 
 
+def passages(parsed: DataFrame, units: DataFrame) -> DataFrame:
+    """site, url, key, type, text: answer units, and the short paragraphs that are none."""
+    p = parsed.where("p is not null").select("site", "url", F.explode(F.array_distinct("p.texts")).alias("text")).withColumn("key", F.substring(F.md5(F.substring(F.lower(F.trim("text")), 1, 120)), 1, 10))
+    plain = p.join(units.select("site", "url", "key"), ["site", "url", "key"], "left_anti")
+    return units.select("site", "url", "key", "type", "text").union(plain.select("site", "url", "key", F.lit("PARAGRAPH"), "text"))
+
+
 def claims(parsed: DataFrame, units: DataFrame) -> DataFrame:
     """site, url, claim_id, type, subject, text: statements that can be backed or contradicted, each once.
 
     From paragraphs of 15 to 400 characters, the description, and units: accreditation (names a standard), founding
     (a year), metric (a number), else the unit's own kind (service, specification, requirement, contact)."""
-    para = units.select("site", "url", "text", "type")
+    para = passages(parsed, units).select("site", "url", "text", "type")
     desc = parsed.where("p is not null").select("site", "url", F.col("p.meta").getItem("description").alias("text"), F.lit("DESCRIPTION").alias("type"))
     c = para.union(desc).where(F.length("text").between(15, 400))
     kind = (
@@ -141,12 +148,12 @@ def claims(parsed: DataFrame, units: DataFrame) -> DataFrame:
     return c.dropDuplicates(["site", "url", "claim_id"])
 
 
-def ground_claims(claim: DataFrame, units: DataFrame) -> DataFrame:
+def ground_claims(claim: DataFrame, passage: DataFrame) -> DataFrame:
     """Claims with support: what other passages of the site say of them.
 
     SUPPORTED_ON_SITE, PARTIALLY_SUPPORTED, UNCORROBORATED_ON_SITE, or CONTRADICTED_ON_SITE (another founding year).
     Passages meet claims on a shared subject, or on shared content words."""
-    u = units.select("site", F.col("url").alias("u_url"), "key", F.col("type").alias("u_type"), F.col("text").alias("u_text"))
+    u = passage.select("site", F.col("url").alias("u_url"), "key", F.col("type").alias("u_type"), F.col("text").alias("u_text"))
     other = F.substring(F.md5(F.lower("u_text")), 1, 10) != F.col("claim_id")
     std = u.withColumn("subject", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("u_text", F.lit(STANDARD), F.lit(1)), lambda x: F.upper(F.regexp_replace(x, r"\s+", " "))))))
     a = claim.where("type = 'accreditation'").join(std, ["site", "subject"]).where(other)

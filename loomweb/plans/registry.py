@@ -10,6 +10,7 @@ from ..operators import answers, chains, cohort, content, crawl, eligibility, en
 from ..sources import parse, robots, sitemaps
 from ..sources import crawl as source
 from . import reports
+from .shared import settle
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -382,9 +383,9 @@ def recurring_concepts(spark, d):
 
 
 def _search(spark, d):
-    p = _parsed(spark, d)
-    s = search.signals(p)
-    t = search.page_topics(search.topic_members(s))
+    p = settle(_parsed(spark, d))
+    s = settle(search.signals(p))
+    t = settle(search.page_topics(search.topic_members(s)))
     return p, s, t, search.concepts(s, t, p), search.intents(search.intent_evidence(p), p)
 
 
@@ -473,7 +474,7 @@ def answer_units(spark, d):
 def grounded_claims(spark, d):
     p = _parsed(spark, d, True)
     u = answers.answer_units(p)
-    return answers.ground_claims(answers.claims(p, u), u)
+    return answers.ground_claims(answers.claims(p, u), answers.passages(p, u))
 
 
 @query("visual_assets")
@@ -515,7 +516,7 @@ def page_remediations(spark, d):
 
 @query("site_packages")
 def site_packages(spark, d):
-    p = _parsed(spark, d, True)
+    p = settle(_parsed(spark, d, True))
     s = search.signals(p)
     t = search.page_topics(search.topic_members(s))
     return cohort.reviews(cohort.site_packages(p, content.page_content(p), answers.answer_units(p), entities.page_entities(p), t, search.intents(search.intent_evidence(p), p), _scores(spark, d)))

@@ -26,7 +26,7 @@ links: array<struct<pos:int, href:string, text:string, alt:string, aria:string,
 images: array<struct<pos:int, src:string, alt:string, width:string, height:string, loading:string, srcset:string, role:string, hidden:boolean, in_link:string, caption:string, inside:boolean, heading:string>>,
 jsonld: array<string>, microdata: array<struct<type:string, name:string>>,
 main_text: string, main_method: string, body_words: int, visible_text: string, crawl_words: int, paragraphs: int,
-blocks: array<string>, resources: array<struct<tag:string, url:string>>, ids: array<string>,
+blocks: array<string>, texts: array<string>, resources: array<struct<tag:string, url:string>>, ids: array<string>,
 forms: array<struct<pos:int, purpose:string, method:string, action:string, controls:int, labelled:int, search:boolean, submit:string>>,
 unlabelled: int, empty_links: int, empty_buttons: int, images_without_alt: int, bad_roles: array<string>, buttons: int, mains: int,
 units: array<struct<pos:int, kind:string, heading:string, text:string, level:int>>,
@@ -212,7 +212,7 @@ def page_record(page: str) -> dict:
         "main_text": text, "main_method": method, "body_words": words, "visible_text": flat,
         "crawl_words": len(root.text(frozenset(("script", "style", "nav", "footer"))).split()),
         "paragraphs": sum(1 for x in body.find_all("p") if len(x.text().split()) > 3),
-        "blocks": leaves, "resources": resources, "ids": [x.get("id") for x in root.walk() if x.get("id")],
+        "blocks": leaves, "texts": [t for x in body.find_all("p", "li", "td", "dd") if 15 <= len(t := " ".join(x.text().split())) <= 400], "resources": resources, "ids": [x.get("id") for x in root.walk() if x.get("id")],
         "forms": forms, "unlabelled": sum(not _control_labelled(c, labels) for c in inputs),
         "empty_links": sum(1 for a in root.find_all("a") if a.get("href") and not _hidden(a) and not _name(a)),
         "empty_buttons": sum(1 for b in root.find_all("button") if not _hidden(b) and not _name(b)),

@@ -36,8 +36,8 @@ def parse_rules(content: str | None) -> list[dict]:
 
 def sitemaps_of(robots: DataFrame) -> DataFrame:
     """site, sitemap: the Sitemap lines of each robots.txt; the two usual places where there are none."""
-    line = F.regexp_extract(F.explode_outer(F.split("content", r"\r?\n")), r"(?i)^\s*sitemap\s*:\s*(\S+)", 1)
-    found = robots.where("status_code = 200").select("site", line.alias("sitemap")).where("sitemap <> ''").distinct()
+    lines = robots.where("status_code = 200").select("site", F.explode(F.split("content", r"\r?\n")).alias("line"))
+    found = lines.select("site", F.regexp_extract("line", r"(?i)^\s*sitemap\s*:\s*(\S+)", 1).alias("sitemap")).where("sitemap <> ''").distinct()
     usual = robots.select("site").distinct().join(found, "site", "left_anti").select("site", F.explode(F.array(*[F.concat(F.lit("https://"), "site", F.lit(p)) for p in ("/sitemap.xml", "/sitemap_index.xml")])).alias("sitemap"))
     return found.union(usual)
 

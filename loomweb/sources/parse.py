@@ -15,6 +15,7 @@ from .dom import Node, parse
 
 # Elements that never hold main content.
 BOILERPLATE = frozenset("script style nav footer header aside noscript svg canvas form dialog iframe".split())
+# Names in class or id of what is not main content, and roles.
 NOISE = re.compile(r"\b(sidebar|menu|footer|header|cookie|popup|modal|banner|nav|navigation|toolbar|widget-area)\b", re.I)
 ROLES = frozenset(("navigation", "banner", "contentinfo", "complementary"))
 HEADING = ("h1", "h2", "h3", "h4", "h5", "h6")

@@ -25,6 +25,16 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)).cast("long"), F.lit(0).cast("long"))
 
 
+#: Bytes and rows of an Arrow batch of texts: a task then holds a few of them, however long the texts are.
+BATCH_BYTES, BATCH_ROWS = 4 << 20, 2000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Have the session send texts to Python in small batches."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 class Scratch:
     """Tables written to the folder that all machines share.
 

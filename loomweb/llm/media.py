@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import webp
+from .common import bounded_batches
 
 #: A payload is filled up with bytes 0 to a positive multiple of this.
 UNIT = 64
@@ -52,6 +53,8 @@ def _rows(df: DataFrame, keys: list[str], schema: str, f) -> DataFrame:
 def store(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes and media (a WebP file) of every row of docs (doc_id, text); a null text is an empty payload."""
 
+    bounded_batches(docs.sparkSession)
+
     def put(payload: bytes | None) -> dict:
         payload = payload or b""
         return {"n_bytes": len(payload), "media": webp.encode_payload(padded(payload))}

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, connected_components
+from .common import Scratch, bounded_batches, connected_components
 
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 #: Documents of up to so many shingles are listed in full.
@@ -45,7 +45,7 @@ class Words(dict):
     """Hashes of words, remembered within a task."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 100_000:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
@@ -186,6 +186,7 @@ def ngram_components(docs: DataFrame, k: int = 5, similarity: str | float = "0.8
     come back as often as they came; a null doc_id is a document that links with none. An empty table gives none.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     scratch = Scratch(spark)
     j = Fraction(str(similarity))
     num, den = j.numerator, j.denominator

@@ -15,11 +15,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold
+from .common import bounded_batches, fold
 
 STATS = ["words", "word_len", "upper", "alpha", "digit", "symbol", "bang", "pipe", "stop", "repeat", "run", "distinct", "top", "short", "line_words", "shout"]
 #: Labelled documents that are read at most; trees, their depth, and the bins of a statistic.
-FIT_ROWS, TREES, DEPTH, BINS = 20_000, 40, 3, 24
+FIT_ROWS, TREES, DEPTH, BINS = 20_000, 30, 3, 24
 _LETTER, _UPPER, _DIGIT, _SYMBOL = (np.zeros(256, bool) for _ in range(4))
 _UPPER[65:91] = True
 _LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
@@ -103,20 +103,25 @@ def grow_rules(x: np.ndarray, y: np.ndarray, seed: int = 7) -> list[tuple[tuple[
 
 
 def rule_matrix(x: np.ndarray, rules) -> np.ndarray:
-    return np.column_stack([np.all([(x[:, f] > c) == up for f, up, c in r], axis=0) for r in rules]).astype(float) if rules else np.zeros((len(x), 0))
+    """Whether each row follows each rule, as bytes."""
+    out = np.zeros((len(x), len(rules)), bool)
+    for i, r in enumerate(rules):
+        out[:, i] = np.all([(x[:, f] > c) == up for f, up, c in r], axis=0)
+    return out
 
 
-def lasso_logistic(z: np.ndarray, y: np.ndarray, penalty: float = 5e-4, steps: int = 600) -> tuple[float, np.ndarray]:
+def lasso_logistic(z: np.ndarray, y: np.ndarray, penalty: float = 1e-3, steps: int = 600) -> tuple[float, np.ndarray]:
     """Accelerated proximal gradient for the mean logistic loss with an L1 penalty on all but the constant."""
     n, base = len(y), np.clip(y.mean(), 1e-3, 1 - 1e-3)
     b, w = float(np.log(base / (1 - base))), np.zeros(z.shape[1])
     if not z.shape[1]:
         return b, w
-    size = 0.25 * (np.linalg.norm(z, 2) ** 2 / n + 1)
+    z = z.astype(np.float32)
+    size = 0.25 * (float(np.linalg.eigvalsh((z.T @ z).astype(np.float64))[-1]) / n + 1)
     vb, v, t = b, w.copy(), 1.0
     for _ in range(steps):
-        err = 1 / (1 + np.exp(-np.clip(vb + z @ v, -30, 30))) - y
-        nb, nw = vb - err.mean() / size, v - z.T @ err / n / size
+        err = 1 / (1 + np.exp(-np.clip(vb + z @ v.astype(np.float32), -30, 30))) - y
+        nb, nw = vb - err.mean() / size, v - (z.T @ err.astype(np.float32)).astype(np.float64) / n / size
         nw = np.sign(nw) * np.maximum(np.abs(nw) - penalty / size, 0)
         nt = (1 + np.sqrt(1 + 4 * t * t)) / 2
         vb, v = nb + (t - 1) / nt * (nb - b), nw + (t - 1) / nt * (nw - w)
@@ -137,7 +142,7 @@ class RuleModel:
         rules = grow_rules(x, y)
         z = rule_matrix(x, rules)
         keep = [i for i in range(z.shape[1]) if 0 < z[:, i].sum() < len(z)]
-        first = {z[:, i].tobytes(): i for i in reversed(keep)}  # of rules that hold for the same rows, the first
+        first = {np.packbits(z[:, i]).tobytes(): i for i in reversed(keep)}  # of rules that hold for the same rows, the first
         keep = sorted(first.values())
         b, w = lasso_logistic(z[:, keep], y)
         return cls(b, [(float(a), rules[i]) for i, a in zip(keep, w, strict=True) if abs(a) > 1e-6])
@@ -171,6 +176,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) ->
 
     At most about fit_rows of them are read, those with the smallest hashes. Of several labels of a doc_id the lowest counts.
     """
+    bounded_batches(docs.sparkSession)
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality")).where(fold("doc_id", 5) != 0)
     rate = min(1.0, fit_rows / max(1, known.count()))
     some = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(rate * 1_000_000)) if rate < 1 else known

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, fold
+from .common import Scratch, bounded_batches, fold
 
 # Words that count in any corpus, in English, German, French and Spanish.
 WORDS = """idiot idiots idiotic moron morons moronic stupid dumbass loser losers scum scumbag worthless pathetic disgusting trash
@@ -170,6 +170,7 @@ def learn(docs: DataFrame, labels: DataFrame, scratch: Scratch, fit_rows: int =
     At most about fit_rows labelled documents are read, those with the smallest hashes; a doc_id with several labels is
     toxic if one of them says so.
     """
+    bounded_batches(docs.sparkSession)
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(fold("doc_id", 3) != 1)
     rate = min(1.0, fit_rows / max(1, known.count()))
     some = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(rate * 1_000_000)) if rate < 1 else known

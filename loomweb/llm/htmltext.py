@@ -5,7 +5,7 @@ pass labels each block: parts that by their element, role or class are menus, ad
 are blocks that are mostly links; of the others, long ones with enough stop words are good, and short ones are left
 open. Where a page marks its article, blocks in it need less to be good, and blocks outside are bad. In the second pass
 an open block gets the label of its nearest decided neighbours; where they differ, a heading goes with what follows, a
-block with stop words is good, and the rest go with the nearer one.
+block with stop words is good, and the rest go with the nearer one. Without any, a block is good.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
+
 _RAW = r"script|style|noscript|template|svg|math|iframe|object|textarea|select|canvas|audio|video|xmp|noembed|noframes|title"
 PIECE = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<({_RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)/?>|<[!?/a-zA-Z][^>]*>|[^<]+|<", re.S | re.I)
 ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|\b(hidden)\b")
@@ -214,7 +216,7 @@ def second_pass(found: list[Block], labels: list[int], marked: bool) -> list[boo
             continue
         sides = [(abs(j - i), labels[j]) for j in (before[i], after[i]) if j is not None]
         if not sides:
-            out.append(marked or label == NEAR)
+            out.append(True)  # nothing on the page speaks against it
         elif len({x for _, x in sides}) == 1:
             out.append(sides[0][1] == GOOD or (label == NEAR and len(sides) == 1))
         elif b.heading and after[i] is not None:
@@ -245,6 +247,7 @@ def extract(pages: DataFrame) -> DataFrame:
             texts = [main_text(x.as_py()) for x in b.column(2)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
+    bounded_batches(pages.sparkSession)
     types = {f.name: f.dataType.simpleString() for f in pages.schema.fields}
     out = pages.select("page_id", "url", "html").mapInArrow(run, f"page_id {types['page_id']}, url {types['url']}, text string")
     return out.withColumn("n_chars", F.length("text").cast("long"))

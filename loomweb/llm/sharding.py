@@ -132,7 +132,9 @@ def shard(docs: DataFrame, shards: int = 40, group: Column | None = None) -> Dat
         filled = here.select("doc_id", "size", "crc", pick(F.col("x"), running([g * scale for g in gaps]) if scale else [float(whole) / shards * (i + 1) for i in range(shards)]).alias("shard"))
         parts.append(filled)
         load = [a + b for a, b in zip(load, by_shard(filled, shards), strict=True)]
-    every = parts[0].union(parts[1]).union(parts[2]).union(parts[3]).withColumn("bucket", bucket)
+    # another hash than that of the positions: a shard's rows then lie evenly over all buckets
+    other = F.pmod(F.xxhash64(F.lit("slot"), "doc_id", "size", "crc"), F.lit(buckets)).cast("int")
+    every = parts[0].union(parts[1]).union(parts[2]).union(parts[3]).withColumn("bucket", other)
     every = scratch.keep(every, "placed")
     counts = every.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
     first = counts.select("shard", "bucket", (F.sum("n").over(Window.partitionBy("shard").orderBy("bucket")) - F.col("n")).alias("first"))

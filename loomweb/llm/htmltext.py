@@ -31,6 +31,7 @@ NOISE_NAMES = frozenset(
     "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner sidebar side rail widget widgets related recommended recommendations trending popular share sharing social comment comments commentlist disqus reply replies respond discussion notice notices cookie cookies consent gdpr alert newsletter subscribe subscription signup popup modal overlay breadcrumb breadcrumbs menu nav navbar navigation masthead topbar toolbar pagination pager login search copyright legal disclaimer footer foot outbrain taboola paywall".split()
 )
 ARTICLE_NAMES = re.compile(r"(?:^|[\s_-])(?:article|post|entry|story|page|main)[_-]?(?:body|content|text)(?:$|[\s_-])|^(?:articlebody|mainbody)$", re.I)
+OTHER_PARTS = re.compile(r"(?:\d+ )?(?:comments?|reader comments|leave a (?:comment|reply)|kommentare?|commentaires?|comentarios?|related(?: posts| articles| stories)?|you may also like|share this(?: article| post)?|advertisement)\b\W*(?:\(?\d+\)?)?$", re.I)
 NAME_PARTS = re.compile(r"[a-z]+")
 # Frequent words of English, German, French, Spanish, Italian, Portuguese and Dutch.
 STOP = frozenset(
@@ -48,7 +49,7 @@ GOOD, BAD, OPEN, NEAR = range(4)
 
 
 class Block:
-    __slots__ = ("text", "linked", "noise", "article", "heading")
+    __slots__ = ("text", "linked", "noise", "article", "heading")  # heading: its level, 0 for other blocks
 
     def __init__(self, text, linked, noise, article, heading):
         self.text, self.linked, self.noise, self.article, self.heading = text, linked, noise, article, heading
@@ -87,7 +88,7 @@ def blocks(page: str) -> tuple[list[Block], bool]:
     texts: list[str] = []
     noise = article = anchor = main = 0
     linked = 0
-    heading = False
+    heading = 0
     mains: list[int] = []
 
     def flush():
@@ -99,7 +100,7 @@ def blocks(page: str) -> tuple[list[Block], bool]:
                 if main:
                     mains.append(len(out))
                 out.append(Block(text, min(1.0, linked / len(text)), noise > 0, article > 0, heading))
-        linked, heading = 0, False
+        linked, heading = 0, 0
 
     def close(depth: int):
         nonlocal noise, article, anchor, main
@@ -171,8 +172,13 @@ def blocks(page: str) -> tuple[list[Block], bool]:
         noise += n
         article += a
         main += name == "main"
-        heading = name in HEADINGS
+        heading = int(name[1]) if name in HEADINGS else 0
     flush()
+    under = 0  # the level of a heading that names what follows as something else
+    for b in out:
+        if b.heading and (not under or b.heading <= under):
+            under = b.heading if OTHER_PARTS.match(b.text) else 0
+        b.noise |= under > 0
     marked = any(b.article and not b.noise for b in out)
     if not marked:
         for i in mains:

@@ -383,6 +383,8 @@ def test_main_text():
  second<br>line.<p>Short.</p><div class="ad">Buy this</div><script>var t="</p>";</script><p><b>Bold</b>text &lt;ok&gt;</p><section id="comments"><p>I like it a lot, the best of all.</p></section></article>
 <aside>side</aside><form><input><p>Name</p></form><footer>&copy; me</footer></body></html>"""
     assert htmltext.main_text(page) == "Head\nFirst & second line.\nShort.\nBoldtext <ok>"
+    below = "<article><h1>T</h1><p>Some good text that is long enough for a block of the article.</p><h3>3 Comments</h3><p>I like the text and the rest of it, the best of all the texts.</p><h2>More</h2><p>Back to it.</p></article>"
+    assert htmltext.main_text(below) == "T\nSome good text that is long enough for a block of the article.\nMore\nBack to it."
     assert htmltext.main_text(None) == htmltext.main_text("") == htmltext.main_text("<script>x</script>") == ""
     prose = "This is the first paragraph of the text and it has the words that are in the language, and so it is good for the reader. " * 3
     assert htmltext.main_text(f"<div><a href=x>one</a> <a href=y>two</a></div><div><p>{prose}</p><p>Tail.</p></div><div><a href=z>three</a></div>") == prose.strip() + "\nTail."

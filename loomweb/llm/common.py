@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -36,7 +37,7 @@ def bounded_batches(spark: SparkSession) -> None:
 
 
 class Scratch:
-    """Tables written to the folder that all machines share.
+    """Tables written to the folder that all machines share, and deleted when the driver ends.
 
     The folder is the session's spark.checkpoint.dir. Only where that is unset (tests on one machine) a temporary
     folder is made. Every table is Parquet, so a lost executor costs a reread and no recomputation.
@@ -52,6 +53,7 @@ class Scratch:
             spark.conf.set("spark.checkpoint.dir", base)
         self.base = f"{base.rstrip('/')}/loomweb-{uuid.uuid4().hex}"
         self.count = 0
+        atexit.register(self.clear)
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         """Write a table and return it read back: its lineage starts at the files."""
@@ -62,6 +64,12 @@ class Scratch:
         out._scratch_path = path
         return out
 
+    def clear(self) -> None:
+        """Delete all tables; results that read them can't be computed any more."""
+        if self.spark.sparkContext._jsc is not None:  # else the session has ended, and its folder is the cluster's to clear
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.base)
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
     def drop(self, df: DataFrame) -> None:
         """Delete a table that nothing still to be computed reads."""
         path = self.spark._jvm.org.apache.hadoop.fs.Path(df._scratch_path)

@@ -20,6 +20,8 @@ from .common import Scratch
 #: this share of a shard on.
 BUCKET, MOST_BUCKETS, ROUNDS, QUOTA, LARGE = 4096, 16384, 5, 0.9, 0.125
 STEPS = 1 << 30
+#: Groups that are sent to all tasks at most (about 20 MB); beyond it they are joined by a shuffle.
+BROADCAST_GROUPS = 250_000
 
 
 def part(*key) -> Column:
@@ -27,6 +29,11 @@ def part(*key) -> Column:
     return F.pmod(F.xxhash64(*key), F.lit(STEPS)) / F.lit(float(STEPS))
 
 
+def _checked(df: DataFrame) -> DataFrame:
+    """A table for a join: sent to all tasks if its rows are few."""
+    return F.broadcast(df) if df.count() <= BROADCAST_GROUPS else df
+
+
 def pick(x: Column, cuts: list[float]) -> Column:
     """The index of the first interval that ends above x; the last one if none does."""
     ends = F.array(*[F.lit(float(c)) for c in cuts[:-1]]) if len(cuts) > 1 else F.array().cast("array<double>")
@@ -78,7 +85,7 @@ def shard(docs: DataFrame, shards: int = 40, group: Column | None = None) -> Dat
     large = groups.where(F.col("b") > LARGE * each).select("g", F.col("b").alias("bytes"))
     large = scratch.keep(large.withColumn("begin", F.sum("bytes").over(Window.orderBy(F.desc("bytes"), "g").rowsBetween(Window.unboundedPreceding, 0)) - F.col("bytes")), "pinned")
     quota = max(QUOTA * each, (large.agg(F.sum("bytes").alias("b")).first().b or 0) / shards)
-    linked = slim.join(groups, "g")
+    linked = slim.join(_checked(groups), "g")
     at = F.least(F.floor((F.col("begin") + part("doc_id", "size", "crc") * F.col("bytes")) / quota), F.lit(shards - 1)).cast("int") if quota else F.lit(0)
     big = scratch.keep(linked.join(F.broadcast(large), "g").select("doc_id", "size", "crc", at.alias("shard")), "large")
     used = by_shard(big, shards)
@@ -106,13 +113,13 @@ def shard(docs: DataFrame, shards: int = 40, group: Column | None = None) -> Dat
         moved = F.when(part(F.lit(turn), "g") < share, F.col("best")).otherwise(F.col("shard"))
         state = scratch.keep(wished.select("g", "start", "b", "n", moved.cast("int").alias("shard")), "state")
         scratch.drop(wished)
-    few = scratch.keep(rest.join(state.select("g", "start", "shard"), ["g", "start"]).select("doc_id", "size", "crc", "shard").union(big), "linked")
+    few = scratch.keep(rest.join(_checked(state.select("g", "start", "shard")), ["g", "start"]).select("doc_id", "size", "crc", "shard").union(big), "linked")
 
     # what fills the shards: documents without links, and what a shard holds above its share
     load = by_shard(few, shards)
     over = F.element_at(F.array(*[F.lit(max(0.0, 1 - each / x) if x else 0.0) for x in load]), F.col("shard") + 1)
     out = part(F.lit("over"), "doc_id", "size", "crc") < over
-    alone = slim.join(groups.select("g"), "g", "left_anti").select("doc_id", "size", "crc")
+    alone = slim.join(_checked(groups.select("g")), "g", "left_anti").select("doc_id", "size", "crc")
     pool = alone.union(few.where(out).select("doc_id", "size", "crc"))
     level = F.when(F.col("size") > 4 * mean, 0).when(F.col("size") > mean / 2, 1).otherwise(2)
     bucket = F.pmod(F.xxhash64("doc_id", "size", "crc"), F.lit(buckets)).cast("int")

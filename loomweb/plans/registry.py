@@ -10,7 +10,7 @@ from ..operators import answers, chains, cohort, content, crawl, eligibility, en
 from ..sources import parse, robots, sitemaps
 from ..sources import crawl as source
 from . import reports
-from .shared import settle
+from .shared import settle, spread
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -31,7 +31,7 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def _crawl(spark, d, by_domain=False) -> DataFrame:
-    return source.from_pages(table(spark, d, "pages"), by_domain)
+    return source.from_pages(spread(table(spark, d, "pages")), by_domain)
 
 
 def _parsed(spark, d, by_domain=False) -> DataFrame:

@@ -23,3 +23,9 @@ def settle(df: DataFrame) -> DataFrame:
     """A reliable checkpoint: lineage ends at files that every machine can read."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scanned table in as many partitions as there are cores, if it comes in fewer: parsing pages outweighs moving them."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df

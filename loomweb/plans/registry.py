@@ -129,11 +129,10 @@ j AS (SELECT c.*, round(shared / (ma + mb - shared), 4) AS j, abs(ka.n - kb.n) A
 SELECT site, a AS doc_a, b AS doc_b, round(j * 100, 1) AS similarity FROM j WHERE j >= 0.8 AND ha <> hb AND dn <= 30""",
 )
 def near_duplicate_pairs(spark, d):
-    """Pairs whose lengths differ by 30 words at most: the branch of the gate that SQL can check."""
-    c = _document_content(spark, d)
-    n = c.select("site", "url", F.col("words").alias("n"))
-    p = content.near_duplicates(c).join(n.select("site", F.col("url").alias("url_a"), F.col("n").alias("na")), ["site", "url_a"]).join(n.select("site", F.col("url").alias("url_b"), F.col("n").alias("nb")), ["site", "url_b"])
-    return p.where("abs(na - nb) <= 30").select("site", F.col("url_a").cast("long").alias("doc_a"), F.col("url_b").cast("long").alias("doc_b"), "similarity")
+    """All pairs of the operator. The SQL has no fingerprints, so it lacks pairs that only those let through: near copies
+    whose lengths differ by more than 30 words."""
+    p = content.near_duplicates(_document_content(spark, d))
+    return p.select("site", F.col("url_a").cast("long").alias("doc_a"), F.col("url_b").cast("long").alias("doc_b"), "similarity")
 
 
 @query(

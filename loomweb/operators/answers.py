@@ -124,11 +124,26 @@ FOUNDED = r"(?i)\b(?:founded|established|since|incorporated)\s+(?:in\s+)?((?:19|
 METRIC = r"(?i)\b(\d[\d,.]*\s?(?:%|percent|\+|years|clients|customers|projects|countries|employees))"
 
 
+def _key(whole: Column) -> Column:
+    return F.substring(F.md5(F.substring(F.lower(F.trim(whole)), 1, 120)), 1, 10)
+
+
+def _claim_id(shown: Column) -> Column:
+    return F.substring(F.md5(F.lower(shown)), 1, 10)
+
+
 def passages(parsed: DataFrame, units: DataFrame) -> DataFrame:
-    """site, url, key, type, text: answer units, and the short paragraphs that are none."""
-    p = parsed.where("p is not null").select("site", "url", F.explode(F.array_distinct("p.texts")).alias("text")).withColumn("key", F.substring(F.md5(F.substring(F.lower(F.trim("text")), 1, 120)), 1, 10))
-    plain = p.join(units.select("site", "url", "key"), ["site", "url", "key"], "left_anti")
-    return units.select("site", "url", "key", "type", "text").union(plain.select("site", "url", "key", F.lit("PARAGRAPH"), "text"))
+    """site, url, key, type, text, own: the whole texts of answer units, and the paragraphs that are none, of any length.
+
+    key is the MD5 of a text; own is the id of the claim that the text itself would make (units are shown by their
+    beginning)."""
+    p = parsed.where("p is not null")
+    dom = p.select("site", "url", F.explode("p.units").alias("u")).select("site", "url", _key(F.col("u.text")).alias("unit"), F.col("u.whole").alias("text")).distinct()
+    u = units.select("site", "url", F.col("key").alias("unit"), "type", F.col("text").alias("shown")).join(dom, ["site", "url", "unit"], "left")
+    u = u.select("site", "url", "type", F.coalesce("text", "shown").alias("text"), _claim_id(F.col("shown")).alias("own")).withColumn("key", F.md5(F.lower(F.trim("text"))))
+    plain = p.select("site", "url", F.explode(F.array_distinct("p.texts")).alias("text")).withColumn("key", F.md5(F.lower(F.trim("text"))))
+    plain = plain.join(u.select("site", "url", "key"), ["site", "url", "key"], "left_anti")
+    return u.select("site", "url", "key", "type", "text", "own").union(plain.select("site", "url", "key", F.lit("PARAGRAPH"), "text", _claim_id(F.col("text"))))
 
 
 def claims(parsed: DataFrame, units: DataFrame) -> DataFrame:
@@ -136,7 +151,9 @@ def claims(parsed: DataFrame, units: DataFrame) -> DataFrame:
 
     From paragraphs of 15 to 400 characters, the description, and units: accreditation (names a standard), founding
     (a year), metric (a number), else the unit's own kind (service, specification, requirement, contact)."""
-    para = passages(parsed, units).select("site", "url", "text", "type")
+    p = parsed.where("p is not null").select("site", "url", F.explode(F.array_distinct("p.texts")).alias("text")).withColumn("key", _key(F.col("text")))
+    plain = p.join(units.select("site", "url", "key"), ["site", "url", "key"], "left_anti").select("site", "url", "text", F.lit("PARAGRAPH").alias("type"))
+    para = units.select("site", "url", "text", "type").union(plain)
     desc = parsed.where("p is not null").select("site", "url", F.col("p.meta").getItem("description").alias("text"), F.lit("DESCRIPTION").alias("type"))
     c = para.union(desc).where(F.length("text").between(15, 400))
     kind = (
@@ -144,7 +161,7 @@ def claims(parsed: DataFrame, units: DataFrame) -> DataFrame:
         .when(F.col("type").isin("SPECIFICATION", "TABLE"), "specification").when(F.col("type") == "REQUIREMENTS_ELIGIBILITY", "requirement").when(F.col("type") == "LOCATION_CONTACT", "contact").when(F.col("type") == "FACTUAL_STATEMENT", "factual")
     )
     subject = F.when(kind == "accreditation", F.upper(F.regexp_replace(F.regexp_extract("text", STANDARD, 1), r"\s+", " "))).when(kind == "founding", F.regexp_extract("text", FOUNDED, 1)).when(kind == "metric", F.regexp_extract("text", METRIC, 1)).otherwise("")
-    c = c.withColumn("kind", kind).where("kind is not null").select("site", "url", F.substring(F.md5(F.lower("text")), 1, 10).alias("claim_id"), F.col("kind").alias("type"), subject.alias("subject"), "text")
+    c = c.withColumn("kind", kind).where("kind is not null").select("site", "url", _claim_id(F.col("text")).alias("claim_id"), F.col("kind").alias("type"), subject.alias("subject"), "text")
     return c.dropDuplicates(["site", "url", "claim_id"])
 
 
@@ -153,12 +170,12 @@ def ground_claims(claim: DataFrame, passage: DataFrame) -> DataFrame:
 
     SUPPORTED_ON_SITE, PARTIALLY_SUPPORTED, UNCORROBORATED_ON_SITE, or CONTRADICTED_ON_SITE (another founding year).
     Passages meet claims on a shared subject, or on shared content words."""
-    u = passage.select("site", F.col("url").alias("u_url"), "key", F.col("type").alias("u_type"), F.col("text").alias("u_text"))
-    other = F.substring(F.md5(F.lower("u_text")), 1, 10) != F.col("claim_id")
+    u = passage.select("site", F.col("url").alias("u_url"), "key", F.col("type").alias("u_type"), F.col("text").alias("u_text"), "own")
+    other = F.col("own") != F.col("claim_id")
     std = u.withColumn("subject", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("u_text", F.lit(STANDARD), F.lit(1)), lambda x: F.upper(F.regexp_replace(x, r"\s+", " "))))))
     a = claim.where("type = 'accreditation'").join(std, ["site", "subject"]).where(other)
     a = a.groupBy("site", "url", "claim_id").agg(F.max(F.when((F.length("u_text") >= 120) | F.col("u_text").rlike(r"(?i)\b(scope|method|testing|calibration|accredited)\b"), 2).otherwise(1)).alias("s"))
-    years = u.withColumn("year", F.regexp_extract("u_text", FOUNDED, 1)).where("year <> ''")
+    years = u.withColumn("year", F.explode(F.array_distinct(F.regexp_extract_all("u_text", F.lit(FOUNDED), F.lit(1)))))
     f = claim.where("type = 'founding'").join(years, "site").where(other)
     f = f.groupBy("site", "url", "claim_id").agg(F.max(F.when(F.col("year") != F.col("subject"), 3).otherwise(2)).alias("s"))
     words = text.tokens(F.col("text"))

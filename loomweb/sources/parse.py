@@ -30,7 +30,7 @@ main_text: string, main_method: string, body_words: int, visible_text: string, c
 blocks: array<string>, texts: array<string>, resources: array<struct<tag:string, url:string>>, ids: array<string>,
 forms: array<struct<pos:int, purpose:string, method:string, action:string, controls:int, labelled:int, search:boolean, submit:string>>,
 unlabelled: int, empty_links: int, empty_buttons: int, images_without_alt: int, bad_roles: array<string>, buttons: int, mains: int,
-units: array<struct<pos:int, kind:string, heading:string, text:string, level:int>>,
+units: array<struct<pos:int, kind:string, heading:string, text:string, level:int, whole:string>>,
 scripts: int, spa_root: boolean, videos: int, audios: int, captions: int, copyright: array<string>, phones: array<string>, emails: array<string>, address: array<string>, code_blocks: int, blockquotes: int, author: string, nosnippet: int
 >"""
 # The roles of the ARIA standard.
@@ -105,7 +105,7 @@ def _units(root: Node) -> list[dict]:
     out, heading, level = [], "", 0
 
     def put(kind, text):
-        out.append({"pos": len(out), "kind": kind, "heading": heading, "text": text[:350], "level": level})
+        out.append({"pos": len(out), "kind": kind, "heading": heading, "text": text[:350], "level": level, "whole": text})
 
     for x in root.walk():
         if x.name in HEADING:
@@ -213,7 +213,7 @@ def page_record(page: str) -> dict:
         "main_text": text, "main_method": method, "body_words": words, "visible_text": flat,
         "crawl_words": len(root.text(frozenset(("script", "style", "nav", "footer"))).split()),
         "paragraphs": sum(1 for x in body.find_all("p") if len(x.text().split()) > 3),
-        "blocks": leaves, "texts": [t for x in body.find_all("p", "li", "td", "dd") if 15 <= len(t := " ".join(x.text().split())) <= 400], "resources": resources, "ids": [x.get("id") for x in root.walk() if x.get("id")],
+        "blocks": leaves, "texts": [t for x in body.find_all("p", "li", "td", "dd") if len(t := " ".join(x.text().split())) >= 15], "resources": resources, "ids": [x.get("id") for x in root.walk() if x.get("id")],
         "forms": forms, "unlabelled": sum(not _control_labelled(c, labels) for c in inputs),
         "empty_links": sum(1 for a in root.find_all("a") if a.get("href") and not _hidden(a) and not _name(a)),
         "empty_buttons": sum(1 for b in root.find_all("button") if not _hidden(b) and not _name(b)),

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,17 +28,29 @@ def nodes_of(crawl: DataFrame, edges: DataFrame) -> DataFrame:
     return every.join(roots, ["site", "id"], "left").withColumn("is_root", F.coalesce("is_root", F.lit(False)))
 
 
-def click_depth(nodes: DataFrame, edges: DataFrame, most: int = 1000) -> DataFrame:
-    """site, id, click_depth of the nodes that the root reaches, breadth first."""
+def _rounds(what: str, most: int | None) -> Iterator[int]:
+    """1, 2, ... for loops that break when they are done; an error beyond `most`."""
+    yield from range(1, most + 1) if most else itertools.count(1)
+    raise RuntimeError(f"{what}: not done after {most} rounds")
+
+
+def _with(seen: DataFrame, more: DataFrame) -> DataFrame:
+    """The union, settled, in no more partitions than a shuffle has: rounds don't add to them."""
+    return settle(seen.union(more).coalesce(int(seen.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+
+
+def click_depth(nodes: DataFrame, edges: DataFrame, most: int | None = None) -> DataFrame:
+    """site, id, click_depth of the nodes that the root reaches, breadth first. A round finds a page at least, so the
+    loop ends by itself; more than `most` rounds are an error."""
     e = settle(edges.where("src <> dst").select("site", "src", "dst").distinct())
     seen = settle(nodes.where("is_root").select("site", "id", F.lit(0).alias("click_depth")))
     front = seen
-    for step in range(1, most):
+    for step in _rounds("click_depth", most):
         nxt = front.select("site", F.col("id").alias("src")).join(e, ["site", "src"]).select("site", F.col("dst").alias("id")).distinct()
         front = settle(nxt.join(seen, ["site", "id"], "left_anti").withColumn("click_depth", F.lit(step)))
         if front.isEmpty():
             break
-        seen = settle(seen.union(front))
+        seen = _with(seen, front)
     return seen
 
 
@@ -72,34 +87,41 @@ def percentiles(ranks: DataFrame) -> DataFrame:
 
 
 def weak_components(nodes: DataFrame, edges: DataFrame, most: int = 200) -> DataFrame:
-    """site, id, component: the least id that is reached when links count both ways."""
-    both = edges.select("site", "src", "dst").union(edges.select("site", "dst", "src")).where("src <> dst").toDF("site", "src", "dst").distinct()
-    both = settle(both)
-    label = settle(nodes.select("site", "id", F.col("id").alias("component")))
-    for _ in range(most):
-        near = both.join(label.select("site", F.col("id").alias("dst"), "component"), ["site", "dst"]).groupBy("site", F.col("src").alias("id")).agg(F.min("component").alias("m"))
-        new = label.join(near, ["site", "id"], "left").select("site", "id", F.col("component").alias("old"), F.least("component", "m").alias("component"))
-        # a label's own label: halves the way to the least id
-        hop = new.select("site", F.col("id").alias("component"), F.col("component").alias("c2"))
-        new = settle(new.join(hop, ["site", "component"], "left").select("site", "id", "old", F.least("component", "c2").alias("component")))
-        label = new.drop("old")
-        if new.where("old <> component").isEmpty():
+    """site, id, component: the least id that is reached when links count both ways.
+
+    Large-star and small-star steps until the edges don't change: rounds grow with the logarithm of a component's size,
+    however its ids run. More than `most` rounds are an error."""
+    ends = lambda e: e.where("u <> v").distinct()
+    state = lambda e: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("site", "u", "v").cast("decimal(38,0)"))).first())
+    cur = settle(ends(edges.select("site", F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v"))))
+    before = state(cur)
+    for _ in _rounds("weak_components", most):
+        both = cur.union(cur.select("site", "v", "u"))
+        low = both.groupBy("site", "u").agg(F.min("v").alias("m")).select("site", "u", F.least("u", "m").alias("m"))
+        large = settle(ends(both.where("v > u").join(low, ["site", "u"]).select("site", F.col("v").alias("u"), F.col("m").alias("v"))))
+        low = large.groupBy("site", "u").agg(F.min("v").alias("m"))
+        small = large.join(low, ["site", "u"]).select("site", F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
+        cur = settle(ends(small.select("site", "e.u", "e.v")))
+        before, old = state(cur), before
+        if before == old:
             break
-    return label
+    found = cur.select("site", F.col("u").alias("id"), F.col("v").alias("component"))
+    return nodes.select("site", "id").join(found, ["site", "id"], "left").select("site", "id", F.coalesce("component", "id").alias("component"))
 
 
-def strong_components(nodes: DataFrame, edges: DataFrame, most: int = 200) -> DataFrame:
+def strong_components(nodes: DataFrame, edges: DataFrame, most: int | None = None) -> DataFrame:
     """site, id, component: pages that reach one another. Colours spread forwards by the greatest id; what a colour's
-    owner reaches backwards within its colour is a component, and the rest goes on."""
-    left = settle(nodes.select("site", "id"))
+    owner reaches backwards within its colour is a component, and the rest goes on. Every loop ends by itself; more than
+    `most` rounds of one are an error."""
+    left = settle(nodes.select("site", "id").where("site is not null and id is not null"))
     done = None
     e = settle(edges.where("src <> dst").select("site", "src", "dst").distinct())
-    for _ in range(most):
+    for _ in _rounds("strong_components", most):
         if left.isEmpty():
             break
         e = settle(e.join(left.select("site", F.col("id").alias("src")), ["site", "src"], "left_semi").join(left.select("site", F.col("id").alias("dst")), ["site", "dst"], "left_semi").select("site", "src", "dst"))
         colour = left.withColumn("c", F.col("id"))
-        for _ in range(most):
+        for _ in _rounds("strong_components", most):
             got = e.join(colour.select("site", F.col("id").alias("src"), "c"), ["site", "src"]).groupBy("site", F.col("dst").alias("id")).agg(F.max("c").alias("m"))
             new = settle(colour.join(got, ["site", "id"], "left").select("site", "id", F.col("c").alias("old"), F.greatest("c", "m").alias("c")))
             colour = new.drop("old")
@@ -108,14 +130,14 @@ def strong_components(nodes: DataFrame, edges: DataFrame, most: int = 200) -> Da
         same = e.join(colour.select("site", F.col("id").alias("src"), F.col("c").alias("cs")), ["site", "src"]).join(colour.select("site", F.col("id").alias("dst"), F.col("c").alias("cd")), ["site", "dst"]).where("cs = cd").select("site", "src", "dst")
         same = settle(same)
         found = front = settle(colour.where("id = c"))
-        for _ in range(most):
+        for _ in _rounds("strong_components", most):
             back = same.join(front.select("site", F.col("id").alias("dst"), "c"), ["site", "dst"]).select("site", F.col("src").alias("id"), "c").distinct()
             front = settle(back.join(found.select("site", "id"), ["site", "id"], "left_anti"))
             if front.isEmpty():
                 break
-            found = settle(found.union(front.select("site", "id", "c")))
+            found = _with(found, front.select("site", "id", "c"))
         part = found.select("site", "id", F.col("c").alias("component"))
-        done = part if done is None else settle(done.union(part))
+        done = part if done is None else _with(done, part)
         left = settle(left.join(found.select("site", "id"), ["site", "id"], "left_anti"))
     return done if done is not None else nodes.select("site", "id", F.col("id").alias("component")).limit(0)
 

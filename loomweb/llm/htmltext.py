@@ -5,7 +5,8 @@ pass labels each block: parts that by their element, role or class are menus, ad
 are blocks that are mostly links; of the others, long ones with enough stop words are good, and short ones are left
 open. Where a page marks its article, blocks in it need less to be good, and blocks outside are bad. In the second pass
 an open block gets the label of its nearest decided neighbours; where they differ, a heading goes with what follows, a
-block with stop words is good, and the rest go with the nearer one. Without any, a block is good.
+block with stop words is good, and the rest go with the nearer one. Without any, a block is good. On a page whose long
+blocks mostly lack stop words (another language), length and links alone decide.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ NOISE_ROLES = frozenset("navigation banner contentinfo complementary search menu
 NOISE_NAMES = frozenset(
     "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner sidebar side rail widget widgets related recommended recommendations trending popular share sharing social comment comments commentlist disqus reply replies respond discussion notice notices cookie cookies consent gdpr alert newsletter subscribe subscription signup popup modal overlay breadcrumb breadcrumbs menu nav navbar navigation masthead topbar toolbar pagination pager login search copyright legal disclaimer footer foot outbrain taboola paywall".split()
 )
+#: Parts of a class that say that something is absent, or that an element is wrapped around it and the rest.
+AROUND = frozenset("no not without with has wrap wrapper wrapped layout".split())
 ARTICLE_NAMES = re.compile(r"(?:^|[\s_-])(?:article|post|entry|story|page|main)[_-]?(?:body|content|text)(?:$|[\s_-])|^(?:articlebody|mainbody)$", re.I)
 OTHER_PARTS = re.compile(r"(?:\d+ )?(?:comments?|reader comments|leave a (?:comment|reply)|kommentare?|commentaires?|comentarios?|related(?: posts| articles| stories)?|you may also like|share this(?: article| post)?|advertisement)\b\W*(?:\(?\d+\)?)?$", re.I)
 NAME_PARTS = re.compile(r"[a-z]+")
@@ -55,6 +58,12 @@ class Block:
         self.text, self.linked, self.noise, self.article, self.heading = text, linked, noise, article, heading
 
 
+def _noise_name(word: str) -> bool:
+    """Whether a class or id, such as site-footer, names noise."""
+    parts = NAME_PARTS.findall(word)
+    return not NOISE_NAMES.isdisjoint(parts) and (len(parts) == 1 or AROUND.isdisjoint(parts))
+
+
 def _element(name: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
     """Whether an element is noise, and whether it holds an article, as (noise, article)."""
     noise = name in NOISE_TAGS or (name == "header" and not in_article)
@@ -70,7 +79,7 @@ def _element(name: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
                 article = article or value in ("article", "main")
             elif key in ("class", "id"):
                 words = value.split()
-                if any(not NOISE_NAMES.isdisjoint(NAME_PARTS.findall(w)) for w in words) and name not in ("html", "body", "article", "main"):
+                if any(map(_noise_name, words)) and name not in ("html", "body", "article", "main"):
                     noise = True
                 elif name in ("article", "section", "div") and any(w.startswith("comment") for w in words):
                     noise, article = True, False
@@ -82,9 +91,24 @@ def _element(name: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
 
 
 def blocks(page: str) -> tuple[list[Block], bool]:
-    """The blocks of a page that hold text, and whether some lie in an article."""
+    """The blocks of a page that hold text, and whether some lie in an article.
+
+    A noise part around the page's main element is none, nor is one around its article: where no article stands outside
+    noise, one that holds more text than all blocks outside."""
+    out, marked, inside = _blocks(page, ("main",))
+    if not marked and inside:
+        lifted, found, _ = _blocks(page, ("main", "article"))
+        if found and sum(len(b.text) for b in lifted if b.article and not b.noise) > sum(len(b.text) for b in out if not b.noise):
+            return lifted, found
+    return out, marked
+
+
+def _blocks(page: str, lifts: tuple[str, ...]) -> tuple[list[Block], bool, bool]:
+    """blocks(), where elements named in lifts end the noise of the div and section elements around them; and whether an
+    article stands in such noise."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # (name, noise, article)
+    stack: list[tuple[str, bool, bool, int]] = []  # (name, noise, article, blocks before it)
+    inside = False
     texts: list[str] = []
     noise = article = anchor = main = 0
     linked = 0
@@ -99,13 +123,13 @@ def blocks(page: str) -> tuple[list[Block], bool]:
             if text:
                 if main:
                     mains.append(len(out))
-                out.append(Block(text, min(1.0, linked / len(text)), noise > 0, article > 0, heading))
+                out.append(Block(text, min(1.0, linked / len(text)), noise, article > 0, heading))
         linked, heading = 0, 0
 
     def close(depth: int):
         nonlocal noise, article, anchor, main
         while len(stack) > depth:
-            name, n, a = stack.pop()
+            name, n, a, _ = stack.pop()
             noise -= n
             article -= a
             anchor -= name == "a"
@@ -136,11 +160,11 @@ def blocks(page: str) -> tuple[list[Block], bool]:
                         anchor -= 1
                         stack[at] = ("", *stack[at][1:])
                 else:
-                    stack.append(("a", False, False))
+                    stack.append(("a", False, False, len(out)))
                     anchor += 1
             elif not m[2] and m[4] and ("class" in m[4] or "hidden" in m[4] or "style" in m[4]) and name == "span":
                 n, _ = _element(name, m[4], article > 0)
-                stack.append((name, n, False))
+                stack.append((name, n, False, len(out)))
                 noise += n
                 if n:
                     flush()
@@ -168,12 +192,22 @@ def blocks(page: str) -> tuple[list[Block], bool]:
         elif stack and stack[-1][0] == "p":
             close(len(stack) - 1)
         n, a = _element(name, m[4] or "", article > 0)
-        stack.append((name, n, a))
+        if name in ("article", "main") and noise and not n:
+            inside |= name == "article"
+            for i, (other, was, holds, first) in enumerate(stack):
+                if name in lifts and was and other in ("div", "section"):
+                    stack[i] = (other, False, holds, first)
+                    noise -= 1
+                    for b in out[first:]:
+                        b.noise -= 1
+        stack.append((name, n, a, len(out)))
         noise += n
         article += a
         main += name == "main"
         heading = int(name[1]) if name in HEADINGS else 0
     flush()
+    for b in out:
+        b.noise = b.noise > 0
     under = 0  # the level of a heading that names what follows as something else
     for b in out:
         if b.heading and (not under or b.heading <= under):
@@ -184,22 +218,35 @@ def blocks(page: str) -> tuple[list[Block], bool]:
         for i in mains:
             out[i].article = True
         marked = any(b.article and not b.noise for b in out)
-    return out, marked
+    return out, marked, inside
 
 
-def first_pass(block: Block, marked: bool) -> int:
-    """GOOD, BAD, OPEN (short) or NEAR (nearly good)."""
+def _stops(block: Block) -> float:
+    """The share of stop words."""
+    words = block.text.split()
+    return sum(1 for w in words if w.strip(".,;:!?\"'()*%#&$|").lower() in STOP) / len(words)
+
+
+def foreign(found: list[Block]) -> bool:
+    """Whether the long blocks of a page mostly lack stop words, by characters."""
+    long = [b for b in found if not b.noise and b.linked <= LINKS and len(b.text) >= SHORT]
+    return sum(len(b.text) for b in long if _stops(b) >= LOW) * 2 < sum(len(b.text) for b in long)
+
+
+def first_pass(block: Block, marked: bool, unknown: bool = False) -> int:
+    """GOOD, BAD, OPEN (short) or NEAR (nearly good); unknown: stop words of the page's language aren't known."""
     if block.noise or (marked and not block.article):
         return BAD
     if block.linked > LINKS:
         return BAD
-    words = block.text.split()
-    stops = sum(1 for w in words if w.strip(".,;:!?\"'()*%#&$|").lower() in STOP) / len(words)
+    stops = _stops(block)
     n = len(block.text)
     if marked:
         return GOOD if n >= SHORT or stops >= HIGH else OPEN
     if n < SHORT:
         return OPEN
+    if unknown:
+        return GOOD if n >= LONG else NEAR
     if stops >= HIGH:
         return GOOD if n >= LONG else NEAR
     return NEAR if stops >= LOW else BAD
@@ -237,7 +284,8 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     found, marked = blocks(page)
-    kept = second_pass(found, [first_pass(b, marked) for b in found], marked)
+    unknown = not marked and foreign(found)
+    kept = second_pass(found, [first_pass(b, marked, unknown) for b in found], marked)
     return "\n".join(b.text for b, k in zip(found, kept, strict=True) if k)
 
 

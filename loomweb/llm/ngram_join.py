@@ -3,7 +3,8 @@
 A document is its set of 64-bit shingle hashes. Two sets of sizes a and b with Jaccard similarity J or more share at
 least T = ceil(J * a) hashes, whichever of the two is a. The search runs in these steps, all exact:
 
-1.  Sets that are equal become one class, represented by its smallest doc_id.
+1.  Sets that are equal become one class, represented by its smallest doc_id (by a number of its own where a doc_id
+    stands for several texts).
 2.  Inverted lists are kept for part of the hash space: the hashes below a cut (a share of about 2.2 * (1 - J) of all
     hash values, the same for all documents), of documents that have at least p = a - T + 1 hashes there. Small
     documents, and all near the size of any document that has too few, are listed in full as a second level. Either
@@ -72,20 +73,20 @@ def need(n: int, num: int, den: int) -> int:
 
 
 def _sets(docs: DataFrame, k: int, schema: str, row) -> DataFrame:
-    """mapInArrow over (doc_id, text bytes, ...); row(set) gives the values after doc_id."""
-    kind = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
+    """mapInArrow over (doc_id, text bytes) and the hash of the text; row(set) gives the values after doc_id and th."""
+    kind = T._parse_datatype_string("doc_id bigint, th bigint, " + schema)
 
     def run(batches):
         words = Words()
         names = [f.name for f in kind.fields]
         for b in batches:
             out = [[] for _ in names]
-            for d, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                for to, value in zip(out, (d, *row(shingle_set(t.as_py(), k, words))), strict=True):
+            for d, t, th in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
+                for to, value in zip(out, (d, th, *row(shingle_set(t.as_py(), k, words))), strict=True):
                     to.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(v, type=ty) for v, ty in zip(out, arrow(kind), strict=True)], names=names)
 
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, kind)
+    return docs.select("doc_id", F.col("text").cast("binary").alias("text"), F.xxhash64("text").alias("th")).mapInArrow(run, kind)
 
 
 def arrow(kind: T.StructType) -> list[pa.DataType]:
@@ -121,7 +122,7 @@ def probe(small: np.ndarray, large: np.ndarray) -> int:
 
 def divide_skip(lists: list[list[int]], t: int) -> list[tuple[int, int]]:
     """The T-occurrence search on one machine: members in t lists or more, by merging all but the t - 1 longest lists
-    and probing those; used for what fits a list segment, and by the tests as the plain form of steps 3 and 4."""
+    and probing those. The plain form of steps 3 and 5, which the tests hold against a count over all lists."""
     ordered = sorted(lists, key=len)
     cut = max(1, len(ordered) - (t - 1))
     short, long = ordered[:cut], [np.asarray(x, np.int64) for x in ordered[cut:]]
@@ -182,9 +183,20 @@ def ngram_components(docs: DataFrame, k: int = 5, similarity: str | float = "0.8
     """doc_id, n_shingles, component_id of every row of docs (doc_id, text, any other columns).
 
     Words are runs of anything but ASCII white space, with A-Z folded. A null, empty or blank text has no shingles and
-    links with nothing; fewer than k words count as one shingle. Rows with equal sets are linked. Repeated doc_ids
-    come back as often as they came; a null doc_id is a document that links with none. An empty table gives none.
+    links with nothing; fewer than k words count as one shingle. Rows with equal sets are linked. component_id is the
+    smallest doc_id among the rows that links reach. Repeated doc_ids come back as often as they came, and rows of one
+    doc_id with different texts are documents of their own: each is linked by its own text. A null doc_id is a document
+    that links with none. An empty table gives none.
     """
+    named, nameless, _ = _components(docs, k, similarity)
+    out = named.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("low", "doc_id").alias("component_id"))
+    return out.union(nameless.select("doc_id", F.col("n").cast("long"), F.lit(None).cast("long")))
+
+
+def _components(docs: DataFrame, k: int, similarity: str | float) -> tuple[DataFrame, DataFrame, bool]:
+    """Of every row with a doc_id: doc_id, hash of the text (th), n, digest, group of linked sets and smallest doc_id
+    (low) in it, both null without shingles; doc_id, th and n of the rows without a doc_id; and whether each doc_id
+    comes once."""
     spark = docs.sparkSession
     bounded_batches(spark)
     scratch = Scratch(spark)
@@ -204,20 +216,23 @@ def ngram_components(docs: DataFrame, k: int = 5, similarity: str | float = "0.8
             parts = ([s[:low]] if n > alone else []) + ([s | np.int64(1)] if n <= full else [])
             return n, xxhash.xxh3_128_digest(s.tobytes()) if n else None, weak, low if n > alone else 0, np.concatenate(parts).tobytes() if n else b""
 
-        base = scratch.keep(_sets(docs.where("doc_id is not null"), k, "doc_id bigint, n int, digest binary, weak int, l0 int, lists binary", listed), "lists")
+        base = scratch.keep(_sets(docs.where("doc_id is not null"), k, "n int, digest binary, weak int, l0 int, lists binary", listed), "lists")
         total = base.agg(F.max("weak").alias("weak"), F.count("*").alias("rows"), F.count_distinct("doc_id").alias("ids")).first()
         if -(-(total.weak or 0) * den // num) <= full:
             break
         full = -(-total.weak * den // num)
         scratch.drop(base)
 
-    classes = scratch.keep(base.where("n > 0").groupBy("n", "digest").agg(F.min("doc_id").alias("rep")), "classes")
-    heads = base.where("n > 0")
-    copies = base.where("n > 0").select("doc_id", "n", "digest").join(classes, ["n", "digest"]).where("doc_id <> rep").select("doc_id").distinct()
-    heads = heads.join(_checked(copies), "doc_id", "left_anti")
-    if total.rows != total.ids:
-        heads = heads.groupBy("doc_id").agg(F.first("n").alias("n"), F.first("l0").alias("l0"), F.first("lists").alias("lists"))
-    heads = heads.select("doc_id", "n", "l0", "lists")
+    # equal sets are one class, known by the number rep; low is its smallest doc_id
+    some = base.where("n > 0")
+    if total.rows == total.ids:  # rep is low, which no other class has
+        classes = scratch.keep(some.groupBy("n", "digest").agg(F.min("doc_id").alias("low")).withColumn("rep", F.col("low")), "classes")
+        copies = some.select("doc_id", "n", "digest").join(classes, ["n", "digest"]).where("doc_id <> rep").select("doc_id").distinct()
+        heads = some.join(_checked(copies), "doc_id", "left_anti").select("doc_id", "n", "l0", "lists")
+    else:  # a doc_id may stand for several texts: classes are numbered as they are written
+        firsts = some.groupBy("n", "digest").agg(F.min("doc_id").alias("low"), F.first("l0").alias("l0"), F.first("lists").alias("lists"))
+        numbered = scratch.keep(firsts.withColumn("rep", F.monotonically_increasing_id()), "classes")
+        classes, heads = numbered.select("n", "digest", "low", "rep"), numbered.select(F.col("rep").alias("doc_id"), "n", "l0", "lists")
 
     def counted(batches):
         held, size = [], 0
@@ -271,9 +286,15 @@ def ngram_components(docs: DataFrame, k: int = 5, similarity: str | float = "0.8
     fits = lambda a, b: F.least(a, b) * den >= F.greatest(a, b) * num
     star = scratch.keep(short.join(first, "token").where((F.col("doc") != F.col("y")) & fits(F.col("n"), F.col("m"))).select(F.col("doc").alias("x"), "y").distinct(), "star")
     ends = star.select("x").union(star.select("y")).union(short.join(first, "token").select("doc")).toDF("doc_id").distinct()
-    found = scratch.keep(_sets(docs.select("doc_id", "text").join(_checked(scratch.keep(ends, "ends")), "doc_id", "left_semi"), k, "doc_id bigint, s binary", lambda s: (s.tobytes(),)), "sets")
-    if total.rows != total.ids:
-        found = found.groupBy("doc_id").agg(F.first("s").alias("s"))
+    ends = scratch.keep(ends, "ends")
+    if total.rows == total.ids:
+        found = scratch.keep(_sets(docs.select("doc_id", "text").join(_checked(ends), "doc_id", "left_semi"), k, "s binary", lambda s: (s.tobytes(),)), "sets").drop("th")
+    else:
+        wanted = scratch.keep(classes.join(ends, classes.rep == ends.doc_id, "left_semi"), "wanted")
+        lows = wanted.select(F.col("low").alias("doc_id")).distinct()
+        rows = _sets(docs.select("doc_id", "text").join(_checked(lows), "doc_id", "left_semi"), k, "digest binary, s binary", lambda s: (xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None, s.tobytes()))
+        found = rows.groupBy("digest").agg(F.first("s").alias("s")).join(wanted, "digest").select(F.col("rep").alias("doc_id"), "s")
+        found = scratch.keep(found, "sets")
 
     def similar(a, b):
         import pandas as pd
@@ -296,10 +317,12 @@ def ngram_components(docs: DataFrame, k: int = 5, similarity: str | float = "0.8
     if not left.isEmpty():
         near = scratch.keep(connected_components(edges.union(_remaining(left, found, num, den, scratch)), scratch), "components")
 
-    named = classes.join(near.select(F.col("id").alias("rep"), "component"), "rep", "left").select("n", "digest", F.coalesce("component", "rep").alias("component"))
-    out = base.select("doc_id", "n", "digest").join(named, ["n", "digest"], "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
-    nameless = _sets(docs.where("doc_id is null"), k, "doc_id bigint, n int", lambda s: (len(s),))
-    return out.union(nameless.select("doc_id", F.col("n").cast("long"), F.lit(None).cast("long")))
+    group = classes.join(near.select(F.col("id").alias("rep"), "component"), "rep", "left").select("n", "digest", "low", F.coalesce("component", "rep").alias("group"))
+    if total.rows != total.ids:
+        group = group.drop("low").join(group.groupBy("group").agg(F.min("low").alias("low")), "group")
+    else:
+        group = group.withColumn("low", F.col("group"))
+    return base.select("doc_id", "th", "n", "digest").join(group, ["n", "digest"], "left"), _sets(docs.where("doc_id is null"), k, "n int", lambda s: (len(s),)), total.rows == total.ids
 
 
 def _tokens(token: np.ndarray, value: np.ndarray, name: str = "c") -> pa.RecordBatch:
@@ -351,6 +374,20 @@ def _remaining(left: DataFrame, found: DataFrame, num: int, den: int, scratch: S
 
 
 def one_of_each(docs: DataFrame, k: int = 5, similarity: str | float = "0.8") -> DataFrame:
-    """The documents whose doc_id is the smallest of their group of near copies, each once; rows without a doc_id stay."""
-    keep = ngram_components(docs, k, similarity).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.where("doc_id is not null").dropDuplicates(["doc_id"]).join(keep, "doc_id", "left_semi").select(docs.columns).union(docs.where("doc_id is null"))
+    """One row of each group of near copies, that with the smallest doc_id; texts without shingles and rows without a
+    doc_id stay.
+
+    Rows of one doc_id with different texts are documents of their own: one of two near copies goes, others stay. Of
+    rows with equal doc_id and text one stays, the first in the order of the columns that have an order.
+    """
+    named, _, once = _components(docs, k, similarity)
+    row = F.struct("doc_id", "digest", "th")
+    best = named.where("n > 0").groupBy("group").agg(F.min(row).alias("r")).select("r.doc_id", "r.th")
+    keep = best.union(named.where("n = 0").select("doc_id", "th").distinct())
+    some = docs.where("doc_id is not null").withColumn("_th", F.xxhash64("text"))
+    some = some.join(keep.toDF("doc_id", "_th"), ["doc_id", "_th"], "left_semi")
+    if once:
+        return some.select(docs.columns).union(docs.where("doc_id is null"))
+    ordered = [f.name for f in docs.schema.fields if "map<" not in f.dataType.simpleString() and f.dataType.simpleString() != "variant"]
+    one = some.groupBy("doc_id", "_th").agg(F.min_by(F.struct(*docs.columns), F.struct(*ordered)).alias("r")).select("r.*")
+    return one.select(docs.columns).union(docs.where("doc_id is null"))

@@ -96,6 +96,22 @@ def test_ngram_edges(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(d for d, (_, c) in want.items() if d == c)
 
 
+def test_ngram_doc_id_with_several_texts(spark):
+    rng = random.Random(8)
+    a, b, c = (words(rng, 40, 900) for _ in range(3))
+    near = " ".join(["changed", *b.split()[1:]])
+    rows = [(5, a), (5, b), (9, near), (7, c), (7, c), (3, b + " end"), (3, a.upper()), (4, "")]
+    want = [3, 3, 3, 7, 7, 3, 3, 4]
+    many = [words(rng, 30, 900) for _ in range(40)]  # a doc_id with many texts, each a near copy of one of another
+    rows += [(11, t) for t in many] + [(100 + i, t + " more") for i, t in enumerate(many)]
+    want += [11] * 80
+    got = sorted((r.doc_id, r.component_id) for r in ngram_join.ngram_components(frame(spark, rows, "doc_id bigint, text string")).collect())
+    assert got == sorted((d, w) for (d, _), w in zip(rows, want, strict=True))
+    kept = ngram_join.one_of_each(frame(spark, [(*r, i, {"k": i}) for i, r in enumerate(rows)], "doc_id bigint, text string, nth int, extra map<string,int>")).collect()
+    # two groups, of a and of b, each by the row with the smallest doc_id; c once, its first row; the empty text; the many
+    assert sorted(r.nth for r in kept) == [3, 5, 6, 7, *range(8, 48)]
+
+
 def test_divide_skip():
     rng = random.Random(1)
     for _ in range(50):

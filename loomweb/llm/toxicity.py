@@ -3,8 +3,9 @@
 Text is lower-cased; full-width and look-alike letters of other scripts become Latin, invisible characters go, digits
 and signs inside words become the letters they stand for, and letters set apart by spaces or dots are joined. The
 lexicon has fixed words and what labelled documents teach: words, and word beginnings shared by several words, that
-documents labelled toxic hold far more often than others do. Matches that lie in an exception phrase don't count. The
-sum of the weights per word of text goes through a logistic curve that is fitted to the labels.
+documents labelled toxic hold far more often than others do. Matches of the plain and of the undisguised text are spans
+of one text: those that lie in an exception phrase, disguised or not, don't count, and a word counts once, by its heaviest
+pattern. The sum of the weights per word of text goes through a logistic curve that is fitted to the labels.
 """
 
 from __future__ import annotations
@@ -42,7 +43,8 @@ MIXED = re.compile(r"[^\W\d_][0-9@$!|]|[0-9@$!|][^\W\d_]")
 TOKEN = re.compile(r"\S+")
 APART = re.compile(r"(?<!\S)[^\W\d_](?:[ .\-_*][^\W\d_]){3,}(?!\w)")
 EDGES = ".,;:!?\"'()[]{}<>*%#&$|…«»„“”"
-#: Beginnings of words that are tried, in letters; labelled documents that are read at most; weight of fixed words.
+#: Lengths of the beginnings of words that are tried beside whole words; labelled documents that are read at most; weight
+#: of fixed words.
 STEMS, FIT_ROWS, FIXED = (4, 8), 20_000, 1.0
 
 
@@ -51,32 +53,39 @@ def plain(text: str) -> str:
     return text.lower().translate(PLAIN)
 
 
-def disguised(token: str) -> str:
-    """A token with the letters that its digits and signs stand for, i and l taken as one."""
-    return token.strip(".,;:?\"'()[]").rstrip("!").translate({ord(a): b for a, b in DIGITS.items()}).replace("l", "i")
+STANDS_FOR = {ord(a): b for a, b in DIGITS.items()} | {ord("l"): "i"}
+HEAD, TAIL = ".,;:?\"'()[]", ".,;:?\"'()[]!"
+
+
+def disguised(text: str) -> str:
+    """A text with the letters that its digits and signs stand for, i and l taken as one; as long as it was."""
+    return text.translate(STANDS_FOR)
 
 
 class Lexicon:
-    """patterns: {text: (weight, whole word?)}; harmless phrases; one automaton for both and one for disguised words."""
+    """patterns: {text: (weight, whole word?)}; harmless phrases; one automaton for plain and one for undisguised text."""
 
     def __init__(self, patterns: dict[str, tuple[float, bool]], exceptions=tuple(EXCEPTIONS)):
         self.patterns, self.exceptions = patterns, exceptions
         self.main, self.alike = ahocorasick.Automaton(), ahocorasick.Automaton()
-        for p, (w, whole) in patterns.items():
+        known = {p: (w, whole) for p, (w, whole) in patterns.items()} | {p: (0.0, True) for p in exceptions if p not in patterns}
+        folded: dict[str, tuple[float, bool]] = {}
+        for p, (w, whole) in known.items():
             self.main.add_word(p, (len(p), w, whole))
-            self.alike.add_word(disguised(p), (len(disguised(p)), w, whole))
-        for p in exceptions:
-            if p not in patterns:
-                self.main.add_word(p, (len(p), 0.0, True))
+            folded[disguised(p)] = max(folded.get(disguised(p), (0.0, True)), (w, whole))
+        for p, (w, whole) in folded.items():
+            self.alike.add_word(p, (len(p), w, whole))
         for a in (self.main, self.alike):
             if len(a):
                 a.make_automaton()
+        self.reach = max(map(len, known), default=0) + 2
 
     def __reduce__(self):
         return Lexicon, (self.patterns, self.exceptions)
 
     @staticmethod
     def _hits(auto, text: str) -> list[tuple[int, int, float]]:
+        """(start, end, weight) of the patterns that begin, and if they are whole words end, at the edge of a word."""
         out = []
         for end, (n, w, whole) in auto.iter(text):
             start = end - n + 1
@@ -85,30 +94,75 @@ class Lexicon:
             out.append((start, end + 1, w))
         return out
 
+    def _undisguised(self, t: str) -> list[tuple[int, int, float]]:
+        """The patterns in words that hold digits or signs for letters, and the exception phrases around them."""
+        words = []
+        for m in TOKEN.finditer(t):
+            word = m[0].rstrip(TAIL)  # signs after a word are no letters
+            bare = word.lstrip(HEAD)
+            if MIXED.search(bare):
+                words.append((m.start() + len(word) - len(bare), m.start() + len(word)))
+        out, i = [], 0
+        while i < len(words):  # words near each other are read in one piece of text
+            first, end = max(0, words[i][0] - self.reach), words[i][1]
+            j, piece = i, []
+            while j < len(words) and words[j][0] <= end + self.reach:
+                piece.append(words[j])
+                end = words[j][1]
+                j += 1
+            last = min(len(t), end + self.reach)
+            parts, at = [], first
+            for a, b in piece:
+                parts += [t[at:a].replace("l", "i"), disguised(t[a:b])]
+                at = b
+            parts.append(t[at:last].replace("l", "i"))
+            k = 0
+            for a, b, w in sorted(self._hits(self.alike, "".join(parts))):
+                a, b = a + first, b + first
+                while k < len(piece) and piece[k][1] <= a:
+                    k += 1
+                inside = k < len(piece) and piece[k][0] <= a and (b <= piece[k][1] or not w)
+                if inside or (not w and k < len(piece) and piece[k][0] < b):
+                    out.append((a, b, w))
+            i = j
+        return out
+
+    def _apart(self, t: str) -> list[tuple[int, int, float]]:
+        """The patterns in letters that are set apart, and the exception phrases that these begin."""
+        out = []
+        for m in APART.finditer(t):
+            word = re.sub(r"[ .\-_*]", "", m[0])
+            longer = self.reach + len(m[0]) - len(word)
+            for a, b, w in self._hits(self.alike, disguised(word) + t[m.end() : m.end() + self.reach].replace("l", "i")):
+                if not a:
+                    out.append((m.start(), m.end() + max(0, b - len(word)) if not w else min(m.end(), m.start() + longer), w))
+        return out
+
     def weight(self, text: str | None) -> tuple[float, int]:
         """The sum of the weights that match, and the number of words."""
         if not text or not len(self.main):
             return 0.0, len(text.split()) if text else 0
         t = plain(text)
         hits = self._hits(self.main, t)
-        total = 0.0
-        if hits:
-            safe = [(a, b) for a, b, w in hits if not w]
-            best: dict[int, float] = {}  # by where it starts: a word counts once, by its heaviest pattern
-            for a, b, w in hits:
-                if w and not any(x <= a and b <= y for x, y in safe):
-                    best[a] = max(best.get(a, 0), w)
-            total = sum(best.values())
         if MIXED.search(t):
-            for m in TOKEN.finditer(t):
-                if MIXED.search(m[0]) and (x := disguised(m[0])):
-                    total += max((w for a, _, w in self._hits(self.alike, x) if not a), default=0.0)
-        for m in APART.finditer(t):
-            total += max((w for a, _, w in self._hits(self.alike, disguised(re.sub(r"[ .\-_*]", "", m[0]))) if not a), default=0.0)
+            hits += self._undisguised(t)
+        hits += self._apart(t)
         if not t.isascii():
             bare = t.translate(ACCENTS)
-            known = {a for a, _, w in hits if w}
-            total += sum(w for a, b, w in self._hits(self.main, bare) if w and a not in known and t[a:b] != bare[a:b] and self.patterns.get(bare[a:b], (0, False))[1])
+            hits += [(a, b, w) for a, b, w in self._hits(self.main, bare) if t[a:b] != bare[a:b] and (not w or self.patterns[bare[a:b]][1])]
+        total = 0.0
+        if hits:
+            # one pass in order of the starts, phrases before words: safe is how far the phrases so far reach
+            safe, at, best = 0, -1, 0.0
+            for a, b, w in sorted(hits, key=lambda h: (h[0], h[2] > 0, h[1])):
+                if not w:
+                    safe = max(safe, b)
+                    continue
+                if a != at:
+                    total, at, best = total + best, a, 0.0
+                if b > safe:
+                    best = max(best, w)
+            total += best
         return total, len(t.split())
 
     def feature(self, text: str | None) -> float:
@@ -131,19 +185,28 @@ def fit_curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(p[0]), float(p[1])
 
 
-def choose(rows: list[tuple[str, str, str, int, int]], toxic: int, clean: int) -> dict[str, tuple[float, bool]]:
-    """Patterns from (beginning, first and last word with it, toxic documents, clean documents).
+def fewest(tried: int, toxic: int, clean: int) -> float:
+    """In how many toxic documents a candidate must be, for chance not to explain it among so many."""
+    base = toxic / (toxic + clean)
+    return max(4, math.log(1e-3 / max(1, tried)) / math.log(base) if base < 1 else 4)
+
+
+def choose(rows: list[tuple[str, str, str, int, int]], tried: int, toxic: int, clean: int) -> dict[str, tuple[float, bool]]:
+    """Patterns from (beginning, first and last word with it, toxic documents, clean documents), of `tried` candidates.
 
     A beginning counts if its documents are toxic more often than chance allows among so many candidates, and nearly
     always. One that a single word has gives that word. Of nested beginnings the longest that keeps the documents stays.
+    A whole word comes as "=word"; it counts if no beginning of it does.
     """
     if not toxic or not clean:
         return {}
-    base = toxic / (toxic + clean)
-    least = max(4, math.log(1e-3 / max(1, len(rows))) / math.log(base) if base < 1 else 4)
-    good = {p: (a, b, lo, hi) for p, lo, hi, a, b in rows if a >= least and a >= 20 * b}
+    least = fewest(tried, toxic, clean)
+    every = {p: (a, b, lo, hi) for p, lo, hi, a, b in rows if a >= least and a >= 20 * b}
+    good = {p: v for p, v in every.items() if p[0] != "="}
     out: dict[str, tuple[float, bool]] = {}
     top = math.log((toxic + 0.5) / (toxic + 1)) - math.log(0.5 / (clean + 1))
+    share = lambda a, b: (math.log((a + 0.5) / (toxic + 1)) - math.log((b + 0.5) / (clean + 1))) / top
+    strength = lambda a, b: round(max(0.3, min(1.0, share(a, b) + 0.3)), 4)
     for p in sorted(good, key=lambda p: (len(p), p)):
         a, b, lo, hi = good[p]
         if any(p[:n] in good and good[p[:n]][0] > a * 1.02 for n in range(STEMS[0], len(p))):
@@ -151,8 +214,11 @@ def choose(rows: list[tuple[str, str, str, int, int]], toxic: int, clean: int) -
         longer = [q for q in good if q.startswith(p) and q != p and good[q][0] * 1.02 >= a]
         if longer and lo != hi:
             continue  # a longer one has them all
-        weight = (math.log((a + 0.5) / (toxic + 1)) - math.log((b + 0.5) / (clean + 1))) / top
-        out[lo if lo == hi else p] = (round(max(0.3, min(1.0, weight + 0.3)), 4), lo == hi)
+        out[lo if lo == hi else p] = (strength(a, b), lo == hi)
+    for p in sorted(every.keys() - good.keys()):
+        a, b, word, _ = every[p]
+        if word not in out and not any(word[:n] in out for n in range(STEMS[0], min(STEMS[1], len(word)) + 1)):
+            out[word] = (strength(a, b), True)
     return out
 
 
@@ -167,8 +233,9 @@ def sketches(text: str | None) -> tuple[int, int, int]:
 def learn(docs: DataFrame, labels: DataFrame, scratch: Scratch, fit_rows: int = FIT_ROWS) -> tuple[Lexicon, tuple[float, float]]:
     """A lexicon and curve from labelled documents whose fold (crc32 of doc_id, modulo 3) is not 1.
 
-    At most about fit_rows labelled documents are read, those with the smallest hashes; a doc_id with several labels is
-    toxic if one of them says so.
+    At most about fit_rows labelled documents are read, those with the smallest hashes; their words, of any length, and
+    the beginnings of 4 to 8 letters that several words share are tried. A doc_id with several labels is toxic if one of
+    them says so.
     """
     bounded_batches(docs.sparkSession)
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(fold("doc_id", 3) != 1)
@@ -189,11 +256,10 @@ def learn(docs: DataFrame, labels: DataFrame, scratch: Scratch, fit_rows: int =
             toxic, clean, first, last = Counter(), Counter(), {}, {}
             for text, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 seen = set()
-                for w in {w.strip(EDGES) for w in plain(text or "").split()}:
-                    if len(w) > 40:
-                        continue
-                    for n in range(STEMS[0], min(STEMS[1], len(w)) + 1):
-                        p = w[:n]
+                for w in {w.strip(EDGES) for w in plain(text or "").split()} - {""}:
+                    # beginnings, and the whole word where it is none of them
+                    cuts = [w[:n] for n in range(STEMS[0], min(STEMS[1], len(w)) + 1) if w[0] != "="]
+                    for p in cuts if cuts and cuts[-1] == w else [*cuts, "=" + w]:
                         seen.add(p)
                         if p not in first or w < first[p]:
                             first[p] = w
@@ -205,10 +271,10 @@ def learn(docs: DataFrame, labels: DataFrame, scratch: Scratch, fit_rows: int =
 
     totals = {r.toxic: r["count"] for r in sample.groupBy("toxic").count().collect()}
     counted = sample.mapInArrow(stems, "p string, lo string, hi string, a bigint, b bigint").groupBy("p").agg(F.min("lo"), F.max("hi"), F.sum("a").alias("a"), F.sum("b").alias("b"))
-    rows = [tuple(r) for r in counted.where("a >= 4 and a >= 20 * b").collect()]
-    tried = counted.where("a >= 4").count()
     toxic, clean = totals.get(1, 0), totals.get(0, 0)
-    lexicon = Lexicon({w: (FIXED, True) for w in WORDS} | choose(rows + [("", "", "", 0, 1)] * max(0, tried - len(rows)), toxic, clean))
+    tried = counted.where("a >= 4").count()
+    found = counted.where((F.col("a") >= fewest(tried, toxic, clean)) & F.expr("a >= 20 * b")).collect() if toxic and clean else []
+    lexicon = Lexicon({w: (FIXED, True) for w in WORDS} | choose([tuple(r) for r in found], tried, toxic, clean))
 
     def feature(texts: pd.Series) -> pd.Series:
         return texts.map(lexicon.feature)

@@ -1,12 +1,14 @@
 """Main text of web pages by two passes of rules over blocks.
 
-A page is cut into blocks at block-level tags; scripts, styles, hidden parts and comments in the markup go. The first
-pass labels each block: parts that by their element, role or class are menus, adverts, forms and the like are bad, as
-are blocks that are mostly links; of the others, long ones with enough stop words are good, and short ones are left
-open. Where a page marks its article, blocks in it need less to be good, and blocks outside are bad. In the second pass
-an open block gets the label of its nearest decided neighbours; where they differ, a heading goes with what follows, a
-block with stop words is good, and the rest go with the nearer one. Without any, a block is good. On a page whose long
-blocks mostly lack stop words (another language), length and links alone decide.
+A page is cut into blocks at block-level tags; scripts, styles, hidden parts and comments in the markup go, as does what
+an element or a role says to be a menu, form, aside or footer. The first pass labels each block by its share of stop
+words, its length and its share of linked text: long ones with enough stop words are good, those with few stop words
+and runs of blocks that are mostly links are bad, and short ones are left open. Class and id names shift the thresholds:
+a part named after adverts, comments and the like is bad where text stands outside such parts, and one whose name only
+mentions them must be longer and denser to be good. Where a page marks its article, blocks in it need less to be good, and
+blocks outside are bad. In the second pass an open block gets the label of its nearest decided neighbours; where they
+differ, a heading goes with what follows, a block with stop words is good, and the rest go with the nearer one. Without
+any, a block is good. On a page whose long blocks mostly lack stop words (another language), length and links decide.
 """
 
 from __future__ import annotations
@@ -20,10 +22,10 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches
 
-_RAW = r"script|style|noscript|template|svg|math|iframe|object|textarea|select|canvas|audio|video|xmp|noembed|noframes|title"
+_RAW = r"script|style|noscript|template|svg|annotation-xml|annotation|iframe|object|textarea|select|canvas|audio|video|xmp|noembed|noframes|title"
 PIECE = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<({_RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)/?>|<[!?/a-zA-Z][^>]*>|[^<]+|<", re.S | re.I)
 ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|\b(hidden)\b")
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark meter nobr output picture progress q rp rt ruby s samp small source span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark meter nobr output picture progress q rp rt ruby s samp small source span strike strong sub sup time tt u var wbr math semantics mrow mi mn mo mtext mspace ms mfrac msqrt mroot msub msup msubsup munder mover munderover mmultiscripts mprescripts none mstyle mpadded mphantom menclose mtable mtr mtd".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 NOISE_TAGS = frozenset("nav footer aside form button menu dialog fieldset".split())
@@ -31,10 +33,16 @@ NOISE_ROLES = frozenset("navigation banner contentinfo complementary search menu
 NOISE_NAMES = frozenset(
     "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner sidebar side rail widget widgets related recommended recommendations trending popular share sharing social comment comments commentlist disqus reply replies respond discussion notice notices cookie cookies consent gdpr alert newsletter subscribe subscription signup popup modal overlay breadcrumb breadcrumbs menu nav navbar navigation masthead topbar toolbar pagination pager login search copyright legal disclaimer footer foot outbrain taboola paywall".split()
 )
+COMMENT_NAMES = frozenset("comment comments commentlist disqus reply replies respond".split())
 #: Parts of a class that say that something is absent, or that an element is wrapped around it and the rest.
 AROUND = frozenset("no not without with has wrap wrapper wrapped layout".split())
+#: Parts of a class that leave the others their meaning: where a part stands, what it looks like, how often it comes.
+GENERIC = frozenset(
+    "site page main top bottom left right upper lower inner outer global primary secondary box block blocks list item items container section area bar row col column columns group link links button buttons icon icons panel module unit slot zone strip post posts article articles entry entries story stories title header heading text message msg form field inline sticky fixed mobile desktop google js id by thread count author date meta new the and".split()
+)
 ARTICLE_NAMES = re.compile(r"(?:^|[\s_-])(?:article|post|entry|story|page|main)[_-]?(?:body|content|text)(?:$|[\s_-])|^(?:articlebody|mainbody)$", re.I)
-OTHER_PARTS = re.compile(r"(?:\d+ )?(?:comments?|reader comments|leave a (?:comment|reply)|kommentare?|commentaires?|comentarios?|related(?: posts| articles| stories)?|you may also like|share this(?: article| post)?|advertisement)\b\W*(?:\(?\d+\)?)?$", re.I)
+COMMENTS = re.compile(r"(?:\d+ )?(?:comments?|reader comments|leave a (?:comment|reply)|kommentare?|commentaires?|comentarios?)\b\W*(?:\(?\d+\)?)?$", re.I)
+RELATED = re.compile(r"(?:related(?: posts| articles| stories)?|you may also like|read more|more from .{1,40}|share this(?: article| post)?|advertisement)\W*$", re.I)
 NAME_PARTS = re.compile(r"[a-z]+")
 # Frequent words of English, German, French, Spanish, Italian, Portuguese and Dutch.
 STOP = frozenset(
@@ -49,25 +57,33 @@ STOP = frozenset(
 )
 SHORT, LONG, LOW, HIGH, LINKS = 70, 200, 0.12, 0.22, 0.5
 GOOD, BAD, OPEN, NEAR = range(4)
+#: What an element's names say: nothing, that noise is mentioned, that it is noise, that it is readers' comments.
+CLEAR, MENTIONS, NAMED, READERS = range(4)
 
 
 class Block:
-    __slots__ = ("text", "linked", "noise", "article", "heading")  # heading: its level, 0 for other blocks
+    __slots__ = ("text", "linked", "noise", "article", "heading", "named", "item")
 
-    def __init__(self, text, linked, noise, article, heading):
-        self.text, self.linked, self.noise, self.article, self.heading = text, linked, noise, article, heading
+    def __init__(self, text, linked, noise, article, heading, named=CLEAR, item=False):
+        self.text, self.linked, self.noise, self.article = text, linked, noise, article
+        self.heading, self.named, self.item = heading, named, item  # heading: its level, 0 for others; item: of a list
 
 
-def _noise_name(word: str) -> bool:
-    """Whether a class or id, such as site-footer, names noise."""
+def name_says(word: str) -> int:
+    """What a class or id, such as site-footer or legal-analysis, says."""
     parts = NAME_PARTS.findall(word)
-    return not NOISE_NAMES.isdisjoint(parts) and (len(parts) == 1 or AROUND.isdisjoint(parts))
+    noise = [p for p in parts if p in NOISE_NAMES]
+    if not noise or (len(parts) > 1 and not AROUND.isdisjoint(parts)):
+        return CLEAR
+    if any(p not in NOISE_NAMES and p not in GENERIC for p in parts):
+        return MENTIONS
+    return READERS if all(p in COMMENT_NAMES for p in noise) else NAMED
 
 
-def _element(name: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
-    """Whether an element is noise, and whether it holds an article, as (noise, article)."""
+def _element(name: str, attributes: str, in_article: bool) -> tuple[bool, bool, int]:
+    """Whether an element is noise by its tag or role, whether it holds an article, and what its names say."""
     noise = name in NOISE_TAGS or (name == "header" and not in_article)
-    article = name == "article"
+    article, says = name == "article", CLEAR
     if attributes:
         for key, a, b, c, hidden in ATTRIBUTE.findall(attributes):
             value = (a or b or c).lower()
@@ -78,39 +94,38 @@ def _element(name: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
                 noise = noise or value in NOISE_ROLES
                 article = article or value in ("article", "main")
             elif key in ("class", "id"):
-                words = value.split()
-                if any(map(_noise_name, words)) and name not in ("html", "body", "article", "main"):
-                    noise = True
-                elif name in ("article", "section", "div") and any(w.startswith("comment") for w in words):
-                    noise, article = True, False
-                elif ARTICLE_NAMES.search(value):
+                if name not in ("html", "body", "main"):
+                    found = max(map(name_says, value.split()), default=CLEAR)
+                    says = max(says, found if name != "article" or found == READERS else CLEAR)
+                if ARTICLE_NAMES.search(value):
                     article = True
             elif key == "itemprop" and value == "articlebody":
                 article = True
-    return noise, article and not noise
+    return noise, article and not noise and says < NAMED, says
 
 
 def blocks(page: str) -> tuple[list[Block], bool]:
     """The blocks of a page that hold text, and whether some lie in an article.
 
-    A noise part around the page's main element is none, nor is one around its article: where no article stands outside
-    noise, one that holds more text than all blocks outside."""
+    A part named as noise around the page's main element is none, nor is one around its article: where no article stands
+    outside noise, one that holds more text than all blocks outside."""
     out, marked, inside = _blocks(page, ("main",))
     if not marked and inside:
         lifted, found, _ = _blocks(page, ("main", "article"))
-        if found and sum(len(b.text) for b in lifted if b.article and not b.noise) > sum(len(b.text) for b in out if not b.noise):
+        if found and sum(len(b.text) for b in lifted if b.article and not b.noise and b.named < NAMED) > sum(len(b.text) for b in out if not b.noise and b.named < NAMED):
             return lifted, found
     return out, marked
 
 
 def _blocks(page: str, lifts: tuple[str, ...]) -> tuple[list[Block], bool, bool]:
-    """blocks(), where elements named in lifts end the noise of the div and section elements around them; and whether an
-    article stands in such noise."""
+    """blocks(), where elements named in lifts undo the names of the div and section elements around them; and whether an
+    article stands in an element named as noise."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool, int]] = []  # (name, noise, article, blocks before it)
+    stack: list[tuple[str, bool, bool, int, int]] = []  # (name, noise, article, blocks before it, what its names say)
     inside = False
     texts: list[str] = []
-    noise = article = anchor = main = 0
+    noise = article = anchor = main = items = 0
+    says = [0, 0, 0, 0]  # how many open elements say what
     linked = 0
     heading = 0
     mains: list[int] = []
@@ -123,17 +138,20 @@ def _blocks(page: str, lifts: tuple[str, ...]) -> tuple[list[Block], bool, bool]
             if text:
                 if main:
                     mains.append(len(out))
-                out.append(Block(text, min(1.0, linked / len(text)), noise, article > 0, heading))
+                named = READERS if says[READERS] else NAMED if says[NAMED] else MENTIONS if says[MENTIONS] else CLEAR
+                out.append(Block(text, min(1.0, linked / len(text)), noise > 0, article > 0, heading, named, items > 0))
         linked, heading = 0, 0
 
     def close(depth: int):
-        nonlocal noise, article, anchor, main
+        nonlocal noise, article, anchor, main, items
         while len(stack) > depth:
-            name, n, a, _ = stack.pop()
+            name, n, a, _, named = stack.pop()
             noise -= n
             article -= a
+            says[named] -= 1
             anchor -= name == "a"
             main -= name == "main"
+            items -= name == "li"
 
     for m in PIECE.finditer(page):
         tag = m[3]
@@ -144,7 +162,7 @@ def _blocks(page: str, lifts: tuple[str, ...]) -> tuple[list[Block], bool, bool]
                 if anchor:
                     linked += len(t.strip())
             elif m[1]:
-                if m[1].lower() not in ("svg", "math", "noscript", "object", "canvas"):
+                if m[1].lower() not in ("svg", "annotation", "annotation-xml", "noscript", "object", "canvas"):
                     flush()
             continue
         name = tag.lower()
@@ -160,16 +178,18 @@ def _blocks(page: str, lifts: tuple[str, ...]) -> tuple[list[Block], bool, bool]
                         anchor -= 1
                         stack[at] = ("", *stack[at][1:])
                 else:
-                    stack.append(("a", False, False, len(out)))
+                    stack.append(("a", False, False, len(out), CLEAR))
+                    says[CLEAR] += 1
                     anchor += 1
             elif not m[2] and m[4] and ("class" in m[4] or "hidden" in m[4] or "style" in m[4]) and name == "span":
-                n, _ = _element(name, m[4], article > 0)
-                stack.append((name, n, False, len(out)))
-                noise += n
-                if n:
+                n, _, named = _element(name, m[4], article > 0)
+                if n or named >= NAMED:
                     flush()
+                stack.append((name, n, False, len(out), named))
+                noise += n
+                says[named] += 1
             elif m[2] and name == "span" and stack and stack[-1][0] == "span":
-                if stack[-1][1]:
+                if stack[-1][1] or stack[-1][4] >= NAMED:
                     flush()
                 close(len(stack) - 1)
             continue
@@ -184,40 +204,43 @@ def _blocks(page: str, lifts: tuple[str, ...]) -> tuple[list[Block], bool, bool]
             continue
         if name in VOID:
             continue
-        if name in ("article", "main") and noise and not any(s[1] and s[0] in ("div", "section", "ul", "ol") for s in stack):
+        if name in ("article", "main") and noise:
             close(0)  # a menu or header that was never closed ends where the article begins
         if name in ("p", "li", "dt", "dd", "option", "tr", "td", "th") or name in HEADINGS:
             while stack and (stack[-1][0] == "p" or stack[-1][0] == name or stack[-1][0] == ""):
                 close(len(stack) - 1)
         elif stack and stack[-1][0] == "p":
             close(len(stack) - 1)
-        n, a = _element(name, m[4] or "", article > 0)
-        if name in ("article", "main") and noise and not n:
+        n, a, named = _element(name, m[4] or "", article > 0)
+        if name in ("article", "main") and not n and (says[NAMED] or says[READERS]):
             inside |= name == "article"
-            for i, (other, was, holds, first) in enumerate(stack):
-                if name in lifts and was and other in ("div", "section"):
-                    stack[i] = (other, False, holds, first)
-                    noise -= 1
-                    for b in out[first:]:
-                        b.noise -= 1
-        stack.append((name, n, a, len(out)))
+            if name in lifts:
+                for i, (other, was, holds, first, said) in enumerate(stack):
+                    if said == NAMED and other in ("div", "section"):
+                        stack[i] = (other, was, holds, first, CLEAR)
+                        says[NAMED] -= 1
+                        says[CLEAR] += 1
+                        for b in out[first:]:
+                            b.named = min(b.named, MENTIONS)
+        stack.append((name, n, a, len(out), named))
         noise += n
         article += a
+        says[named] += 1
         main += name == "main"
+        items += name == "li"
         heading = int(name[1]) if name in HEADINGS else 0
     flush()
-    for b in out:
-        b.noise = b.noise > 0
-    under = 0  # the level of a heading that names what follows as something else
+    under = 0  # the level of a heading after which readers' comments follow
     for b in out:
         if b.heading and (not under or b.heading <= under):
-            under = b.heading if OTHER_PARTS.match(b.text) else 0
-        b.noise |= under > 0
-    marked = any(b.article and not b.noise for b in out)
+            under = b.heading if COMMENTS.match(b.text) else 0
+        if under:
+            b.named = READERS
+    marked = any(b.article and not b.noise and b.named < NAMED for b in out)
     if not marked:
         for i in mains:
             out[i].article = True
-        marked = any(b.article and not b.noise for b in out)
+        marked = any(b.article and not b.noise and b.named < NAMED for b in out)
     return out, marked, inside
 
 
@@ -229,27 +252,42 @@ def _stops(block: Block) -> float:
 
 def foreign(found: list[Block]) -> bool:
     """Whether the long blocks of a page mostly lack stop words, by characters."""
-    long = [b for b in found if not b.noise and b.linked <= LINKS and len(b.text) >= SHORT]
+    long = [b for b in found if not b.noise and b.named < NAMED and b.linked <= LINKS and len(b.text) >= SHORT]
     return sum(len(b.text) for b in long if _stops(b) >= LOW) * 2 < sum(len(b.text) for b in long)
 
 
-def first_pass(block: Block, marked: bool, unknown: bool = False) -> int:
-    """GOOD, BAD, OPEN (short) or NEAR (nearly good); unknown: stop words of the page's language aren't known."""
-    if block.noise or (marked and not block.article):
-        return BAD
-    if block.linked > LINKS:
-        return BAD
-    stops = _stops(block)
-    n = len(block.text)
-    if marked:
-        return GOOD if n >= SHORT or stops >= HIGH else OPEN
-    if n < SHORT:
-        return OPEN
-    if unknown:
-        return GOOD if n >= LONG else NEAR
-    if stops >= HIGH:
-        return GOOD if n >= LONG else NEAR
-    return NEAR if stops >= LOW else BAD
+def first_pass(found: list[Block], marked: bool) -> list[int]:
+    """GOOD, BAD, OPEN (short) or NEAR (nearly good) for each block."""
+    unknown = not marked and foreign(found)  # stop words of the page's language aren't known
+    # names count where text stands outside the parts that they name; else one of these is a wrapper around everything
+    outside = marked or any(not b.noise and b.named < NAMED and b.linked <= LINKS and len(b.text) >= SHORT and (unknown or _stops(b) >= LOW) for b in found)
+    links = [b.linked > LINKS for b in found]
+    after_related = False
+    out = []
+    for i, b in enumerate(found):
+        if b.heading:
+            after_related = bool(RELATED.match(b.text))
+        if b.noise or b.named == READERS or (b.named == NAMED and outside) or (marked and not b.article):
+            out.append(BAD)
+            continue
+        n, stops = len(b.text), _stops(b)
+        if links[i]:
+            # in an article a link that stands alone may be a sentence of its own; several in a row are a menu
+            row = any(0 <= j < len(found) and links[j] and (b.item or after_related) for j in (i - 1, i + 1))
+            out.append(BAD if row or not marked else OPEN)
+        elif marked:
+            out.append(GOOD if n >= SHORT or stops >= HIGH else OPEN)
+        elif after_related and b.heading:
+            out.append(OPEN)
+        else:
+            more = 1.5 if b.named else 1.0  # names that mention noise ask for more
+            if n < SHORT * more:
+                out.append(OPEN)
+            elif unknown or stops >= HIGH * more:
+                out.append(GOOD if n >= LONG * more else NEAR)
+            else:
+                out.append(NEAR if stops >= LOW * more else BAD)
+    return out
 
 
 def second_pass(found: list[Block], labels: list[int], marked: bool) -> list[bool]:
@@ -260,7 +298,7 @@ def second_pass(found: list[Block], labels: list[int], marked: bool) -> list[boo
         last = None
         for i in order:
             to[i] = last
-            if labels[i] in (GOOD, BAD) and not (marked and (found[i].noise or not found[i].article)):
+            if labels[i] in (GOOD, BAD) and not (marked and (found[i].noise or found[i].named >= NAMED or not found[i].article)):
                 last = i
     out = []
     for i, (b, label) in enumerate(zip(found, labels, strict=True)):
@@ -284,8 +322,7 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     found, marked = blocks(page)
-    unknown = not marked and foreign(found)
-    kept = second_pass(found, [first_pass(b, marked, unknown) for b in found], marked)
+    kept = second_pass(found, first_pass(found, marked), marked)
     return "\n".join(b.text for b, k in zip(found, kept, strict=True) if k)
 
 

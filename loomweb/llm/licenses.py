@@ -1,15 +1,22 @@
 """License scans: texts in a canonical form, hash-joined to the digests of known licences.
 
 Case, punctuation, white space, copyright lines and equivalent spellings are normalised; a document whose entire text is
-then a known licence gets its name by an equality join on the digest. Single lines that are known notices are found
-likewise. The same expressions are written for Spark and for SQL.
+then a known licence gets its name by an equality join on the digest. Single lines that are known notices are found by
+the same join, once lines are rows. The known licences are the public texts in known_licenses/, named by SPDX identifier,
+and the short ones below; a text also counts without its title, and without what follows the end of its terms. The same
+expressions are written for Spark and for SQL.
 """
 
 from __future__ import annotations
 
+import re
+from importlib import resources
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import Scratch
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 COPYRIGHT = r"(^|\n)[ \t]*((portions )?copyright[ \t]*(\(c\)|©|:)?[ \t]*[\[<({]?([0-9]{4}|year|yyyy)|\(c\)[ \t]*[0-9]{4}|©|all rights reserved)[^\n]*"
 OTHER = r"[^a-z0-9\x{80}-\x{10FFFF}]+"
@@ -17,8 +24,8 @@ OTHER = r"[^a-z0-9\x{80}-\x{10FFFF}]+"
 SAME = [(" licence ", " license "), (" licences ", " licenses "), (" licenced ", " licensed "), (" sub license ", " sublicense "), (" non infringement ", " noninfringement "),
         (" organisation ", " organization "), (" favour ", " favor "), (" whilst ", " while "), (" acknowledgement ", " acknowledgment "), (" merchantibility ", " merchantability "),
         (" copyright owner ", " copyright holder "), (" http ", " https "), (" v2 0 ", " version 2 0 "), (" v3 ", " version 3 "), (" per cent ", " percent ")]
-# Public licence texts and notices, by SPDX identifier.
-TEXTS = [
+# Short public licence texts, and notices, by SPDX identifier.
+SHORT_TEXTS = [
     ("MIT", """MIT License
 
 Copyright (c) <year> <copyright holders>
@@ -82,9 +89,36 @@ TERMS AND CONDITIONS FOR COPYING, DISTRIBUTION AND MODIFICATION
 ]
 
 
+END_OF_TERMS = re.compile(r"^[ \t]*END OF TERMS AND CONDITIONS[ \t]*$", re.M)
+
+
+def variants(text: str) -> list[str]:
+    """A licence's text, without its title, and without what follows the end of its terms."""
+    first, _, rest = text.strip("\n").partition("\n\n")
+    out = [text]
+    if rest and not first.rstrip().endswith(".") and len(first.splitlines()) <= 3:
+        out.append(rest)
+    ends = [m for t in out for m in [END_OF_TERMS.search(t)] if m]
+    return out + [m.string[: m.end()] for m in ends] + [m.string[: m.start()] for m in ends]
+
+
+def whole_texts() -> list[tuple[str, str]]:
+    """(identifier, text) of the known licences, as they were published."""
+    files = resources.files(__package__) / "known_licenses"
+    long = sorted((f.name.removesuffix(".txt"), f.read_text("utf-8")) for f in files.iterdir() if f.name.endswith(".txt"))
+    return long + [(name, text) for name, text in SHORT_TEXTS if "\n" in text]
+
+
+def known_texts() -> list[tuple[str, str]]:
+    """(identifier, text) of all variants of the known licences, and of the notices; some hundred."""
+    return [(name, v) for name, text in whole_texts() for v in variants(text)] + [(name, text) for name, text in SHORT_TEXTS if "\n" not in text]
+
+
 def _line(line: Column) -> Column:
-    t = F.regexp_replace(F.translate(line, UPPER, LOWER), F.lit(COPYRIGHT), F.lit(""))
-    return F.trim(F.regexp_replace(t, F.lit(OTHER), F.lit(" ")))
+    """A lower-case line without punctuation; of a copyright line what stands before the notice."""
+    some = F.contains(line, F.lit("copyright")) | F.contains(line, F.lit("©")) | F.contains(line, F.lit("(c)")) | F.contains(line, F.lit("all rights reserved"))
+    bare = F.when(some, F.regexp_replace(line, F.lit(COPYRIGHT), F.lit(""))).otherwise(line)
+    return F.trim(F.regexp_replace(bare, F.lit(OTHER), F.lit(" ")))
 
 
 def _spelled(t: Column) -> Column:
@@ -96,7 +130,7 @@ def _spelled(t: Column) -> Column:
 
 def _lines(text: Column) -> Column:
     """The lines of a text without copyright lines, case and punctuation; those that are left."""
-    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), _line), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), "\n"), _line), lambda x: x != "")
 
 
 def canonical(text: Column) -> Column:
@@ -114,32 +148,46 @@ def canonical_sql(text: str) -> str:
 
 
 def known_licenses(spark: SparkSession, texts=None) -> DataFrame:
-    """license_id and digest of the known texts; some dozens."""
-    rows = spark.createDataFrame([(a, b) for a, b in (texts or TEXTS)], "license_id string, text string")
-    return rows.groupBy(F.sha2(canonical(F.col("text")), 256).alias("digest")).agg(F.min("license_id").alias("license_id"))
+    """license_id and digest of the known texts, and the first letters of their canonical forms; some hundred."""
+    rows = spark.createDataFrame([(a, b) for a, b in (texts or known_texts())], "license_id string, text string").withColumn("c", canonical(F.col("text")))
+    return rows.groupBy(F.sha2("c", 256).alias("digest")).agg(F.min("license_id").alias("license_id"), F.min(F.substring("c", 1, HEAD)).alias("head"))
+
+
+#: First letters of a line that tell whether it can be a notice; respelling changes them in the words listed after.
+HEAD = 3
+RESPELLED = {b.strip()[:HEAD].strip(): a.strip()[:HEAD] for a, b in SAME if a.strip()[:HEAD] != b.strip()[:HEAD]}
 
 
 def scan(docs: DataFrame, texts=None) -> DataFrame:
     """doc_id, digest, license_id and notices of every row of docs (doc_id, text, any others).
 
-    texts are (name, text) of known licences, some dozens. digest is that of the canonical text; license_id names the
+    texts are (name, text) of known licences, some hundred. digest is that of the canonical text; license_id names the
     known licence that the entire text is, else null; notices are the names, sorted, each once and joined by commas, of
     known texts that single lines are. A null or empty text has the digest of the empty string, no licence and no
     notices. Rows stay apart, repeated ones too.
     """
-    known = known_licenses(docs.sparkSession, texts)
-    named = known.collect()
-    names = F.create_map(*[F.lit(x) for r in named for x in (r.digest, r.license_id)])
-    found = F.filter(F.transform("_lines", lambda x: F.try_element_at(names, F.sha2(_spelled(x), 256))), lambda x: x.isNotNull())
-    notices = F.array_join(F.array_sort(F.array_distinct(found)), ",")
+    spark = docs.sparkSession
+    scratch = Scratch(spark)
+    known = scratch.keep(known_licenses(spark, texts).where(F.col("head") != ""), "known")
+    heads = {r["head"] for r in known.select("head").distinct().collect()}
+    heads |= {v for k, v in RESPELLED.items() if any(h.startswith(k) for h in heads)}
+    names = known.select("digest", "license_id")
+    # a line is hashed only if it begins as some known text does
+    candidates = F.transform(F.filter("_lines", lambda x: F.substring(x, 1, HEAD).isin(sorted(heads))), lambda x: F.sha2(_spelled(x), 256))
     base = docs.select("doc_id", _lines(F.col("text")).alias("_lines"))
-    base = base.select("doc_id", F.sha2(_spelled(F.array_join("_lines", " ")), 256).alias("digest"), notices.alias("notices"))
-    return base.join(F.broadcast(known), "digest", "left").select("doc_id", "digest", "license_id", "notices")
+    base = scratch.keep(base.select("doc_id", F.sha2(_spelled(F.array_join("_lines", " ")), 256).alias("digest"), candidates.alias("lines")), "digests")
+    # rows with one doc_id and one digest have the same notices
+    lines = base.select("doc_id", "digest", F.explode("lines").alias("line")).distinct()
+    found = lines.join(F.broadcast(names.select(F.col("digest").alias("line"), "license_id")), "line")
+    found = found.groupBy("doc_id", "digest").agg(F.array_join(F.array_sort(F.collect_set("license_id")), ",").alias("notices"))
+    found = found.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), "notices")
+    out = base.join(F.broadcast(names), "digest", "left").join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest")), "left")
+    return out.select("doc_id", "digest", "license_id", F.coalesce("notices", F.lit("")).alias("notices"))
 
 
 def scan_sql(table: str = "documents") -> str:
     q = lambda s: "'" + s.replace("'", "''") + "'"
-    values = ", ".join(f"({q(a)}, {q(b)})" for a, b in TEXTS)
+    values = ", ".join(f"({q(a)}, {q(b)})" for a, b in known_texts())
     return f"""
 WITH known AS (SELECT sha256({canonical_sql('t')}) AS digest, min(n) AS license_id FROM (VALUES {values}) AS v(n, t) GROUP BY 1),
 d AS (SELECT row_number() OVER () AS r, doc_id, text FROM {table}),

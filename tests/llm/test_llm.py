@@ -485,13 +485,39 @@ def test_media(spark):
     assert media.read_back(media.store(df.limit(0))).collect() == []
 
 
+def planted_licenses():
+    """(doc_id, text, extra): each known licence whole, in other spelling and wrapping, without title; others; notices."""
+    rows, want = [], []
+
+    def put(text, name):
+        rows.append((len(rows), text, 0))
+        want.append(name)
+
+    for name, text in licenses.whole_texts():
+        put(text, name)
+        put(re.sub(r"(?<=[a-z,]) (?=[a-z])", "\n    ", re.sub(r"\n(?!\s*\n)\s*", " ", text)) if "Copyright" not in text and "copyright" not in text else text.replace("\n", "\r\n  ").upper(), name)
+        put("Copyright (c) 1999 Somebody, Inc.  All rights reserved.\n\n" + re.sub(r"\bsublicense\b", "sub-licence", re.sub(r"\blicense(s|d)?\b", r"licence\1", text)), name)
+        put(licenses.variants(text)[-1], name)
+        put(text + " And more.", None)
+    for t in (None, "", "x " * 100_000):
+        put(t, None)
+    return rows, want
+
+
 def test_licenses(spark):
-    mit = licenses.TEXTS[0][1]
-    rows = [(1, mit, 0), (2, mit.upper().replace("<year> <copyright holders>", "1999 Somebody, Inc."), 0), (3, mit.replace("sublicense", "sub-license").replace("\n\n", "\r\n\r\n"), 0), (4, mit + " And more.", 0), (5, None, 0), (6, "", 0), (7, "Text\nReleased under the MIT Licence.\nmore\nLicensed under CC BY-NC 4.0", 0), (7, "x " * 100_000, 0)]
+    rows, want = planted_licenses()
+    rows += [(900, "Text\nReleased under the MIT Licence.\nmore\nLicensed under CC BY-NC 4.0", 0)] * 2 + [(None, "Licensed under the MIT License.", 0)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, digest int")
-    got = sorted((r.doc_id, r.license_id, r.notices) for r in licenses.scan(df).collect())
-    assert [g[1] for g in got] == ["MIT", "MIT", "MIT", None, None, None, None, None] and got[6][2] == "CC-BY-NC-4.0,MIT" or got[7][2] == "CC-BY-NC-4.0,MIT"
+    got = licenses.scan(df).collect()
+    assert {r.doc_id: r.license_id for r in got if r.doc_id is not None and r.doc_id < 900} == dict(enumerate(want))
+    assert len(set(want) - {None}) >= 20 and all(want.count(name) == 4 for name in set(want) - {None})
+    assert [r.notices for r in got if r.doc_id == 900] == ["CC-BY-NC-4.0,MIT"] * 2 and [r.notices for r in got if r.doc_id is None] == ["MIT"]
     assert licenses.scan(df.limit(0)).collect() == []
+    con = duckdb.connect()
+    con.execute("create table planted (doc_id bigint, text varchar)")
+    con.executemany("insert into planted values (?, ?)", [r[:2] for r in rows])
+    key = lambda r: tuple(map(str, r))
+    assert sorted(con.execute(licenses.scan_sql("planted")).fetchall(), key=key) == sorted(map(tuple, got), key=key)
 
 
 def test_license_sql(spark):

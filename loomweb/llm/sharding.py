@@ -6,19 +6,22 @@ room that is left; then in each round every group's documents vote for their sha
 shard with most of the group. What moves into a shard is kept to a quota of its bytes: the flows between shards, a table
 of shards squared, tell which share of the wishes can be granted. Documents without links, and what lies above a shard's
 share, fill the shards up to an even number of bytes, larger documents first. All state but the tables of shards stays in
-tables; positions come from sums by bucket and running sums within buckets, whose number grows with the rows.
+tables; positions come from sums by bucket and running sums within buckets. Above 17 million rows both the number of
+buckets and the rows of one grow with the square root of the rows, so that no window holds more.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch
 
-#: Rows of a bucket, buckets at most; rounds; the share of a shard that linked documents may take; a group is large from
-#: this share of a shard on.
-BUCKET, MOST_BUCKETS, ROUNDS, QUOTA, LARGE = 4096, 16384, 5, 0.9, 0.125
+#: Rows of a bucket at least; rounds; the share of a shard that linked documents may take; a group is large from this
+#: share of a shard on.
+BUCKET, ROUNDS, QUOTA, LARGE = 4096, 5, 0.9, 0.125
 STEPS = 1 << 30
 #: Groups that are sent to all tasks at most (about 20 MB); beyond it they are joined by a shuffle.
 BROADCAST_GROUPS = 250_000
@@ -78,7 +81,7 @@ def shard(docs: DataFrame, shards: int = 40, group: Column | None = None) -> Dat
     slim = scratch.keep(docs.select("doc_id", (F.length(text) + 16).cast("long").alias("size"), F.crc32(text).alias("crc"), group.alias("g")), "slim")
     total = slim.agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("b")).first()
     mean, each = total.b / max(1, total.n), total.b / shards
-    buckets = max(1, min(MOST_BUCKETS, -(-total.n // BUCKET)))
+    buckets = max(1, -(-total.n // max(BUCKET, math.isqrt(total.n))))
 
     groups = scratch.keep(slim.where("g is not null").groupBy("g").agg(F.count("*").alias("n"), F.sum("size").alias("b")).where("n > 1"), "groups")
     # at most shards / LARGE groups are large, so these few lie in one partition

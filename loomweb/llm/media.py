@@ -21,12 +21,15 @@ def padded(payload: bytes) -> bytes:
     return payload + bytes(max(UNIT, -(-len(payload) // UNIT) * UNIT) - len(payload))
 
 
-def features(image: np.ndarray) -> str:
-    """Size, mean, spread, mean step along rows, and shares of eight levels, in thousandths of the samples."""
-    a = image.astype(np.int64)
-    hist = np.bincount(a.ravel() >> 5, minlength=8) * 1000 // a.size
-    steps = int(np.abs(np.diff(a, axis=1)).sum()) * 1000 // max(1, a.size)
-    return f"{image.shape[1]}x{image.shape[0]};mean={a.sum() * 1000 // a.size};var={int((a * a).sum()) // a.size - (int(a.sum()) // a.size) ** 2};step={steps};hist={','.join(map(str, hist.tolist()))}"
+def features(images: list[np.ndarray]) -> str:
+    """Sizes, mean, spread, mean step along rows, and shares of eight levels, in thousandths of the samples."""
+    n = sum(a.size for a in images)
+    hist = sum(np.bincount(a.ravel() >> 5, minlength=8) for a in images) * 1000 // n
+    total = sum(int(a.sum(dtype=np.int64)) for a in images)
+    squares = sum(int(np.square(a, dtype=np.int64).sum()) for a in images)
+    steps = sum(int(np.abs(np.diff(a.astype(np.int16), axis=1)).sum(dtype=np.int64)) for a in images) * 1000 // n
+    sizes = "+".join(f"{a.shape[1]}x{a.shape[0]}" for a in images)
+    return f"{sizes};mean={total * 1000 // n};var={squares // n - (total // n) ** 2};step={steps};hist={','.join(map(str, hist.tolist()))}"
 
 
 def _rows(df: DataFrame, keys: list[str], schema: str, f) -> DataFrame:
@@ -51,7 +54,10 @@ def _rows(df: DataFrame, keys: list[str], schema: str, f) -> DataFrame:
 
 
 def store(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes and media (a WebP file) of every row of docs (doc_id, text); a null text is an empty payload."""
+    """doc_id, n_bytes and media of every row of docs (doc_id, text); a null text is an empty payload.
+
+    media is a lossless WebP file, or several in a row for a payload above 256 MiB, the most that one image holds.
+    """
 
     bounded_batches(docs.sparkSession)
 
@@ -65,7 +71,7 @@ def store(docs: DataFrame) -> DataFrame:
 def pixel_arrays(images: DataFrame, column: str = "media") -> DataFrame:
     """The other columns of images with width, height and pixels (ARGB, row by row) of the lossless WebP file in a column.
 
-    A null or a file that isn't a whole lossless WebP image gives nulls.
+    A null or a file that isn't a whole lossless WebP image gives nulls; of several files in a row the first is read.
     """
     keys = [c for c in images.columns if c not in (column, "width", "height", "pixels")]
 
@@ -82,17 +88,18 @@ def pixel_arrays(images: DataFrame, column: str = "media") -> DataFrame:
 
 def read_back(media: DataFrame) -> DataFrame:
     """doc_id, n_bytes and what the stored files hold: payload_bytes, payload_sha256, tail_crc32, media_bytes,
-    media_sha256 and feature. Only the files are read; a payload's length is a multiple of 64 that follows from n_bytes.
+    media_sha256 and feature. All but n_bytes come from the files, the payload's length too: it is the image's size, or
+    stands in a chunk of its own.
     """
     names = ["doc_id", "n_bytes"]
 
     def run(batches):
         for b in batches:
             rows = []
-            for n, data in zip(b.column(1).to_pylist(), b.column(2), strict=True):
+            for data in b.column(2):
                 data = data.as_py()
-                payload, image = webp.decode_payload(data, max(UNIT, -(-n // UNIT) * UNIT))
-                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(data), hashlib.sha256(data).hexdigest(), features(image)))
+                payload, images = webp.decode_payload(data)
+                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(data), hashlib.sha256(data).hexdigest(), features(images)))
             columns = list(zip(*rows, strict=True)) if rows else [()] * 6
             kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             new = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]

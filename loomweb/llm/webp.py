@@ -346,11 +346,24 @@ def unbundle(p: np.ndarray, width: int, height: int, table: np.ndarray) -> np.nd
     return full[index].ravel()
 
 
+def chunks(data: bytes) -> list[tuple[bytes, bytes]]:
+    """(name, body) of the chunks of a WebP file."""
+    if data[:4] != b"RIFF" or data[8:12] != b"WEBP":
+        raise BadImage("not a WebP file")
+    out, at, end = [], 12, min(len(data), 8 + struct.unpack("<I", data[4:8])[0])
+    while at + 8 <= end:
+        n = struct.unpack("<I", data[at + 4 : at + 8])[0]
+        out.append((data[at : at + 4], data[at + 8 : min(end, at + 8 + n)]))
+        at += 8 + n + (n & 1)
+    return out
+
+
 def decode(data: bytes) -> np.ndarray:
     """The ARGB pixels of a lossless WebP file, height x width."""
-    if len(data) < 25 or data[:4] != b"RIFF" or data[8:16] != b"WEBPVP8L" or data[20] != 0x2F:
+    stream = next((body for name, body in chunks(data) if name == b"VP8L"), b"")
+    if len(stream) < 5 or stream[0] != 0x2F:
         raise BadImage("not a lossless WebP file")
-    bits = Bits(data[21 : 20 + struct.unpack("<I", data[16:20])[0]])
+    bits = Bits(stream[1:])
     width, height = bits.read(14) + 1, bits.read(14) + 1
     bits.read(1)
     if bits.read(3):
@@ -484,10 +497,20 @@ def prefixed(value: int) -> tuple[int, int, int]:
     return 2 * high + second, value & ((1 << (high - 1)) - 1), high - 1
 
 
-def riff(stream: bytes) -> bytes:
-    body = b"\x2f" + stream
-    pad = bytes(len(body) & 1)
-    return b"RIFF" + struct.pack("<I", 12 + len(body) + len(pad)) + b"WEBPVP8L" + struct.pack("<I", len(body)) + body + pad
+def _chunk(name: bytes, body: bytes) -> bytes:
+    return name + struct.pack("<I", len(body)) + body + bytes(len(body) & 1)
+
+
+def riff(stream: bytes, extended: tuple[int, int, int] | None = None) -> bytes:
+    """A file with one image; extended: (width, height, length) gives the extended layout with a chunk for the length."""
+    body = b"WEBP"
+    if extended:
+        width, height, length = extended
+        body += _chunk(b"VP8X", bytes(4) + (width - 1).to_bytes(3, "little") + (height - 1).to_bytes(3, "little"))
+    body += _chunk(b"VP8L", b"\x2f" + stream)
+    if extended:
+        body += _chunk(LENGTH, struct.pack("<Q", length))
+    return b"RIFF" + struct.pack("<I", len(body)) + body
 
 
 def write_image(out: Writer, p: np.ndarray, width: int, main: bool, cache_bits: int = 0, lz: bool = False, tile: int = 0) -> None:
@@ -657,20 +680,53 @@ def payload_code(kind: str):
     return lengths, codes, code, size, head
 
 
+#: The chunk that holds a payload's length, where the image has more samples; bytes of a payload in one image at most.
+LENGTH, MOST = b"PLEN", MAX_SIDE * MAX_SIDE
+
+
 def payload_shape(n: int) -> tuple[int, int]:
-    """Width and height of a payload of n bytes, a positive multiple of 64."""
+    """Width and height of the image of n bytes, a positive multiple of 64 up to MOST."""
     rows = n // ROW
     wide = -(-rows // MAX_SIDE)
     return ROW * wide, -(-rows // wide)
 
 
 def encode_payload(payload: bytes) -> bytes:
-    """A payload (a positive multiple of 64 bytes) as green samples; runs become back-references."""
+    """A payload (a positive multiple of 64 bytes) as green samples; one file, or above MOST bytes several in a row."""
+    return b"".join(_encode_part(payload[i : i + MOST]) for i in range(0, len(payload), MOST))
+
+
+def _bits(a: np.ndarray) -> tuple[int, str]:
+    """The bits that samples take in the code that suits them best, and its name."""
+    hist = np.bincount(a, minlength=256)
+    return min((int(hist @ payload_code(k)[3]), KINDS.index(k), k) for k in KINDS)[::2]
+
+
+def _encode_part(payload: bytes) -> bytes:
+    """Runs become back-references; a payload of up to 16 values gets a palette, several samples to a pixel, if that is
+    shorter."""
     width, height = payload_shape(len(payload))
     a = np.frombuffer(payload + bytes(width * height - len(payload)), np.uint8)
-    hist = np.bincount(a, minlength=256)
-    kind = min(KINDS, key=lambda k: (int(hist @ payload_code(k)[3]), KINDS.index(k)))
+    first = Writer()
+    for v, n in ((width - 1, 14), (height - 1, 14), (0, 1), (0, 3)):
+        first.put(v, n)
+    cost, kind = _bits(a)
+    table = np.flatnonzero(np.bincount(a, minlength=256))
+    if len(table) <= 16:
+        bits = bundle_bits(len(table))
+        index = np.zeros(256, np.uint8)
+        index[table] = np.arange(len(table))
+        grid = index[a].reshape(height, -1, 1 << bits)
+        packed = (grid << (np.arange(1 << bits) * (8 >> bits)).astype(np.uint8)).sum(axis=2, dtype=np.uint8).ravel()
+        packed_cost, packed_kind = _bits(packed)
+        if packed_cost + 12 * len(table) + 60 < cost:
+            a, kind = packed, packed_kind
+            colours = channels((table.astype(np.uint32) << np.uint32(8)) | np.uint32(0xFF000000))
+            for v, n in ((1, 1), (PALETTE, 2), (len(table) - 1, 8)):
+                first.put(v, n)
+            write_image(first, pixels(np.diff(colours.astype(np.int32), axis=0, prepend=np.zeros((1, 4), np.int32)) & 255), len(table), False)
     _, codes, code, size, head = payload_code(kind)
+    first.put(head.value, head.n)
     values, sizes = code[a], size[a]
     edges = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
     spans = np.diff(np.append(edges, len(a)))
@@ -688,26 +744,30 @@ def encode_payload(payload: bytes) -> bytes:
             at, left = at + k, left - k
     if keep is not None:
         values, sizes = values[keep], sizes[keep]
-    first = Writer()
-    first.put(width - 1, 14)
-    first.put(height - 1, 14)
-    first.put(0, 1)
-    first.put(0, 3)
-    first.put(head.value, head.n)
     ends = np.cumsum(sizes) + first.n
     starts = ends - sizes
     word, shift = starts >> 6, (starts & 63).astype(np.uint64)
-    out = np.zeros(int(ends[-1] >> 6) + 2, np.uint64)
+    lead = np.frombuffer(first.bytes() + bytes(-len(first.bytes()) % 8), np.uint64)
+    out = np.zeros(max(len(lead), int(ends[-1] >> 6) + 2), np.uint64)
     begin = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
     out[word[begin]] |= np.bitwise_or.reduceat(values << shift, begin)
     over = np.flatnonzero((starts & 63) + sizes > 64)
     out[word[over] + 1] |= values[over] >> (np.uint64(64) - shift[over])
-    lead = np.frombuffer(first.bytes() + bytes(-len(first.bytes()) % 8), np.uint64)
     out[: len(lead)] |= lead
-    return riff(out.tobytes()[: (int(ends[-1]) + 7) // 8])
+    stream = out.tobytes()[: (int(ends[-1]) + 7) // 8]
+    return riff(stream, None if width * height == len(payload) else (width, height, len(payload)))
 
 
-def decode_payload(data: bytes, n: int) -> tuple[bytes, np.ndarray]:
-    """The payload's n bytes, and the samples as an image."""
-    image = ((decode(data) >> np.uint32(8)) & np.uint32(255)).astype(np.uint8)
-    return image.tobytes()[:n], image
+def decode_payload(data: bytes) -> tuple[bytes, list[np.ndarray]]:
+    """The payload that files hold, by what they say of its length, and their samples as images."""
+    payload, images, at = [], [], 0
+    while at < len(data) or not images:
+        end = at + 8 + struct.unpack("<I", data[at + 4 : at + 8])[0] if len(data) >= at + 8 else len(data) + 1
+        if end > len(data):
+            raise BadImage("the data end early")
+        image = ((decode(data[at:end]) >> np.uint32(8)) & np.uint32(255)).astype(np.uint8)
+        length = next((struct.unpack("<Q", body)[0] for name, body in chunks(data[at:end]) if name == LENGTH), image.size)
+        payload.append(image.tobytes()[:length])
+        images.append(image)
+        at = end
+    return b"".join(payload), images

@@ -459,10 +459,69 @@ def test_webp_refuses():
                 raise ValueError("the padding was not needed")
 
 
-def test_payloads():
+def test_webp_of_another_encoder():
+    """The 1 x 1 lossless image that browsers are tested with."""
+    import base64
+
+    assert webp.decode(base64.b64decode("UklGRhoAAABXRUJQVlA4TA0AAAAvAAAAEAcQERGIiP4HAA==")).shape == (1, 1)
+
+
+def test_webp_palette_by_hand():
+    """Two colours, eight pixels to a byte, 0b10110001 from the lowest bit on: the table, then one bundled pixel."""
+    out = webp.Writer()
+    for v, n in ((7, 14), (0, 14), (1, 1), (0, 3), (1, 1), (3, 2), (1, 8)):
+        out.put(v, n)
+    out.put(0, 1)  # the table: no cache, then its codes; green 5 and 3 (the second adds to the first), red and blue 0, alpha 255 and 0
+    for v, n in ((1, 1), (1, 1), (1, 1), (3, 8), (5, 8)):
+        out.put(v, n)
+    for symbol in (0, 0):
+        for v, n in ((1, 1), (0, 1), (1, 1), (symbol, 8)):
+            out.put(v, n)
+    for v, n in ((1, 1), (1, 1), (1, 1), (0, 8), (255, 8)):
+        out.put(v, n)
+    for v, n in ((1, 1), (0, 1), (0, 1), (0, 1)):
+        out.put(v, n)
+    for v in (1, 1, 0, 0):  # first pixel: green 5, alpha 255; second: green 3, alpha 0
+        out.put(v, 1)
+    for v, n in ((0, 1), (0, 1), (0, 1)):  # no more transforms, no cache, one group
+        out.put(v, n)
+    for symbol in (0b10110001, 0, 0, 255):
+        for v, n in ((1, 1), (0, 1), (1, 1), (symbol, 8)):
+            out.put(v, n)
+    for v, n in ((1, 1), (0, 1), (0, 1), (0, 1)):
+        out.put(v, n)
+    first, second = 0xFF000500, 0xFF000800
+    assert webp.decode(webp.riff(out.bytes())).tolist() == [[second, first, first, first, second, second, first, second]]
+
+
+def test_webp_transforms_by_hand():
+    """What undoing a transform gives, worked out from the format's text."""
+    left = np.array([0xFF102030, 0x00010203, 0x000000FF], np.uint32)  # residuals of the first row: black, then the pixel before
+    assert webp.predict(left, 3, 1, np.zeros(1, np.int64), 2, True).tolist() == [0xFE102030, 0xFE112233, 0xFE112232]
+    # red += 16 * green / 32, blue += -16 * green / 32 + 32 * red / 32, for green 64 and red 1
+    e = np.array([0xFF000000 | 32 << 16 | (-16 & 255) << 8 | 16], np.uint32)
+    assert webp.cross(np.array([0xFF014005], np.uint32), 1, 1, e, 2, True).tolist() == [0xFF000000 | 33 << 16 | 64 << 8 | ((5 - 32 + 33) & 255)]
+
+
+def test_payloads(monkeypatch):
     rng = random.Random(13)
-    for p in (bytes(64), b"a" * 640, bytes(range(256)) * 10, bytes(2_200_000 // 64 * 64), rng.randbytes(6400), ("Über den Wolken " * 40).encode()[:640]):
-        assert webp.decode_payload(webp.encode_payload(p), len(p))[0] == p
+    known = [bytes(64), b"a" * 640, bytes(range(256)) * 10, bytes(2_200_000 // 64 * 64), rng.randbytes(6400), ("Über den Wolken " * 40).encode()[:640]]
+    known += [bytes(rng.choice(b"ab") for _ in range(6400)), bytes(rng.choice(b"abc") for _ in range(640)), bytes(rng.choice(b"0123456789abcdef") for _ in range(64_000)), rng.randbytes(64 * 16385)]
+    for p in known:
+        assert webp.decode_payload(webp.encode_payload(p))[0] == p
+    assert webp.chunks(webp.encode_payload(known[-1]))[-1][0] == webp.LENGTH
+    assert len(webp.encode_payload(known[6])) < 6400 / 8 + 100  # one bit a sample, by the palette
+    # the most that one image holds, and what is above
+    assert webp.payload_shape(webp.MOST) == (webp.MAX_SIDE, webp.MAX_SIDE) and all(max(webp.payload_shape(64 * n)) <= webp.MAX_SIDE for n in (1, 16384, 16385, 2**22 - 1, 2**22))
+    monkeypatch.setattr(webp, "MOST", 6400)
+    for p in known[2:]:
+        data = webp.encode_payload(p)
+        back, images = webp.decode_payload(data)
+        assert back == p and len(images) == -(-len(p) // 6400)
+        assert media.features(images).count("x") == len(images)
+    for bad in (b"", data[:-9], data + b"RIFF"):
+        with pytest.raises(webp.BadImage):
+            webp.decode_payload(bad)
 
 
 def test_media(spark):

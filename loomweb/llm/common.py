@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -64,6 +65,12 @@ class Scratch:
         out._scratch_path = path
         return out
 
+    def release(self) -> None:
+        """Free the shuffle files of results that nothing holds any more: Spark deletes them once the driver has
+        collected what referred to them, which in a large heap may be long after."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def clear(self) -> None:
         """Delete all tables; results that read them can't be computed any more."""
         if self.spark.sparkContext._jsc is not None:  # else the session has ended, and its folder is the cluster's to clear

@@ -38,7 +38,7 @@ def snippet_controls(parsed: DataFrame) -> DataFrame:
     """site, url, status, max_snippet, nosnippet_blocks: nosnippet prevails; of several max-snippet the least; 0 is none."""
     meta = F.col("p.meta")
     d = F.array_distinct(F.concat(*[directives(meta.getItem(k)) for k in ("robots", "googlebot", "bingbot")], x_robots(F.col("response_headers"))))
-    limits = F.filter(F.transform(d, lambda x: F.try_to_number(F.regexp_extract(x, r"^max-snippet\s*:\s*(-?\d+)$", 1), F.lit("S999999999"))), lambda n: n.isNotNull() & (n >= 0))
+    limits = F.filter(F.transform(d, lambda x: F.regexp_extract(x, r"^max-snippet\s*:\s*(-?\d{1,9})$", 1).try_cast("int")), lambda n: n.isNotNull() & (n >= 0))
     least = F.array_min(limits).cast("int")
     no = F.arrays_overlap(d, F.array(F.lit("nosnippet"), F.lit("none"))) | (least == 0)
     return parsed.select("site", "url", F.when(F.coalesce(no, F.lit(False)), "NOSNIPPET").when(least.isNotNull(), "MAX_SNIPPET").otherwise("ALLOWED").alias("status"), least.alias("max_snippet"), F.coalesce("p.nosnippet", F.lit(0)).alias("nosnippet_blocks"))
@@ -229,7 +229,7 @@ def visual_assets(parsed: DataFrame) -> DataFrame:
     """site, url, pos, role (decorative, informational, unknown) and status of every image."""
     i = parsed.where("p is not null").select("site", "url", F.explode("p.images").alias("i")).select("site", "url", "i.*")
     words = lambda c: text.word_count(F.coalesce(c, F.lit("")))
-    size = lambda c: F.try_to_number(F.regexp_extract(F.coalesce(c, F.lit("")), r"^(\d{1,6})", 1), F.lit("999999"))
+    size = lambda c: F.regexp_extract(F.coalesce(c, F.lit("")), r"^(\d{1,6})", 1).try_cast("int")
     only_link = F.col("in_link").isNotNull() & (F.trim(F.coalesce("in_link", F.lit(""))) == "")
     tiny = (size(F.col("width")) <= 16) & (size(F.col("height")) <= 16)
     decorative = F.col("role").isin("presentation", "none") | F.col("hidden") | ((F.col("alt") == "") & ~only_link) | F.coalesce(tiny, F.lit(False)) | F.col("src").rlike(r"(?i)(spacer|pixel|divider|background|decor)")

@@ -59,7 +59,7 @@ def title_alignment():
     stop = F.array(*[F.lit(s) for s in STOPWORDS])
     clean = lambda c: F.regexp_replace(F.lower(F.trim(c)), text.NOT_WORD, "")
     bag = lambda c: F.array_distinct(F.filter(F.split(F.trim(c), r"\s+"), lambda w: (w != "") & ~F.array_contains(stop, w)))
-    t, h = clean(F.col("title")), clean(F.try_element_at("h1", F.lit(1)))
+    t, h = clean(F.coalesce("title", F.lit(""))), clean(F.coalesce(F.try_element_at("h1", F.lit(1)), F.lit("")))
     tt, ht = bag(t), bag(h)
     exact = t == h
     inner = (F.contains(h, t) & (F.length(t) > 3)) | (F.contains(t, h) & (F.length(h) > 3))

@@ -80,7 +80,7 @@ def security(parsed: DataFrame, tls: DataFrame | None = None) -> DataFrame:
         p = p.withColumn("valid", F.lit(None).cast("boolean")).withColumn("days_left", F.lit(None).cast("int"))
     p = p.withColumn("csp", F.lower(F.array_join(header_values(h, "content-security-policy"), ";"))).withColumn("hsts", first("strict-transport-security")).withColumn("xfo", F.upper(F.trim(first("x-frame-options"))))
     known = F.size(F.map_keys(h)) > 0
-    age = F.try_to_number(F.regexp_extract("hsts", r"(?i)max-age\s*=\s*\"?(\d+)", 1), F.lit("999999999999"))
+    age = F.regexp_extract("hsts", r"(?i)max-age\s*=\s*\"?(\d{1,18})", 1).try_cast("bigint")
     cookies = header_values(h, "set-cookie")
     lacks = lambda pattern: F.exists(cookies, lambda c: ~c.rlike(pattern))
     mixed = lambda *tags: F.exists("p.resources", lambda r: r["tag"].isin(*tags) & r["url"].startswith("http://"))

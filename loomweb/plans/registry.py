@@ -38,6 +38,11 @@ def _parsed(spark, d, by_domain=False) -> DataFrame:
     return parse.parse_pages(source.eligible(_crawl(spark, d, by_domain)))
 
 
+def _once(spark, d, by_domain=False) -> DataFrame:
+    """The parsed pages, settled: for queries that read them more than once."""
+    return settle(_parsed(spark, d, by_domain))
+
+
 def _links(spark, d, by_domain=True) -> DataFrame:
     return links.extract_links(_parsed(spark, d, by_domain))
 
@@ -313,7 +318,7 @@ def broken_links(spark, d):
 
 @query("link_graph_nodes")
 def link_graph_nodes(spark, d):
-    return graph.link_graph(_crawl(spark, d, True), _links(spark, d))[0]
+    return graph.link_graph(_crawl(spark, d, True), settle(_links(spark, d)))[0]
 
 
 @query("weak_components")
@@ -324,7 +329,7 @@ def weak_components(spark, d):
 
 @query("link_findings")
 def link_findings(spark, d):
-    c, l = _crawl(spark, d, True), _links(spark, d)
+    c, l = _crawl(spark, d, True), settle(_links(spark, d))
     n, _ = graph.link_graph(c, l)
     return links.structural_findings(n, links.broken_links(l, c), links.ambiguous_anchors(l))
 
@@ -374,12 +379,13 @@ def site_content(spark, d):
 
 @query("search_eligibility")
 def search_eligibility(spark, d):
-    return eligibility.eligibility(_parsed(spark, d, True), links=_links(spark, d))
+    p = _once(spark, d, True)
+    return eligibility.eligibility(p, links=settle(links.extract_links(p)))
 
 
 @query("url_representations")
 def url_representations(spark, d):
-    return eligibility.representations(_parsed(spark, d, True))
+    return eligibility.representations(_once(spark, d, True))
 
 
 ROBOTS = "User-agent: *\nDisallow: /en/1\nAllow: /en/12\nDisallow: /*?page=\n\nUser-agent: GPTBot\nUser-agent: CCBot\nDisallow: /\n\nSitemap: https://example.com/sitemap.xml\n"
@@ -417,16 +423,16 @@ def sitemap_reconciliation(spark, d):
 
 @query("search_signals")
 def search_signals(spark, d):
-    return search.signals(_parsed(spark, d))
+    return search.signals(_once(spark, d))
 
 
 @query("recurring_concepts")
 def recurring_concepts(spark, d):
-    return search.recurring(search.signals(_parsed(spark, d, True)))
+    return search.recurring(settle(search.signals(_once(spark, d, True))))
 
 
 def _search(spark, d):
-    p = settle(_parsed(spark, d))
+    p = _once(spark, d)
     s = settle(search.signals(p))
     t = settle(search.page_topics(search.topic_members(s)))
     return p, s, t, search.concepts(s, t, p), search.intents(search.intent_evidence(p), p)
@@ -472,12 +478,12 @@ def topic_gaps(spark, d):
 
 @query("page_entities")
 def page_entities(spark, d):
-    return entities.page_entities(_parsed(spark, d)).drop("same_as")
+    return entities.page_entities(_once(spark, d)).drop("same_as")
 
 
 @query("entity_profiles")
 def entity_profiles(spark, d):
-    return entities.entity_profiles(entities.page_entities(_parsed(spark, d, True)))
+    return entities.entity_profiles(settle(entities.page_entities(_once(spark, d, True))))
 
 
 @query("image_audit")
@@ -522,21 +528,21 @@ def security_findings(spark, d):
 
 @query("retrieval_readiness")
 def retrieval_readiness(spark, d):
-    p, bots = _parsed(spark, d), dims.bots(spark)
+    p, bots = _once(spark, d), dims.bots(spark)
     paths = p.select("site", F.regexp_replace("url", "^[A-Za-z]+://[^/?#]*", "").alias("path"))
     return answers.retrieval(eligibility.eligibility(p), answers.waf(p), robots.bot_matrix(_robots(spark, d), paths, bots), bots)
 
 
 @query("answer_units")
 def answer_units(spark, d):
-    return answers.answer_units(_parsed(spark, d))
+    return answers.answer_units(_once(spark, d))
 
 
 @query("grounded_claims")
 def grounded_claims(spark, d):
-    p = _parsed(spark, d, True)
-    u = answers.answer_units(p)
-    return answers.ground_claims(answers.claims(p, u), answers.passages(p, u))
+    p = _once(spark, d, True)
+    u = settle(answers.answer_units(p))
+    return answers.ground_claims(settle(answers.claims(p, u)), settle(answers.passages(p, u)))
 
 
 @query("visual_assets")
@@ -554,9 +560,9 @@ def agent_surfaces(spark, d):
     return answers.agent_surfaces(_parsed(spark, d))
 
 
-def _scores(spark, d, by_domain=True):
-    p = _parsed(spark, d, by_domain)
-    cite = scores.citability(p)
+def _scores(spark, d, by_domain=True, p=None):
+    p = _once(spark, d, by_domain) if p is None else p
+    cite = settle(scores.citability(p))
     s = scores.technical_score(p).join(cite, ["site", "url"]).join(scores.trust(p, cite), ["site", "url"])
     return scores.health(s.select("site", "url", "technical_score", "citability", "trust", F.lit(None).cast("double").alias("performance"), F.lit(None).cast("double").alias("keyword")))
 
@@ -583,10 +589,10 @@ def page_remediations(spark, d):
 
 @query("site_packages")
 def site_packages(spark, d):
-    p = settle(_parsed(spark, d, True))
-    s = search.signals(p)
+    p = _once(spark, d, True)
+    s = settle(search.signals(p))
     t = search.page_topics(search.topic_members(s))
-    return cohort.reviews(cohort.site_packages(p, content.page_content(p), answers.answer_units(p), entities.page_entities(p), t, search.intents(search.intent_evidence(p), p), _scores(spark, d)))
+    return cohort.reviews(cohort.site_packages(p, content.page_content(p), answers.answer_units(p), entities.page_entities(p), t, search.intents(search.intent_evidence(p), p), _scores(spark, d, p=p)))
 
 
 @query("cohort_voids")
@@ -596,8 +602,8 @@ def cohort_voids(spark, d):
 
 @query("site_report")
 def site_report(spark, d):
-    p = _parsed(spark, d, True)
-    return reports.markdown_lines(_scores(spark, d).groupBy("site").agg(F.round(F.avg("health"), 1).alias("health")), technical.tally(technical.accessibility(p)), scores.actions(p))
+    p = _once(spark, d, True)
+    return reports.markdown_lines(_scores(spark, d, p=p).groupBy("site").agg(F.round(F.avg("health"), 1).alias("health")), technical.tally(technical.accessibility(p)), scores.actions(p))
 
 
 @query("conversation_mentions")

@@ -223,16 +223,19 @@ def _components(docs: DataFrame, k: int, similarity: str | float) -> tuple[DataF
         full = -(-total.weak * den // num)
         scratch.drop(base)
 
-    # equal sets are one class, known by the number rep; low is its smallest doc_id
-    some = base.where("n > 0")
+    # equal sets are one class, known by the number rep; low is its smallest doc_id. The lists, most of the bytes, go
+    # once the short ones are found
+    rows = scratch.keep(base.select("doc_id", "th", "n", "digest"), "rows")
+    some = rows.where("n > 0")
     if total.rows == total.ids:  # rep is low, which no other class has
         classes = scratch.keep(some.groupBy("n", "digest").agg(F.min("doc_id").alias("low")).withColumn("rep", F.col("low")), "classes")
         copies = some.select("doc_id", "n", "digest").join(classes, ["n", "digest"]).where("doc_id <> rep").select("doc_id").distinct()
-        heads = some.join(_checked(copies), "doc_id", "left_anti").select("doc_id", "n", "l0", "lists")
+        heads, old = base.where("n > 0").join(_checked(copies), "doc_id", "left_anti").select("doc_id", "n", "l0", "lists"), [base]
     else:  # a doc_id may stand for several texts: classes are numbered as they are written
-        firsts = some.groupBy("n", "digest").agg(F.min("doc_id").alias("low"), F.first("l0").alias("l0"), F.first("lists").alias("lists"))
-        numbered = scratch.keep(firsts.withColumn("rep", F.monotonically_increasing_id()), "classes")
-        classes, heads = numbered.select("n", "digest", "low", "rep"), numbered.select(F.col("rep").alias("doc_id"), "n", "l0", "lists")
+        firsts = base.where("n > 0").groupBy("n", "digest").agg(F.min("doc_id").alias("low"), F.first("l0").alias("l0"), F.first("lists").alias("lists"))
+        numbered = scratch.keep(firsts.withColumn("rep", F.monotonically_increasing_id()), "numbered")
+        classes = scratch.keep(numbered.select("n", "digest", "low", "rep"), "classes")
+        heads, old = numbered.select(F.col("rep").alias("doc_id"), "n", "l0", "lists"), [base, numbered]
 
     def counted(batches):
         held, size = [], 0
@@ -283,6 +286,8 @@ def _components(docs: DataFrame, k: int, similarity: str | float) -> tuple[DataF
     short = scratch.keep(merged, "short")
     scratch.drop(lengths)
     del shared, mine, merged
+    for done in old:
+        scratch.drop(done)
     scratch.release()
 
     first = short.groupBy("token").agg(F.min(F.struct("doc", "n")).alias("f"), F.count("*").alias("c")).where("c > 1").select("token", F.col("f.doc").alias("y"), F.col("f.n").alias("m"))
@@ -295,8 +300,8 @@ def _components(docs: DataFrame, k: int, similarity: str | float) -> tuple[DataF
     else:
         wanted = scratch.keep(classes.join(ends, classes.rep == ends.doc_id, "left_semi"), "wanted")
         lows = wanted.select(F.col("low").alias("doc_id")).distinct()
-        rows = _sets(docs.select("doc_id", "text").join(_checked(lows), "doc_id", "left_semi"), k, "digest binary, s binary", lambda s: (xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None, s.tobytes()))
-        found = rows.groupBy("digest").agg(F.first("s").alias("s")).join(wanted, "digest").select(F.col("rep").alias("doc_id"), "s")
+        again = _sets(docs.select("doc_id", "text").join(_checked(lows), "doc_id", "left_semi"), k, "digest binary, s binary", lambda s: (xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None, s.tobytes()))
+        found = again.groupBy("digest").agg(F.first("s").alias("s")).join(wanted, "digest").select(F.col("rep").alias("doc_id"), "s")
         found = scratch.keep(found, "sets")
 
     def similar(a, b):
@@ -327,7 +332,7 @@ def _components(docs: DataFrame, k: int, similarity: str | float) -> tuple[DataF
         group = group.drop("low").join(group.groupBy("group").agg(F.min("low").alias("low")), "group")
     else:
         group = group.withColumn("low", F.col("group"))
-    return base.select("doc_id", "th", "n", "digest").join(group, ["n", "digest"], "left"), _sets(docs.where("doc_id is null"), k, "n int", lambda s: (len(s),)), total.rows == total.ids
+    return rows.join(group, ["n", "digest"], "left"), _sets(docs.where("doc_id is null"), k, "n int", lambda s: (len(s),)), total.rows == total.ids
 
 
 def _tokens(token: np.ndarray, value: np.ndarray, name: str = "c") -> pa.RecordBatch:

@@ -15,7 +15,7 @@ from .crawl import lookup
 
 def directives(value: Column) -> Column:
     """A robots value's directives: lower case, each once."""
-    return F.array_distinct(F.filter(F.transform(F.split(F.lower(F.coalesce(value, F.lit(""))), ","), F.trim), lambda x: x != ""))
+    return F.array_distinct(F.filter(F.transform(F.split(F.lower(F.coalesce(value, F.lit(""))), ","), lambda x: F.trim(x)), lambda x: x != ""))
 
 
 def header_values(headers: Column, name: str) -> Column:

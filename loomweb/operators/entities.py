@@ -121,8 +121,8 @@ def brand_candidates(parsed: DataFrame, least: int = 35) -> DataFrame:
     cover 40 % of it; 20 more for a part of the title, and for an H1. It takes the domain itself or two signals.
     """
     domain = F.regexp_replace(F.element_at(F.split(urls.root_domain(urls.host(F.col("url"))), r"\."), 1), "[^a-z0-9]", "")
-    parts = F.filter(F.transform(F.split("p.title", r"\s*[-|–—:]\s+|\s+::\s+|\s+/\s+"), F.trim), lambda x: (x != "") & ~x.rlike(REJECTED))
-    heads = F.filter(F.transform("p.h1", F.trim), lambda x: (x != "") & ~x.rlike(REJECTED))
+    parts = F.filter(F.transform(F.split("p.title", r"\s*[-|–—:]\s+|\s+::\s+|\s+/\s+"), lambda x: F.trim(x)), lambda x: (x != "") & ~x.rlike(REJECTED))
+    heads = F.filter(F.transform("p.h1", lambda x: F.trim(x)), lambda x: (x != "") & ~x.rlike(REJECTED))
     c = parsed.where("p is not null").select("site", "url", domain.alias("d"), parts.alias("ts"), heads.alias("hs")).where(F.length("d") >= 3).select("*", F.posexplode(F.array_union("ts", "hs")).alias("pos", "name"))
     c = c.withColumn("normalized", entity_name(F.col("name"))).withColumn("k", F.regexp_replace("normalized", "[^a-z0-9]", "")).where("k <> ''")
     cover = F.aggregate(F.filter(F.array_distinct(F.split("normalized", " ")), lambda t: (F.length(t) >= 4) & F.contains(F.col("d"), t)), F.lit(0), lambda a, t: a + F.length(t))

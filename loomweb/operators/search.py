@@ -24,7 +24,7 @@ def _ignored(t: Column) -> Column:
 
 def _pieces(source: Column, location: str, split: str, least: int, most_words: int | None = None) -> Column:
     """Array of (raw, loc, n) of a text's parts that can be terms."""
-    parts = F.filter(F.transform(F.split(F.coalesce(source, F.lit("")), split), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(F.coalesce(source, F.lit("")), split), lambda x: F.trim(x)), lambda x: x != "")
     rows = F.transform(parts, lambda x: F.struct(x.alias("raw"), F.lit(location).alias("loc"), F.lit(1).cast("long").alias("n"), F.lit(False).alias("entity"), F.lit(None).cast("string").alias("etype")))
     if most_words:
         return F.filter(rows, lambda r: (F.size(F.split(text.term(r["raw"]), " ")) <= most_words) & (F.length(text.term(r["raw"])) >= least))

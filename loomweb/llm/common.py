@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import tempfile
 import uuid
 
@@ -37,6 +36,10 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+#: Whether Spark deletes the shuffle files of a run when the run ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Scratch:
     """Tables written to the folder that all machines share, and deleted when the driver ends.
 
@@ -57,20 +60,23 @@ class Scratch:
         atexit.register(self.clear)
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
-        """Write a table and return it read back: its lineage starts at the files."""
+        """Write a table and return it read back: its lineage starts at the files.
+
+        Spark deletes the shuffle files of the write as it ends, not when the driver happens to collect what refers to
+        them. Other runs of the session keep its own setting.
+        """
         path = f"{self.base}/{self.count:03d}-{name}"
         self.count += 1
-        df.write.parquet(path)
+        before = self.spark.conf.get(CLEANUP)
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(CLEANUP, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
 
-    def release(self) -> None:
-        """Free the shuffle files of results that nothing holds any more: Spark deletes them once the driver has
-        collected what referred to them, which in a large heap may be long after."""
-        gc.collect()
-        self.spark._jvm.System.gc()
-
     def clear(self) -> None:
         """Delete all tables; results that read them can't be computed any more."""
         if self.spark.sparkContext._jsc is not None:  # else the session has ended, and its folder is the cluster's to clear

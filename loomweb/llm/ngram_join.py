@@ -266,7 +266,6 @@ def _components(docs: DataFrame, k: int, similarity: str | float) -> tuple[DataF
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     lengths = heads.select("lists").mapInArrow(counted, "token bigint, c bigint").repartition(parts, "token").groupBy("token").agg(F.sum("c").cast("int").alias("df")).where("df > 1")
     lengths = scratch.keep(lengths, "lengths")
-    scratch.release()
     shared = heads.select("doc_id", "lists").mapInArrow(postings, "token bigint, doc bigint").join(lengths, "token")
     mine = shared.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("lists"))
 
@@ -285,10 +284,8 @@ def _components(docs: DataFrame, k: int, similarity: str | float) -> tuple[DataF
     )
     short = scratch.keep(merged, "short")
     scratch.drop(lengths)
-    del shared, mine, merged
     for done in old:
         scratch.drop(done)
-    scratch.release()
 
     first = short.groupBy("token").agg(F.min(F.struct("doc", "n")).alias("f"), F.count("*").alias("c")).where("c > 1").select("token", F.col("f.doc").alias("y"), F.col("f.n").alias("m"))
     fits = lambda a, b: F.least(a, b) * den >= F.greatest(a, b) * num
@@ -316,8 +313,6 @@ def _components(docs: DataFrame, k: int, similarity: str | float) -> tuple[DataF
 
     pairs = star.join(found.select(F.col("doc_id").alias("x"), F.col("s").alias("sx")), "x").join(found.select(F.col("doc_id").alias("y"), F.col("s").alias("sy")), "y")
     edges = scratch.keep(pairs.where(F.pandas_udf(similar, "boolean")("sx", "sy")).select(F.col("x").alias("src"), F.col("y").alias("dst")), "linked")
-    del pairs
-    scratch.release()
     near = scratch.keep(connected_components(edges, scratch), "near")
 
     # what still spans several components

@@ -240,6 +240,13 @@ def visual_assets(parsed: DataFrame) -> DataFrame:
     return i.select("site", "url", "pos", "src", role.alias("role"), status.alias("status"), "heading")
 
 
+def hidden_answers(assets: DataFrame, units: DataFrame) -> DataFrame:
+    """site, url, visual_only: images without words that stand under the heading of an answer unit of their page."""
+    a = assets.where("status = 'VISUAL_ONLY_OBSERVED' and heading <> ''").select("site", "url", "pos", F.lower("heading").alias("h"))
+    u = units.where("heading <> ''").select("site", "url", F.lower("heading").alias("uh")).distinct()
+    return a.join(u, ["site", "url"]).where(F.contains("uh", F.col("h"))).groupBy("site", "url").agg(F.count_distinct("pos").alias("visual_only"))
+
+
 def agent_surfaces(parsed: DataFrame) -> DataFrame:
     """site, url, signal, status, name: forms, links in menus, and actions declared in data."""
     p = parsed.where("p is not null")

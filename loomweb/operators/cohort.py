@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 FLAGS = ("faq", "contact", "pricing", "table", "definition", "procedure", "organization_schema", "local_schema", "author", "llms_txt", "privacy", "images_described")
 
 
-def site_packages(parsed: DataFrame, content: DataFrame, units: DataFrame, entities: DataFrame, topics: DataFrame, intents: DataFrame, scores: DataFrame, links: DataFrame | None = None) -> DataFrame:
+def site_packages(parsed: DataFrame, content: DataFrame, units: DataFrame, entities: DataFrame, topics: DataFrame, intents: DataFrame, scores: DataFrame, links: DataFrame | None = None, assets: DataFrame | None = None, agents: DataFrame | None = None, accessibility: DataFrame | None = None, security: DataFrame | None = None, grounded: DataFrame | None = None, retrieval: DataFrame | None = None) -> DataFrame:
     """One row a site: pages, words, titles, services and concepts, entities, units by type, schema types, intents, mean
-    scores, and which dimensions are available."""
+    scores, where given links, images, forms, findings, claims and access, and which dimensions are available."""
     from .search import schema_types
 
     pages = parsed.groupBy("site").agg(F.count("*").alias("pages"), F.count_if(F.col("status_code") == 200).alias("ok_pages"), F.sort_array(F.array_distinct(F.flatten(F.collect_set(schema_types())))).alias("schema_types"))
@@ -25,8 +25,36 @@ def site_packages(parsed: DataFrame, content: DataFrame, units: DataFrame, entit
         out = out.join(part, "site", "left")
     if links is not None:
         out = out.join(links.groupBy("site").agg(F.count_if(F.col("link_class") == "INTERNAL").alias("internal_links"), F.count_if(F.col("link_class") == "EXTERNAL").alias("external_links")), "site", "left")
+    for part in _measures(assets, agents, accessibility, security, grounded, retrieval):
+        out = out.join(part, "site", "left")
     state = lambda c: F.when(c.isNull(), "UNAVAILABLE").otherwise("AVAILABLE")
-    return out.withColumn("dimensions", F.create_map(*[x for name, col in (("content", "words"), ("answers", "units"), ("entities", "entities"), ("topics", "topics"), ("intents", "intents"), ("scores", "health" if "health" in out.columns else "words")) for x in (F.lit(name), state(F.col(col)))]))
+    return out.withColumn("dimensions", F.create_map(*[x for name, col in DIMENSIONS.items() for x in (F.lit(name), state(F.col(col) if col in out.columns else F.lit(None)))]))
+
+
+DIMENSIONS = {
+    "crawl": "pages", "content": "words", "answers": "units", "entities": "entities", "topics": "topics", "intents": "intents", "scores": "health", "structured_data": "schema_types", "links": "internal_links",
+    "multimodal": "visual_assets", "agents": "forms", "accessibility": "accessibility_findings", "security": "security_findings", "claims": "claims", "retrieval": "search_access",
+}
+
+
+def _measures(assets, agents, accessibility, security, grounded, retrieval):
+    """Per site, of the tables that are given: images, forms and controls, findings, claims, and search crawlers' access."""
+    share = lambda part, whole: F.round(F.count_if(part) / F.nullif(F.count_if(whole), F.lit(0)), 4)
+    if assets is not None:
+        told = F.col("role") == "informational"
+        yield assets.groupBy("site").agg(F.count("*").alias("visual_assets"), share(told & (F.col("status") == "ALT_REPRESENTED"), told).alias("alt_ratio"), F.count_if(told & (F.col("status") == "VISUAL_ONLY_OBSERVED")).alias("visual_only"))
+    if agents is not None:
+        form = ~F.col("signal").isin("DESCRIPTIVE_NAVIGATION", "SCHEMA_POTENTIAL_ACTION")
+        yield agents.groupBy("site").agg(F.count_if(form).alias("forms"), F.count_if(form & (F.col("status") == "LABELED")).alias("labelled_forms"), F.count_if(F.col("signal") == "SCHEMA_POTENTIAL_ACTION").alias("declared_actions"))
+    if accessibility is not None:
+        yield accessibility.groupBy("site").agg(F.sum("count").alias("accessibility_findings"))
+    if security is not None:
+        yield security.groupBy("site").agg(F.count("*").alias("security_findings"))
+    if grounded is not None:
+        yield grounded.groupBy("site").agg(F.count("*").alias("claims"), share(F.col("support") == "SUPPORTED_ON_SITE", F.lit(True)).alias("grounding_ratio"), F.count_if(F.col("support") == "CONTRADICTED_ON_SITE").alias("contradicted"))
+    if retrieval is not None:
+        search = F.col("purpose") == "search_index"
+        yield retrieval.groupBy("site").agg(share(search & (F.col("status") == "ALLOWED"), search).alias("search_access"))
 
 
 def reviews(packages: DataFrame) -> DataFrame:
@@ -56,8 +84,13 @@ def overlap_matrix(items: DataFrame) -> DataFrame:
     return s.select("site_a", "site_b", "shared", F.round(F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared")), 4).alias("similarity"))
 
 
-def target_vs_cohort(packages: DataFrame, target: str, metrics: tuple[str, ...] = ("technical_score", "citability", "trust", "health", "mean_words")) -> DataFrame:
+TARGET_METRICS = ("health", "technical_score", "citability", "schema_type_count", "answer_units", "alt_ratio", "forms", "visual_assets", "accessibility_findings", "security_findings", "grounding_ratio", "trust", "mean_words")
+
+
+def target_vs_cohort(packages: DataFrame, target: str, metrics: tuple[str, ...] = TARGET_METRICS) -> DataFrame:
     """metric, target, cohort (the others' mean), delta, standing."""
+    counts = {"schema_type_count": F.size("schema_types"), "answer_units": F.aggregate(F.map_values("units"), F.lit(0).cast("bigint"), lambda a, x: a + x)}
+    packages = packages.withColumns({k: v for k, v in counts.items() if k not in packages.columns})
     have = [m for m in metrics if m in packages.columns]
     long = packages.select("site", *[F.col(m).cast("double").alias(m) for m in have]).unpivot(["site"], have, "metric", "value")
     g = long.groupBy("metric").agg(F.max(F.when(F.col("site") == target, F.col("value"))).alias("target"), F.avg(F.when(F.col("site") != target, F.col("value"))).alias("cohort"))

@@ -128,26 +128,54 @@ def _rows(rules, *names) -> Column:
 def conflicts(wide: DataFrame) -> DataFrame:
     """site, url, category, severity of contradictions between sources.
 
-    wide has one row a page: p and rendered (parsed structs), search_blocked, training_allowed, llms_txt, noindex, blocked,
-    alignment, unsupported_topics, nosnippet, field_disagreements, contradicted_claims, visual_only, name_mismatch,
-    action_conflicts, citation_mismatch, mixed_content; what is missing may be null.
+    wide has one row a page: p and rendered (parsed structs), agents (verdict of robots.txt by crawler), llms_txt,
+    citability, mixed_content, alignment, noindex, blocked, unsupported_topics, disagreements (names of fields),
+    contradicted_claims, visual_only (images that hide an answer), citation_mismatch; what is missing may be null.
     """
-    c = lambda name: F.col(name) if name in wide.columns else F.lit(None)
-    has = "rendered" in wide.columns
-    s, d = F.col("p"), F.col("rendered") if has else F.col("p")
-    only = F.array_except(schema_types("rendered"), schema_types("p")) if has else F.array().cast("array<string>")
-    w = lambda x: F.coalesce(x["body_words"], F.lit(0))
+    c = lambda name, kind: (F.col(name) if name in wide.columns else F.lit(None)).cast(kind)
+    bot = lambda name, status: c("agents", "map<string,string>").getItem(name) == status
+    fields = c("disagreements", "array<string>")
+    p = F.col("p")
     rules = [
-        (c("search_blocked").cast("boolean"), "AI_CRAWLER_MISCONFIG", "HIGH"), (c("search_blocked").cast("boolean") & c("training_allowed").cast("boolean"), "AI_CRAWLER_MISCONFIG", "MEDIUM"), (F.size(only) > 0, "CLIENT_RENDERED_SCHEMA", "MEDIUM"),
-        (F.trim(s["title"]) != F.trim(d["title"]), "DOM_HYDRATION_DIVERGENCE", "MEDIUM"), ((F.size(s["h1"]) == 0) & (F.size(d["h1"]) > 0), "CSR_HEADING_DEPENDENCY", "MEDIUM"), (~c("llms_txt").cast("boolean"), "AI_DISCOVERY_GAP", "LOW"),
-        (c("mixed_content").cast("boolean"), "MIXED_CONTENT_SECURITY", "HIGH"), ((w(d) - w(s) > 50) & (w(d) - w(s) > 0.25 * w(d)), "CLIENT_RENDERED_CONTENT", "HIGH"), (c("alignment") == "DIVERGENT_IDENTITY_SUSPECTED", "DIVERGENT_ORGANIZATION_IDENTITY", "MEDIUM"),
-        (c("noindex").cast("boolean") & ~F.coalesce(c("search_blocked").cast("boolean"), F.lit(False)), "AI_RETRIEVAL_DIRECTIVE_CONFLICT", "HIGH"), (c("blocked").cast("boolean"), "WAF_RETRIEVAL_BLOCK", "HIGH"), (c("unsupported_topics").cast("int") > 0, "CONTENT_ANSWERABILITY_GAP", "MEDIUM"),
-        (c("nosnippet").cast("boolean"), "SNIPPET_SUPPRESSION_CONFLICT", "MEDIUM"), (c("field_disagreements").cast("int") > 0, "STRUCTURED_VISIBLE_DIVERGENCE", "MEDIUM"), (c("contradicted_claims").cast("int") > 0, "ON_SITE_CLAIM_CONTRADICTION", "HIGH"),
-        (c("visual_only").cast("int") > 0, "MULTIMODAL_INFORMATION_GAP", "LOW"), (c("name_mismatch").cast("int") > 0, "ACTION_ACCESSIBLE_NAME_MISMATCH", "MEDIUM"), (c("action_conflicts").cast("int") > 0, "STRUCTURED_ACTION_CONTROL_CONFLICT", "MEDIUM"), (c("citation_mismatch").cast("int") > 0, "EXTERNAL_CITATION_MATERIAL_MISMATCH", "HIGH"),
-    ]
+        (bot("OAI-SearchBot", "DISALLOWED") & bot("GPTBot", "ALLOWED"), "AI_CRAWLER_MISCONFIG", "HIGH"),
+        (bot("Googlebot", "DISALLOWED") & bot("Google-Extended", "ALLOWED"), "AI_CRAWLER_MISCONFIG", "HIGH"),
+        ((c("citability", "int") >= 50) & ~c("llms_txt", "boolean"), "AI_DISCOVERY_GAP", "LOW"),
+        (c("mixed_content", "boolean"), "MIXED_CONTENT_SECURITY", "HIGH"),
+        (c("alignment", "string") == "DIVERGENT_IDENTITY_SUSPECTED", "DIVERGENT_ORGANIZATION_IDENTITY", "MEDIUM"),
+        (bot("OAI-SearchBot", "ALLOWED") & c("noindex", "boolean"), "AI_RETRIEVAL_DIRECTIVE_CONFLICT", "HIGH"),
+        (c("blocked", "boolean") & F.array_contains(F.map_values(c("agents", "map<string,string>")), "ALLOWED"), "WAF_RETRIEVAL_BLOCK", "HIGH"),
+        (c("unsupported_topics", "int") > 0, "CONTENT_ANSWERABILITY_GAP", "MEDIUM"),
+        (F.exists(p["units"], lambda u: u["obscured"]), "SNIPPET_SUPPRESSION_CONFLICT", "HIGH"),
+        (F.arrays_overlap(fields, F.array(F.lit("name"), F.lit("phone"))), "STRUCTURED_VISIBLE_DIVERGENCE", "HIGH"),
+        (F.size(F.array_except(fields, F.array(F.lit("name"), F.lit("phone")))) > 0, "STRUCTURED_VISIBLE_DIVERGENCE", "MEDIUM"),
+        (c("contradicted_claims", "int") > 0, "ON_SITE_CLAIM_CONTRADICTION", "HIGH"),
+        (c("visual_only", "int") > 0, "MULTIMODAL_INFORMATION_GAP", "MEDIUM"),
+        (p["name_clashes"] > 0, "ACTION_ACCESSIBLE_NAME_MISMATCH", "HIGH"),
+        (_diverging_actions(p), "STRUCTURED_ACTION_CONTROL_CONFLICT", "MEDIUM"),
+        (c("citation_mismatch", "int") > 0, "EXTERNAL_CITATION_MATERIAL_MISMATCH", "HIGH"),
+    ]
+    if "rendered" in wide.columns:
+        d = F.col("rendered")
+        rules += [
+            (F.size(F.array_except(schema_types("rendered"), schema_types("p"))) > 0, "CLIENT_RENDERED_SCHEMA", "HIGH"),
+            ((p["title"] != "") & (d["title"] != "") & (p["title"] != d["title"]), "DOM_HYDRATION_DIVERGENCE", "MEDIUM"),
+            ((F.size(p["h1"]) == 0) & (F.size(d["h1"]) > 0), "CSR_HEADING_DEPENDENCY", "MEDIUM"),
+            ((p["body_words"] < 50) & (text.word_count(d["main_text"]) >= 250), "CLIENT_RENDERED_CONTENT", "HIGH"),
+        ]
     return wide.select("site", "url", F.explode(_rows(rules, "category", "severity")).alias("x")).select("site", "url", "x.*")
 
 
+def _diverging_actions(p: Column) -> Column:
+    """Whether declared data sends an action elsewhere than a search or plain form of the page does."""
+    stem = lambda u: F.regexp_replace(F.regexp_replace(u, r"[?].*$", ""), "/+$", "")
+    declared = F.filter(p["jsonld"], lambda t: t.rlike(r'"@type"\s*:\s*"\w*Action"'))
+    targets = F.flatten(F.transform(declared, lambda t: F.regexp_extract_all(t, F.lit(r'"(?:target|urlTemplate)"\s*:\s*"([^"]+)"'), F.lit(1))))
+    targets = F.filter(F.transform(targets, lambda t: stem(F.lower(t))), lambda t: t != "")
+    forms = F.filter(p["forms"], lambda f: f["purpose"].isin("SEARCH_FORM", "FORM_CONTROL"))
+    ends = F.filter(F.transform(forms, lambda f: stem(f["action"])), lambda e: e != "")
+    return F.exists(targets, lambda t: F.exists(ends, lambda e: ~F.contains(t, e) & ~F.contains(e, t)))
+
+
 def provenance(wide: DataFrame) -> DataFrame:
     """site, url, fact, source, nature: where each measured value of a page comes from. wide as for conflicts."""
     p = F.col("p")
@@ -221,6 +249,27 @@ def compare(scores: DataFrame, a: str, b: str) -> DataFrame:
     return g.withColumn("delta", F.col("a") - F.col("b")).withColumn("winner", F.when(F.col("delta") > 0, a).when(F.col("delta") < 0, b).when(F.col("delta") == 0, "tie"))
 
 
+def gap_actions(sites: DataFrame, a: str, b: str) -> DataFrame:
+    """category, points, priority, weaker, stronger: what the site with less health should do to catch up, most points
+    first. sites (site, health, llms_txt, organization_schema, answer_first, technical_trust, security_gaps, ttfb_ms,
+    referring_domains); what is null makes no action."""
+    measures = [c for c in sites.columns if c != "site"]
+    one = lambda name, tag: sites.where(F.col("site") == name).limit(1).select(*[F.col(c).alias(f"{tag}_{c}") for c in sites.columns])
+    pair = one(a, "a").crossJoin(one(b, "b"))  # a row each
+    less = F.col("a_health") <= F.col("b_health")
+    pair = pair.select(*[F.when(less, F.col(f"a_{c}")).otherwise(F.col(f"b_{c}")).alias(f"w_{c}") for c in ("site", *measures)], *[F.when(less, F.col(f"b_{c}")).otherwise(F.col(f"a_{c}")).alias(f"s_{c}") for c in ("site", *measures)])
+    known = lambda c, tag: F.col(f"{tag}_{c}") if c in measures else F.lit(None).cast("double")
+    w, s = (lambda c: known(c, "w")), (lambda c: known(c, "s"))
+    yes = lambda c: c.cast("boolean")
+    rules = [
+        (yes(s("llms_txt")) & ~yes(w("llms_txt")), "AI Discovery", 15, "HIGH"), (yes(s("organization_schema")) & ~yes(w("organization_schema")), "Structured Data", 12, "HIGH"),
+        ((s("referring_domains") > w("referring_domains") * 2) & (s("referring_domains") > 10), "Authority & Backlinks", 12, "HIGH"), (s("answer_first") > w("answer_first") + 0.2, "GEO Optimization", 10, "MEDIUM"),
+        ((s("technical_trust") > w("technical_trust")) & (w("security_gaps") > 0), "Technical Trust", 8, "MEDIUM"), (w("ttfb_ms") > s("ttfb_ms") + 400, "Performance", 8, "MEDIUM"),
+    ]
+    out = pair.select(F.col("w_site").alias("weaker"), F.col("s_site").alias("stronger"), F.explode(_rows(rules, "category", "points", "priority")).alias("x"))
+    return out.select("x.*", "weaker", "stronger").orderBy(F.desc("points"), "category")
+
+
 def console_summary(rows: DataFrame, top: int = 5) -> DataFrame:
     """Per page of search-console rows (query, page, clicks, impressions, position): sums, rate, weighted position, best queries."""
     order = F.struct((-F.col("clicks")).alias("c"), (-F.col("impressions")).alias("i"), "query")

@@ -1028,29 +1028,48 @@ def ci_policy(spark):
     return scores.ci_policy(f, max_findings=2)
 
 
-_FLAGS = ["search_blocked", "training_allowed", "noindex", "blocked", "nosnippet", "mixed_content"]
-_COUNTS = ["unsupported_topics", "field_disagreements", "contradicted_claims", "visual_only", "name_mismatch", "action_conflicts", "citation_mismatch"]
-
-
 @case(
     "conflict_rules", "category string, severity string",
     [
-        ("AI_CRAWLER_MISCONFIG", "HIGH"), ("AI_CRAWLER_MISCONFIG", "MEDIUM"), ("CLIENT_RENDERED_SCHEMA", "MEDIUM"), ("DOM_HYDRATION_DIVERGENCE", "MEDIUM"), ("CSR_HEADING_DEPENDENCY", "MEDIUM"), ("AI_DISCOVERY_GAP", "LOW"), ("MIXED_CONTENT_SECURITY", "HIGH"), ("CLIENT_RENDERED_CONTENT", "HIGH"),
-        ("DIVERGENT_ORGANIZATION_IDENTITY", "MEDIUM"), ("WAF_RETRIEVAL_BLOCK", "HIGH"), ("CONTENT_ANSWERABILITY_GAP", "MEDIUM"), ("SNIPPET_SUPPRESSION_CONFLICT", "MEDIUM"), ("STRUCTURED_VISIBLE_DIVERGENCE", "MEDIUM"), ("ON_SITE_CLAIM_CONTRADICTION", "HIGH"), ("MULTIMODAL_INFORMATION_GAP", "LOW"),
-        ("ACTION_ACCESSIBLE_NAME_MISMATCH", "MEDIUM"), ("STRUCTURED_ACTION_CONTROL_CONFLICT", "MEDIUM"), ("EXTERNAL_CITATION_MATERIAL_MISMATCH", "HIGH"),
+        ("AI_CRAWLER_MISCONFIG", "HIGH"), ("AI_CRAWLER_MISCONFIG", "HIGH"), ("CLIENT_RENDERED_SCHEMA", "HIGH"), ("DOM_HYDRATION_DIVERGENCE", "MEDIUM"), ("CSR_HEADING_DEPENDENCY", "MEDIUM"), ("AI_DISCOVERY_GAP", "LOW"), ("MIXED_CONTENT_SECURITY", "HIGH"), ("CLIENT_RENDERED_CONTENT", "HIGH"),
+        ("DIVERGENT_ORGANIZATION_IDENTITY", "MEDIUM"), ("WAF_RETRIEVAL_BLOCK", "HIGH"), ("CONTENT_ANSWERABILITY_GAP", "MEDIUM"), ("SNIPPET_SUPPRESSION_CONFLICT", "HIGH"), ("STRUCTURED_VISIBLE_DIVERGENCE", "HIGH"), ("STRUCTURED_VISIBLE_DIVERGENCE", "MEDIUM"), ("ON_SITE_CLAIM_CONTRADICTION", "HIGH"),
+        ("MULTIMODAL_INFORMATION_GAP", "MEDIUM"), ("ACTION_ACCESSIBLE_NAME_MISMATCH", "HIGH"), ("STRUCTURED_ACTION_CONTROL_CONFLICT", "MEDIUM"), ("EXTERNAL_CITATION_MATERIAL_MISMATCH", "HIGH"),
     ],
 )
 def conflict_rules(spark):
     """A page that breaks all rules at once, but for the one that needs search crawlers let in."""
-    raw = _one(spark, "<html><head><title>Raw</title></head><body><p>few</p></body></html>")
-    live = _one(spark, page("Live", "Head", f"<p>{LONG}</p>", ORG)).select("site", "url", F.col("p").alias("rendered"))
-    wide = raw.join(live, ["site", "url"]).withColumns({k: F.lit(True) for k in _FLAGS}).withColumns({k: F.lit(1) for k in _COUNTS}).withColumns({"llms_txt": F.lit(False), "alignment": F.lit("DIVERGENT_IDENTITY_SUSPECTED")})
-    return scores.conflicts(wide)
+    search = '<script type="application/ld+json">{"@type":"SearchAction","target":"https://a.example/find?q={q}"}</script>'
+    raw = _one(spark, f"<html><head><title>Raw</title>{search}</head><body><div data-nosnippet><p>Write to us at a@a.example now</p></div><button aria-label='Cancel'>Submit</button><form action='/search'><input type=search></form></body></html>")
+    live = _one(spark, page("Live", "Head", f"<p>{LONG * 2}</p>", ORG)).select("site", "url", F.col("p").alias("rendered"))
+    agents = F.create_map(*[F.lit(x) for kv in (("OAI-SearchBot", "DISALLOWED"), ("GPTBot", "ALLOWED"), ("Googlebot", "DISALLOWED"), ("Google-Extended", "ALLOWED")) for x in kv])
+    wide = raw.join(live, ["site", "url"]).withColumns({k: F.lit(True) for k in ("noindex", "blocked", "mixed_content")}).withColumns({k: F.lit(1) for k in ("unsupported_topics", "contradicted_claims", "visual_only", "citation_mismatch")})
+    return scores.conflicts(wide.withColumns({"llms_txt": F.lit(False), "citability": F.lit(50), "alignment": F.lit("DIVERGENT_IDENTITY_SUSPECTED"), "agents": agents, "disagreements": F.array(F.lit("address"), F.lit("phone"))}))
 
 
 @case("directive_conflict", "category string", [("AI_RETRIEVAL_DIRECTIVE_CONFLICT",)])
 def directive_conflict(spark):
-    return scores.conflicts(_one(spark, page()).withColumns({"noindex": F.lit(True), "search_blocked": F.lit(False)}))
+    return scores.conflicts(_one(spark, page()).withColumns({"noindex": F.lit(True), "agents": F.create_map(F.lit("OAI-SearchBot"), F.lit("ALLOWED"))}))
+
+
+@case("no_conflicts", "category string", [("none",)])
+def no_conflicts(spark):
+    """A page with agreeing buttons, forms and data, and nothing known of it otherwise, breaks no rule."""
+    search = '<script type="application/ld+json">{"@type":"SearchAction","target":{"urlTemplate":"https://a.example/search?q={q}"}}</script>'
+    p = _one(spark, page(body="<p>Write to us at a@a.example now</p><button aria-label='Submit order'>Submit</button><form action='/search'><input type=search></form>", head=search))
+    return scores.conflicts(p).groupBy().agg(F.count("*").alias("n")).select(F.when(F.col("n") == 0, "none").otherwise("some").alias("category"))
+
+
+@case("gap_actions", "category string, points int, priority string, weaker string, stronger string", [("AI Discovery", 15, "HIGH", "b", "a"), ("Authority & Backlinks", 12, "HIGH", "b", "a"), ("Structured Data", 12, "HIGH", "b", "a"), ("GEO Optimization", 10, "MEDIUM", "b", "a"), ("Performance", 8, "MEDIUM", "b", "a"), ("Technical Trust", 8, "MEDIUM", "b", "a")])
+def gap_actions(spark):
+    rows = [("a", 70.0, True, True, 0.8, 5.0, 0, 200.0, 30), ("b", 60.0, False, False, 0.5, 2.0, 2, 700.0, 12)]
+    return scores.gap_actions(spark.createDataFrame(rows, "site string, health double, llms_txt boolean, organization_schema boolean, answer_first double, technical_trust double, security_gaps int, ttfb_ms double, referring_domains int"), "b", "a")
+
+
+@case("hidden_answers", "url string, visual_only int", [("/", 1)])
+def hidden_answers(spark):
+    """Of two images without words one stands under the heading of an answer."""
+    p = _one(spark, page(body="<h2>Steps to calibrate</h2><ol><li>first do this</li><li>then do that</li></ol><figure><img src=a.png></figure><h2>Gallery</h2><figure><img src=b.png></figure>"))
+    return answers.hidden_answers(answers.visual_assets(p), answers.answer_units(p)).withColumn("url", _path("url"))
 
 
 @case("action_rules", "area string, priority int", [("conflicts", 1), ("security", 1), ("accessibility", 2), ("on_page", 2), ("on_page", 3), ("on_page", 2), ("schema", 2), ("schema", 3), ("trust", 3), ("performance", 2), ("discovery", 4), ("content", 3), ("content", 1), ("entity", 2), ("links", 3), ("links", 4)])

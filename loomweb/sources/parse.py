@@ -30,8 +30,8 @@ main_text: string, main_method: string, body_words: int, visible_text: string, c
 blocks: array<string>, texts: array<string>, resources: array<struct<tag:string, url:string>>, ids: array<string>,
 forms: array<struct<pos:int, purpose:string, method:string, action:string, controls:int, labelled:int, search:boolean, submit:string>>,
 unlabelled: int, empty_links: int, empty_buttons: int, images_without_alt: int, bad_roles: array<string>, buttons: int, mains: int,
-units: array<struct<pos:int, kind:string, heading:string, text:string, level:int, whole:string>>,
-scripts: int, spa_root: boolean, videos: int, audios: int, captions: int, copyright: array<string>, phones: array<string>, emails: array<string>, address: array<string>, code_blocks: int, blockquotes: int, author: string, nosnippet: int
+units: array<struct<pos:int, kind:string, heading:string, text:string, level:int, whole:string, obscured:boolean>>,
+scripts: int, spa_root: boolean, videos: int, audios: int, captions: int, copyright: array<string>, phones: array<string>, emails: array<string>, address: array<string>, code_blocks: int, blockquotes: int, author: string, nosnippet: int, name_clashes: int
 >"""
 # The roles of the ARIA standard.
 ARIA_ROLES = frozenset(
@@ -39,6 +39,8 @@ ARIA_ROLES = frozenset(
     insertion link list listbox listitem log main marquee math menu menubar menuitem menuitemcheckbox menuitemradio meter navigation none note option paragraph presentation progressbar radio radiogroup region row rowgroup rowheader scrollbar search searchbox
     separator slider spinbutton status strong subscript superscript suggestion switch tab table tablist tabpanel term textbox time timer toolbar tooltip tree treegrid treeitem""".split()
 )
+# Names of buttons that exclude each other.
+CLASHES = (("submit", "cancel"), ("save", "delete"), ("next", "previous"), ("open", "close"), ("login", "logout"))
 COPYRIGHT = re.compile(r"(?:©|\(c\)|copyright)\s*(?:©\s*)?(?:\d{4}(?:\s*[-–]\s*\d{4})?)?\s*,?\s*(?:by\s+)?([A-Z][\w&.,' -]{1,60})", re.I)
 DEFINITION = re.compile(r"^\S+(?:\s+\S+){0,7}\s+(?:is|are|refers to|means|is defined as)\s+(?:an?|the|any|how|when)\b", re.I)
 QUESTION = re.compile(r"^(?:what|why|how|when|where|who|which|can|does|do|is|are|should)\b|\?$", re.I)
@@ -96,6 +98,14 @@ def _name(x: Node) -> str:
     return x.text() or (x.get("aria-label") or x.get("title") or "").strip() or " ".join(a for i in x.find_all("img") if (a := (i.get("alt") or "").strip())) or ("labelled" if x.get("aria-labelledby") else "")
 
 
+def _clashes(x: Node) -> bool:
+    """A button that shows one thing and tells assistive software its opposite."""
+    if x.name == "input" and (x.get("type") or "").lower() not in ("submit", "button", "reset"):
+        return False
+    shown, told = (x.text() or x.get("value") or "").lower(), x.get("aria-label").lower()
+    return any((a in shown and b in told) or (b in shown and a in told) for a, b in CLASHES)
+
+
 def _control_labelled(x: Node, labels: set[str]) -> bool:
     return bool(x.get("aria-label") or x.get("aria-labelledby") or x.get("title") or x.get("id") in labels or x.within("label"))
 
@@ -105,7 +115,7 @@ def _units(root: Node) -> list[dict]:
     out, heading, level = [], "", 0
 
     def put(kind, text):
-        out.append({"pos": len(out), "kind": kind, "heading": heading, "text": text[:350], "level": level, "whole": text})
+        out.append({"pos": len(out), "kind": kind, "heading": heading, "text": text[:350], "level": level, "whole": text, "obscured": any(a.has("data-nosnippet") for a in (x, *x.ancestors()))})
 
     for x in root.walk():
         if x.name in HEADING:
@@ -229,7 +239,7 @@ def page_record(page: str) -> dict:
         "address": [" ".join(x.text().split()) for x in root.find_all("address")],
         "code_blocks": len(root.find_all("code", "pre")), "blockquotes": len(root.find_all("blockquote", "q")),
         "author": meta.get("author") or next((x.text() for x in root.walk() if "author" in (x.get("rel") or "").split() or x.get("itemprop") == "author"), None),
-        "nosnippet": sum(1 for x in root.walk() if x.has("data-nosnippet")),
+        "nosnippet": sum(1 for x in root.walk() if x.has("data-nosnippet")), "name_clashes": sum(_clashes(x) for x in root.find_all("button", "input") if x.get("aria-label")),
     }
 
 

@@ -6,7 +6,7 @@ import pytest
 from loomweb.plans import cases
 from loomweb.plans.registry import ORACLE, QUERIES
 
-FAST = ["url_algebra", "frontier", "snippet_controls", "fingerprints", "title_alignment", "robots_decisions", "text_scalars", "health", "cohort_voids", "conflict_rules"]
+FAST = ["url_algebra", "frontier", "snippet_controls", "fingerprints", "title_alignment", "robots_decisions", "text_scalars", "health", "cohort_voids", "conflict_rules", "no_conflicts", "gap_actions"]
 
 
 def test_every_case_has_rows():

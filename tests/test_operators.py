@@ -281,6 +281,27 @@ def test_audit(site):
     assert b["voids"].count() == 12 and b["target"].count() > 0
 
 
+def test_audit_with_all_inputs(spark):
+    low = page("Raw", "", "<p>few words</p>")
+    full = page("Live title", "Head", "<p>" + "The laboratory is not accredited for calibration of many instruments. " * 40 + "</p>", '<script type="application/ld+json">{"@type":"Organization","name":"Acme"}</script>')
+    records = source.crawl_frame(spark, [{"site": "a.example", "url": f"{B}/", "raw_html": low}, {"site": "a.example", "url": f"{B}/x", "raw_html": page("X", "X", "<p>text</p>", "<meta name=robots content=noindex>")}])
+    robots_txt = spark.createDataFrame([("a.example", 200, "User-agent: Googlebot\nDisallow: /\n")], "site string, status_code int, content string")
+    tables = api.audit(
+        records, robots_txt, rendered=spark.createDataFrame([("a.example", f"{B}/", full)], "site string, url string, raw_html string"), llms_txt=spark.createDataFrame([], "site string, content string"),
+        timings=spark.createDataFrame([("a.example", 2.0)], "site string, seconds double"), keywords=spark.createDataFrame([("a.example", 600)], "site string, traffic int"),
+        cited=spark.createDataFrame([("a.example", "1", f"{B}/", "The accredited laboratory offers calibration")], "site string, id string, url string, text string"),
+    )
+    got = {(r.url.removeprefix(B), r.category) for r in tables["conflicts"].collect()}
+    want = {"AI_CRAWLER_MISCONFIG", "CLIENT_RENDERED_SCHEMA", "DOM_HYDRATION_DIVERGENCE", "CLIENT_RENDERED_CONTENT", "EXTERNAL_CITATION_MATERIAL_MISMATCH"}
+    assert {c for u, c in got if u == "/"} >= want and {c for u, c in got if u == "/x"} == {"AI_CRAWLER_MISCONFIG", "AI_RETRIEVAL_DIRECTIVE_CONFLICT"}
+    assert {r.mode for r in tables["health"].collect()} == {"5_engine"}
+    assert {r.area for r in tables["actions"].collect()} >= {"conflicts", "performance", "discovery"}
+    assert "ROBOTS_MISSING" not in {r.remediation for r in tables["remediations"].collect()}
+    review = tables["package"].first()
+    assert len(review.dimensions) == 15 and review.dimensions["retrieval"] == "AVAILABLE" and 0 < review.search_access < 1
+    assert api.benchmark(tables, "a.example")["target"].count() >= 11
+
+
 def test_stream(spark, tmp_path):
     from loomweb.streaming import recrawl
 

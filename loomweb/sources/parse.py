@@ -252,8 +252,10 @@ def parse_pages(crawl: DataFrame, column: str = "raw_html") -> DataFrame:
     def run(pages: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([page_record(h) if h else EMPTY for h in pages])
 
+    # named nondeterministic, so that a filter which is inferred from what follows (an explode of the links, say) isn't
+    # pushed below, where it would parse every page once more
     fields = [f for f in FIELDS]
-    parsed = F.pandas_udf(run, SCHEMA.replace("\n", " "))(F.col(column))
+    parsed = F.pandas_udf(run, SCHEMA.replace("\n", " ")).asNondeterministic()(F.col(column))
     out = crawl.withColumn("p", parsed)
     return out.withColumn("p", F.when(F.length(column) > 0, F.struct(*[F.col(f"p.{f}").alias(f) for f in fields]))).drop(column)
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..functions.dims import STOPWORDS
+from ..plans.shared import settle
 
 # Phrases of unfinished pages.
 PLACEHOLDER = r"(?i)\b(lorem ipsum|under construction|coming soon|page intentionally left blank|insert text here|sample text|dummy text|template placeholder)\b"
@@ -93,29 +94,37 @@ def near_duplicates(content: DataFrame, threshold: float = 0.80, k: int = 3) ->
     verdict is on the similarity to four places, so the filter leaves that much room. Texts of fewer than k words are
     compared with all of few words by their words instead, as are they with longer ones by a shared word.
     """
-    c = content.where("words > 0").select("site", "url", "words", "content_hash", "simhash", text.words(F.col("main_text")).alias("w"))
+    named = ["site", "words", "content_hash", "simhash"]
+    rows = settle(content.where("words > 0").select(*named, "url"))
+    # pages of one hash, number of words and fingerprint are one class: searched once, and paired at the end alone
+    classes = rows.groupBy(*named).agg(F.min("url").alias("url"))
+    texts = content.where("words > 0").select("site", "url", "main_text").dropDuplicates(["site", "url"])
+    c = settle(classes.join(texts, ["site", "url"]).withColumn("id", F.monotonically_increasing_id())).withColumn("w", text.words(F.col("main_text"))).drop("main_text")
     c = c.withColumn("set", F.when(F.size("w") >= k, text.shingles(F.col("w"), k)).otherwise(F.array_distinct("w"))).withColumn("long", F.size("w") >= k)
-    tokens = c.select("site", "url", "long", F.size("set").alias("n"), F.explode("set").alias("t"))
-    frequency = tokens.groupBy("site", "t").agg(F.count("*").alias("df"))
-    ranked = tokens.join(frequency.where("df > 1"), ["site", "t"]).withColumn("df1", F.col("df"))
-    shared = ranked.groupBy("site", "url").agg(F.count("*").alias("m"), F.first("n").alias("n"))
-    place = F.row_number().over(Window.partitionBy("site", "url").orderBy("df", "t"))
-    ranked = ranked.withColumn("place", place).join(shared.select("site", "url", "m"), ["site", "url"])
+    # shingles go by hashes that hold their site and kind; the verdict is on the shingles themselves
+    tokens = c.select("id", F.size("set").alias("n"), F.explode(F.transform("set", lambda t: F.xxhash64("site", "long", t))).alias("t"))
+    frequency = tokens.groupBy("t").agg(F.count("*").cast("int").alias("df")).where("df > 1")
+    mine = Window.partitionBy("id")
+    ranked = tokens.join(frequency, "t").withColumn("place", F.row_number().over(mine.orderBy("df", "t"))).withColumn("m", F.count("*").over(mine))
     room = F.col("n") - F.ceil(F.col("n") * (threshold - 0.00005)) + 1  # of the n shingles so many rarest ones suffice
-    prefix = ranked.where(F.col("place") + (F.col("n") - F.col("m")) <= room)
-    a, b = prefix.select("site", "t", "long", F.col("url").alias("url_a"), F.col("n").alias("na")), prefix.select("site", "t", F.col("long").alias("long_b"), F.col("url").alias("url_b"), F.col("n").alias("nb"))
+    prefix = settle(ranked.where(F.col("place") + (F.col("n") - F.col("m")) <= room).select("t", "id", "n"))
+    a, b = prefix.toDF("t", "a", "na"), prefix.toDF("t", "b", "nb")
     fits = F.least("na", "nb") >= F.greatest("na", "nb") * (threshold - 0.00005)
-    pairs = a.join(b, ["site", "t"]).where((F.col("url_a") < F.col("url_b")) & (F.col("long") == F.col("long_b")) & fits).select("site", "url_a", "url_b").distinct()
-    few = c.where(~F.col("long")).select("site", "url", F.explode(F.array_distinct("w")).alias("t"))
-    other = c.where(F.col("long") & (F.size(F.array_distinct("w")) <= k / threshold)).select("site", F.col("url").alias("v"), F.explode(F.array_distinct("w")).alias("t"))
-    mixed = few.join(other, ["site", "t"]).select("site", F.least("url", "v").alias("url_a"), F.greatest("url", "v").alias("url_b")).distinct()
+    pairs = a.join(b, "t").where((F.col("a") < F.col("b")) & fits).select("a", "b")
+    few = c.where(~F.col("long")).select("site", "id", F.explode(F.array_distinct("w")).alias("t"))
+    other = c.where(F.col("long") & (F.size(F.array_distinct("w")) <= k / threshold)).select("site", F.col("id").alias("v"), F.explode(F.array_distinct("w")).alias("t"))
+    mixed = few.join(other, ["site", "t"]).select(F.least("id", "v").alias("a"), F.greatest("id", "v").alias("b"))
     pairs = pairs.union(mixed).distinct()
-    side = lambda x: c.select("site", F.col("url").alias(f"url_{x}"), F.col("w").alias(f"w_{x}"), F.col("set").alias(f"s_{x}"), F.col("long").alias(f"l_{x}"), F.col("words").alias(f"n_{x}"), F.col("content_hash").alias(f"h_{x}"), F.col("simhash").alias(f"f_{x}"))
-    j = pairs.join(side("a"), ["site", "url_a"]).join(side("b"), ["site", "url_b"])
+    side = lambda x: c.select(F.col("id").alias(x), F.col("site").alias(f"site_{x}"), F.col("w").alias(f"w_{x}"), F.col("set").alias(f"s_{x}"), F.col("long").alias(f"l_{x}"), F.col("words").alias(f"n_{x}"), F.col("content_hash").alias(f"h_{x}"), F.col("simhash").alias(f"f_{x}"))
+    j = pairs.join(side("a"), "a").join(side("b"), "b").where("site_a = site_b")
     j = j.withColumn("j", F.round(F.when(F.col("l_a") & F.col("l_b"), text.jaccard(F.col("s_a"), F.col("s_b"))).otherwise(text.jaccard(F.array_distinct("w_a"), F.array_distinct("w_b"))), 4))
     j = j.withColumn("hamming", text.hamming(F.col("f_a"), F.col("f_b")))
     gate = (F.col("hamming") <= 12) | (F.abs(F.col("n_a") - F.col("n_b")) <= 30)
-    return j.where(gate & (F.col("j") >= threshold) & (F.col("h_a") != F.col("h_b"))).select("site", "url_a", "url_b", F.round(F.col("j") * 100, 1).alias("similarity"), "hamming")
+    j = j.where(gate & (F.col("j") >= threshold) & (F.col("h_a") != F.col("h_b"))).select(F.col("site_a").alias("site"), *[F.col(f"{v}_{x}") for x in "ab" for v in "nhf"], F.round(F.col("j") * 100, 1).alias("similarity"), "hamming")
+    for x in "ab":
+        own = rows.select(F.col("site").alias("_s"), F.col("words").alias("_n"), F.col("content_hash").alias("_h"), F.col("simhash").alias("_f"), F.col("url").alias(f"u_{x}"))
+        j = j.join(own, (F.col("site") == F.col("_s")) & (F.col(f"n_{x}") == F.col("_n")) & (F.col(f"h_{x}") == F.col("_h")) & F.col(f"f_{x}").eqNullSafe(F.col("_f"))).drop("_s", "_n", "_h", "_f")
+    return j.select("site", F.least("u_a", "u_b").alias("url_a"), F.greatest("u_a", "u_b").alias("url_b"), "similarity", "hamming")
 
 
 def boilerplate(content: DataFrame, top: int | None = 10) -> DataFrame:

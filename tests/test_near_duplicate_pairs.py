@@ -14,20 +14,26 @@ def test_near_duplicate_pairs_of_both_branches(spark, tmp_path):
         base = [word() for _ in range(n)]
         at = rng.randrange(n)
         rows += [base, base[:at] + [word() for _ in range(more)] + base[at:]]
+    rows += [rows[8], rows[9], rows[8]]  # copies: each has the partners of the others, and none of them
     rows = [(i, " ".join(w), "s", "en") for i, w in enumerate(rows)]
+    rows.append((len(rows), rows[8][1].upper() + " !", "s", "en"))  # an equal hash, another number of words
+    rows.append((len(rows), rows[8][1], "other", "en"))  # another site
     spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
     finger = [text.simhash_one(t) for _, t, _, _ in rows]
-    grams = [{tuple(t.split()[k : k + 3]) for k in range(len(t.split()) - 2)} for _, t, _, _ in rows]
+    norm = [t.lower().replace("!", "").split() for _, t, _, _ in rows]
+    grams = [{tuple(t[k : k + 3]) for k in range(len(t) - 2)} for t in norm]
     want, long = set(), 0
     for a in range(len(rows)):
         for b in range(a + 1, len(rows)):
             bits = bin(int(finger[a], 16) ^ int(finger[b], 16)).count("1")
             dn = abs(len(rows[a][1].split()) - len(rows[b][1].split()))
             j = round(len(grams[a] & grams[b]) / len(grams[a] | grams[b]), 4)
+            if rows[a][2] != rows[b][2] or norm[a] == norm[b]:
+                continue
             if j >= 0.8 and (bits <= 12 or dn <= 30):
                 want.add(tuple(sorted((a, b), key=str)))
                 long += dn > 30
-    assert long >= 2
+    assert long >= 2 and len(want) >= 10
     got = registry.near_duplicate_pairs(spark, str(tmp_path))
     assert {(r.doc_a, r.doc_b) for r in got.collect()} == want
     assert got.columns == ["site", "doc_a", "doc_b", "similarity"]

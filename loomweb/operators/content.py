@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -86,6 +88,52 @@ def exact_duplicates(content: DataFrame) -> DataFrame:
     return content.where("words > 0").groupBy("site", "content_hash").agg(F.first("words").alias("words"), F.count("*").alias("pages"), F.sort_array(F.collect_list("url")).alias("urls")).where("pages > 1")
 
 
+def _lists(c: DataFrame, near: float, k: int, full: int = 128) -> DataFrame:
+    """id, n, l0, l1, tokens of texts (id, site, w): hashes of a text's shingles of k words, of its words if it has fewer.
+
+    Listed are the hashes below a cut, the same for all texts (level 0, even), and all of them (level 1, odd) for texts of
+    up to `full` shingles. Two texts that can be alike are on one level, which holds enough of each for the search: `full`
+    is raised until that is so of every text.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    kind = "id bigint, n int, weak int, l0 int, l1 int, tokens array<bigint>"
+    cut = int(-(2**63) + min(0.999, 2.2 * (1 - near) + 0.005) * 2**64)
+    one, two = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+
+    def lists(full: int, alone: int):
+        def row(salt: int, w: np.ndarray):
+            h = w if len(w) < k else np.zeros(len(w) - k + 1, np.uint64)
+            for i in range(k if len(w) >= k else 0):
+                h = (h ^ (h >> np.uint64(29))) * one + w[i : len(w) - k + 1 + i]
+            h = (h ^ np.uint64(salt)) * two
+            h = np.unique((h ^ (h >> np.uint64(32))).view(np.int64) & ~np.int64(1))
+            n, low = len(h), int(np.searchsorted(h, cut))
+            weak = n if low < n - int(np.ceil(n * near)) + 1 else 0
+            low = low if n > alone else 0
+            return n, weak, low, n if n <= full else 0, np.concatenate([h[:low], h | np.int64(1) if n <= full else h[:0]])
+
+        def run(batches):
+            for b in batches:
+                ids, salts = b.column(0), b.column(1).to_numpy().view(np.uint64).tolist()
+                found = [row(x, np.asarray(w.values, np.int64).view(np.uint64)) for x, w in zip(salts, b.column(2), strict=True)]
+                n, weak, l0, l1, tokens = zip(*found, strict=True) if found else ([], [], [], [], [])
+                ends = np.concatenate([[0], np.cumsum([len(t) for t in tokens], dtype=np.int64)]).astype(np.int32)
+                flat = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(tokens) if tokens else np.empty(0, np.int64)))
+                yield pa.RecordBatch.from_arrays([ids, *[pa.array(v, pa.int32()) for v in (n, weak, l0, l1)], flat], names=["id", "n", "weak", "l0", "l1", "tokens"])
+
+        return run
+
+    hashed = c.select("id", F.xxhash64("site", F.size("w") >= k).alias("salt"), F.transform("w", lambda x: F.xxhash64(x)).alias("w"))
+    while True:
+        out = settle(hashed.mapInArrow(lists(full, int(full * near)), kind))
+        weak = out.agg(F.max("weak")).first()[0] or 0
+        if weak <= int(full * near):
+            return out
+        full = math.ceil((weak + 1) / near)
+
+
 def near_duplicates(content: DataFrame, threshold: float = 0.80, k: int = 3) -> DataFrame:
     """url_a < url_b, similarity (percent, one place) and hamming distance of pages of a site that share most shingles.
 
@@ -99,25 +147,27 @@ def near_duplicates(content: DataFrame, threshold: float = 0.80, k: int = 3) ->
     # pages of one hash, number of words and fingerprint are one class: searched once, and paired at the end alone
     classes = rows.groupBy(*named).agg(F.min("url").alias("url"))
     texts = content.where("words > 0").select("site", "url", "main_text").dropDuplicates(["site", "url"])
-    c = settle(classes.join(texts, ["site", "url"]).withColumn("id", F.monotonically_increasing_id())).withColumn("w", text.words(F.col("main_text"))).drop("main_text")
-    c = c.withColumn("set", F.when(F.size("w") >= k, text.shingles(F.col("w"), k)).otherwise(F.array_distinct("w"))).withColumn("long", F.size("w") >= k)
-    # shingles go by hashes that hold their site and kind; the verdict is on the shingles themselves
-    tokens = c.select("id", F.size("set").alias("n"), F.explode(F.transform("set", lambda t: F.xxhash64("site", "long", t))).alias("t"))
+    c = settle(classes.join(texts, ["site", "url"]).withColumn("id", F.monotonically_increasing_id()))
+    near = threshold - 0.00005
+    lists = _lists(c.withColumn("w", text.words(F.col("main_text"))), near, k)
+    tokens = lists.select("id", "n", "l0", "l1", F.explode("tokens").alias("t"))
     frequency = tokens.groupBy("t").agg(F.count("*").cast("int").alias("df")).where("df > 1")
-    mine = Window.partitionBy("id")
+    level = F.col("t").bitwiseAND(F.lit(1))
+    mine = Window.partitionBy("id", level)
     ranked = tokens.join(frequency, "t").withColumn("place", F.row_number().over(mine.orderBy("df", "t"))).withColumn("m", F.count("*").over(mine))
-    room = F.col("n") - F.ceil(F.col("n") * (threshold - 0.00005)) + 1  # of the n shingles so many rarest ones suffice
-    prefix = settle(ranked.where(F.col("place") + (F.col("n") - F.col("m")) <= room).select("t", "id", "n"))
+    room = F.col("n") - F.ceil(F.col("n") * near) + 1  # of the listed shingles so many rarest ones suffice
+    prefix = settle(ranked.where(F.col("place") + F.when(level == 0, F.col("l0")).otherwise(F.col("l1")) - F.col("m") <= room).select("t", "id", "n"))
     a, b = prefix.toDF("t", "a", "na"), prefix.toDF("t", "b", "nb")
-    fits = F.least("na", "nb") >= F.greatest("na", "nb") * (threshold - 0.00005)
+    fits = F.least("na", "nb") >= F.greatest("na", "nb") * near
     pairs = a.join(b, "t").where((F.col("a") < F.col("b")) & fits).select("a", "b")
-    few = c.where(~F.col("long")).select("site", "id", F.explode(F.array_distinct("w")).alias("t"))
-    other = c.where(F.col("long") & (F.size(F.array_distinct("w")) <= k / threshold)).select("site", F.col("id").alias("v"), F.explode(F.array_distinct("w")).alias("t"))
+    short = c.withColumn("w", text.words(F.col("main_text")))
+    few = short.where(F.size("w") < k).select("site", "id", F.explode(F.array_distinct("w")).alias("t"))
+    other = short.where((F.size("w") >= k) & (F.size(F.array_distinct("w")) <= k / threshold)).select("site", F.col("id").alias("v"), F.explode(F.array_distinct("w")).alias("t"))
     mixed = few.join(other, ["site", "t"]).select(F.least("id", "v").alias("a"), F.greatest("id", "v").alias("b"))
-    pairs = pairs.union(mixed).distinct()
-    side = lambda x: c.select(F.col("id").alias(x), F.col("site").alias(f"site_{x}"), F.col("w").alias(f"w_{x}"), F.col("set").alias(f"s_{x}"), F.col("long").alias(f"l_{x}"), F.col("words").alias(f"n_{x}"), F.col("content_hash").alias(f"h_{x}"), F.col("simhash").alias(f"f_{x}"))
-    j = pairs.join(side("a"), "a").join(side("b"), "b").where("site_a = site_b")
-    j = j.withColumn("j", F.round(F.when(F.col("l_a") & F.col("l_b"), text.jaccard(F.col("s_a"), F.col("s_b"))).otherwise(text.jaccard(F.array_distinct("w_a"), F.array_distinct("w_b"))), 4))
+    pairs = settle(pairs.union(mixed).distinct())
+    wanted = c.join(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi")
+    side = lambda x: wanted.select(F.col("id").alias(x), F.col("site").alias(f"site_{x}"), F.col("main_text").alias(f"t_{x}"), F.col("words").alias(f"n_{x}"), F.col("content_hash").alias(f"h_{x}"), F.col("simhash").alias(f"f_{x}"))
+    j = pairs.join(side("a"), "a").join(side("b"), "b").where("site_a = site_b").withColumn("j", text.shingle_jaccard(F.col("t_a"), F.col("t_b"), k))
     j = j.withColumn("hamming", text.hamming(F.col("f_a"), F.col("f_b")))
     gate = (F.col("hamming") <= 12) | (F.abs(F.col("n_a") - F.col("n_b")) <= 30)
     j = j.where(gate & (F.col("j") >= threshold) & (F.col("h_a") != F.col("h_b"))).select(F.col("site_a").alias("site"), *[F.col(f"{v}_{x}") for x in "ab" for v in "nhf"], F.round(F.col("j") * 100, 1).alias("similarity"), "hamming")

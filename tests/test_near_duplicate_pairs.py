@@ -1,8 +1,10 @@
 """Results that limits once cut."""
 
+import math
 import random
 
 from loomweb.functions import text
+from loomweb.operators import content
 from loomweb.plans import registry
 
 
@@ -37,3 +39,14 @@ def test_near_duplicate_pairs_of_both_branches(spark, tmp_path):
     got = registry.near_duplicate_pairs(spark, str(tmp_path))
     assert {(r.doc_a, r.doc_b) for r in got.collect()} == want
     assert got.columns == ["site", "doc_a", "doc_b", "similarity"]
+
+
+def test_lists_hold_enough_of_every_text(spark):
+    rng = random.Random(2)
+    rows = [(i, "s", [f"w{rng.randrange(9999)}" for _ in range(n)]) for i, n in enumerate([1, 2, 3, 5, 9, 30, 31, 60, 200, 400] * 3)]
+    c = spark.createDataFrame(rows, "id long, site string, w array<string>")
+    for full in (1, 20, 128):
+        for r in content._lists(c, 0.79995, 3, full).collect():
+            p = r.n - math.ceil(r.n * 0.79995) + 1
+            assert r.l0 + r.l1 == len(r.tokens) and (r.l1 in (0, r.n)) and (r.l1 == r.n or r.l0 >= p)
+            assert len(set(r.tokens)) == len(r.tokens) and sum(t % 2 == 0 for t in r.tokens) == r.l0

@@ -115,7 +115,7 @@ def _lists(c: DataFrame, near: float, k: int, full: int = 128) -> DataFrame:
             return n, weak, low, n if n <= full else 0, np.concatenate([h[:low], h | np.int64(1) if n <= full else h[:0]])
 
         def run(batches):
-            for b in batches:
+            for b in (whole.slice(i, 500) for whole in batches for i in range(0, whole.num_rows, 500)):
                 ids, salts = b.column(0), b.column(1).to_numpy().view(np.uint64).tolist()
                 found = [row(x, np.asarray(w.values, np.int64).view(np.uint64)) for x, w in zip(salts, b.column(2), strict=True)]
                 n, weak, l0, l1, tokens = zip(*found, strict=True) if found else ([], [], [], [], [])

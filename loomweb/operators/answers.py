@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text, urls
+from ..plans.shared import keep
 from .eligibility import directives, header_values, x_robots
 from .entities import entity_name, phone_number
 
@@ -124,6 +125,11 @@ FOUNDED = r"(?i)\b(?:founded|established|since|incorporated)\s+(?:in\s+)?((?:19|
 METRIC = r"(?i)\b(\d[\d,.]*\s?(?:%|percent|\+|years|clients|customers|projects|countries|employees))"
 
 
+def _names(t: Column, pattern: str) -> Column:
+    """Whether a text holds one of the patterns above; none does without a digit, which is found much faster."""
+    return t.rlike(r"\d") & t.rlike(pattern)
+
+
 def _key(whole: Column) -> Column:
     return F.substring(F.md5(F.substring(F.lower(F.trim(whole)), 1, 120)), 1, 10)
 
@@ -132,18 +138,33 @@ def _claim_id(shown: Column) -> Column:
     return F.substring(F.md5(F.lower(shown)), 1, 10)
 
 
-def passages(parsed: DataFrame, units: DataFrame) -> DataFrame:
-    """site, url, key, type, text, own: the whole texts of answer units, and the paragraphs that are none, of any length.
+#: Types of passages that prove a claim by words in common.
+PROOF = ("PROCEDURE_STEPS", "TABLE")
+
+
+def passages(parsed: DataFrame, units: DataFrame, evidence: bool = False) -> DataFrame:
+    """site, url, key, type, text, own: the whole texts of answer units, and the paragraphs that are none, of any length;
+    with evidence only those that ground_claims reads: steps, tables, and texts that name a standard or a founding year.
 
     key is the MD5 of a text; own is the id of the claim that the text itself would make (units are shown by their
     beginning)."""
+    from .search import schema_types
+
     p = parsed.where("p is not null")
-    dom = p.select("site", "url", F.explode("p.units").alias("u")).select("site", "url", _key(F.col("u.text")).alias("unit"), F.col("u.whole").alias("text")).distinct()
+    digest = lambda t: F.md5(F.lower(F.trim(t)))
+    named = (_names(F.col("text"), STANDARD) | _names(F.col("text"), FOUNDED)) if evidence else F.lit(True)
+    steps = F.arrays_overlap(schema_types(), F.array(*[F.lit(t) for t, k in SCHEMA_UNITS.items() if k in PROOF]))
+    proofs = F.transform(F.filter("p.units", lambda u: u["kind"].isin(*PROOF)), lambda u: _key(u["text"]))
+    dom = p.select("site", "url", steps.alias("steps"), proofs.alias("proofs"), F.explode("p.units").alias("u")).select("site", "url", "steps", "proofs", _key(F.col("u.text")).alias("unit"), F.col("u.whole").alias("text"))
+    # texts go as early as they can: where paragraphs aren't closed they hold one another, and are several times the pages
+    dom = dom.select("site", "url", "unit", digest(F.col("text")).alias("key"), F.when(F.col("steps") | F.array_contains("proofs", F.col("unit")) | named, F.col("text")).alias("text")).distinct()
     u = units.select("site", "url", F.col("key").alias("unit"), "type", F.col("text").alias("shown")).join(dom, ["site", "url", "unit"], "left")
-    u = u.select("site", "url", "type", F.coalesce("text", "shown").alias("text"), _claim_id(F.col("shown")).alias("own")).withColumn("key", F.md5(F.lower(F.trim("text"))))
-    plain = p.select("site", "url", F.explode(F.array_distinct("p.texts")).alias("text")).withColumn("key", F.md5(F.lower(F.trim("text"))))
+    u = u.select("site", "url", "type", F.when(F.col("key").isNull(), F.col("shown")).otherwise(F.col("text")).alias("text"), _claim_id(F.col("shown")).alias("own"), F.coalesce("key", digest(F.col("shown"))).alias("key"))
+    plain = p.select("site", "url", F.explode(F.array_distinct("p.texts")).alias("text")).where(named).withColumn("key", digest(F.col("text")))
     plain = plain.join(u.select("site", "url", "key"), ["site", "url", "key"], "left_anti")
-    return u.select("site", "url", "key", "type", "text", "own").union(plain.select("site", "url", "key", F.lit("PARAGRAPH"), "text", _claim_id(F.col("text"))))
+    if evidence:
+        u = u.where(F.col("type").isin(*PROOF) | named)
+    return u.where("text is not null").select("site", "url", "key", "type", "text", "own").union(plain.select("site", "url", "key", F.lit("PARAGRAPH"), "text", _claim_id(F.col("text"))))
 
 
 def claims(parsed: DataFrame, units: DataFrame) -> DataFrame:
@@ -152,12 +173,13 @@ def claims(parsed: DataFrame, units: DataFrame) -> DataFrame:
     From paragraphs of 15 to 400 characters, the description, and units: accreditation (names a standard), founding
     (a year), metric (a number), else the unit's own kind (service, specification, requirement, contact)."""
     p = parsed.where("p is not null").select("site", "url", F.explode(F.array_distinct("p.texts")).alias("text")).withColumn("key", _key(F.col("text")))
+    p = p.where(F.length("text").between(15, 400) & (_names(F.col("text"), STANDARD) | _names(F.col("text"), FOUNDED) | _names(F.col("text"), METRIC)))  # others make no claim
     plain = p.join(units.select("site", "url", "key"), ["site", "url", "key"], "left_anti").select("site", "url", "text", F.lit("PARAGRAPH").alias("type"))
     para = units.select("site", "url", "text", "type").union(plain)
     desc = parsed.where("p is not null").select("site", "url", F.col("p.meta").getItem("description").alias("text"), F.lit("DESCRIPTION").alias("type"))
     c = para.union(desc).where(F.length("text").between(15, 400))
     kind = (
-        F.when(F.col("text").rlike(STANDARD), "accreditation").when(F.col("text").rlike(FOUNDED), "founding").when(F.col("text").rlike(METRIC), "metric").when(F.col("type") == "SERVICE_DESCRIPTION", "service")
+        F.when(_names(F.col("text"), STANDARD), "accreditation").when(_names(F.col("text"), FOUNDED), "founding").when(_names(F.col("text"), METRIC), "metric").when(F.col("type") == "SERVICE_DESCRIPTION", "service")
         .when(F.col("type").isin("SPECIFICATION", "TABLE"), "specification").when(F.col("type") == "REQUIREMENTS_ELIGIBILITY", "requirement").when(F.col("type") == "LOCATION_CONTACT", "contact").when(F.col("type") == "FACTUAL_STATEMENT", "factual")
     )
     subject = F.when(kind == "accreditation", F.upper(F.regexp_replace(F.regexp_extract("text", STANDARD, 1), r"\s+", " "))).when(kind == "founding", F.regexp_extract("text", FOUNDED, 1)).when(kind == "metric", F.regexp_extract("text", METRIC, 1)).otherwise("")
@@ -165,27 +187,78 @@ def claims(parsed: DataFrame, units: DataFrame) -> DataFrame:
     return c.dropDuplicates(["site", "url", "claim_id"])
 
 
+def _accredited(claim: DataFrame, passage: DataFrame) -> DataFrame:
+    """s of the accreditations that passages of other claims name: of each standard two rows say it, the best of any
+    passage and the best of those of another claim."""
+    std = passage.select("site", "own", "u_text", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("u_text", F.lit(STANDARD), F.lit(1)), lambda x: F.upper(F.regexp_replace(x, r"\s+", " "))))).alias("subject"))
+    s = F.when((F.length("u_text") >= 120) | F.col("u_text").rlike(r"(?i)\b(scope|method|testing|calibration|accredited)\b"), 2).otherwise(1)
+    std = std.groupBy("site", "subject", "own").agg(F.max(s).alias("s"))
+    best = std.groupBy("site", "subject").agg(F.max(F.struct("s", "own")).alias("first"))
+    other = std.join(best, ["site", "subject"]).where("own <> first.own").groupBy("site", "subject").agg(F.max("s").alias("second"))
+    best = best.join(other, ["site", "subject"], "left")
+    a = claim.where("type = 'accreditation'").join(best, ["site", "subject"])
+    return a.select("site", "url", "claim_id", F.when(F.col("first.own") != F.col("claim_id"), F.col("first.s")).otherwise(F.col("second")).alias("s")).where("s is not null")
+
+
+def _founded(claim: DataFrame, passage: DataFrame) -> DataFrame:
+    """s of the founding years of sites where passages of other claims name a year: a site has 200 years at most, each with
+    the least and the greatest claim that its passages make."""
+    years = passage.select("site", "own", F.explode(F.array_distinct(F.regexp_extract_all("u_text", F.lit(FOUNDED), F.lit(1)))).alias("year"))
+    years = years.groupBy("site", "year").agg(F.min("own").alias("a"), F.max("own").alias("b")).groupBy("site").agg(F.collect_list(F.struct("year", "a", "b")).alias("years"))
+    f = claim.where("type = 'founding'").join(years, "site").withColumn("years", F.filter("years", lambda y: (y["a"] != F.col("claim_id")) | (y["b"] != F.col("claim_id"))))
+    return f.where("size(years) > 0").select("site", "url", "claim_id", F.when(F.exists("years", lambda y: y["year"] != F.col("subject")), 3).otherwise(2).alias("s"))
+
+
+#: Passages of a site, and of its tables, that each claim is held against at once.
+WITNESSES = 32
+
+
+def _backed(c: DataFrame, u: DataFrame) -> DataFrame:
+    """The ids of claims c (id, site, claim_id, type, need, words) that have `need` words in common with passages u (site,
+    own, table, words) of another claim; metrics with tables alone.
+
+    Whether there is such a passage is all that matters, so the passages with most words of a site are tried first. The
+    claims that they don't settle meet all passages on their rarer words: a claim that needs n words in common shares one
+    of all but its n - 1 most frequent ones.
+    """
+    c, u = keep(c), keep(u.withColumn("pid", F.monotonically_increasing_id()))
+    shown = u.withColumnRenamed("words", "u_words")
+    agree = (F.col("own") != F.col("claim_id")) & (F.col("table") | (F.col("type") != "metric")) & (F.size(F.array_intersect("words", "u_words")) >= F.col("need"))
+    most = Window.partitionBy("site", "table").orderBy(F.desc(F.size("u_words")), "pid")
+    best = shown.withColumn("k", F.row_number().over(most)).where(F.col("k") <= WITNESSES)
+    salted = best.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(31))))  # a site's claims in several tasks
+    first = keep(c.withColumn("salt", F.pmod("id", F.lit(32)).cast("int")).join(salted, ["site", "salt"]).where(agree).select("id").distinct())
+    left = keep(c.join(first, "id", "left_anti"))
+    t = left.select("id", "site", "claim_id", "need", F.explode("words").alias("t"))
+    ut = u.select("site", "pid", "own", F.explode("words").alias("t")).join(t.select("site", "t").distinct(), ["site", "t"], "left_semi")
+    often = ut.groupBy("site", "t").agg(F.count("*").alias("n"))
+    mine = Window.partitionBy("id")
+    rare = t.join(often, ["site", "t"]).withColumn("place", F.row_number().over(mine.orderBy("n", "t"))).withColumn("m", F.count("*").over(mine)).where(F.col("place") <= F.col("m") - F.col("need") + 1)
+    pairs = rare.join(ut, ["site", "t"]).where("own <> claim_id").select("id", "pid").distinct()
+    return first.union(pairs.join(left.drop("site"), "id").join(shown.drop("site"), "pid").where(agree).select("id").distinct())
+
+
+def _worded(claim: DataFrame, passage: DataFrame) -> DataFrame:
+    """s of the claims that share words with steps or tables (metrics: tables) of other claims. Services and metrics need
+    two words in common, others three. Copies of claims, and of passages, are one. Other passages say no more of a claim
+    than it has without any, and aren't read."""
+    c = claim.where("type in ('service', 'specification', 'requirement', 'factual', 'metric')").withColumn("id", F.xxhash64("site", "claim_id", "type"))
+    u = passage.where(F.col("u_type").isin(*PROOF)).withColumn("words", F.array_sort(text.tokens(F.col("u_text"))))
+    u = u.groupBy("site", "own", "words").agg(F.max(F.col("u_type") == "TABLE").alias("table"))
+    need = F.when(F.col("type").isin("service", "metric"), 2).otherwise(3)
+    one = c.join(u.select("site").distinct(), "site", "left_semi").dropDuplicates(["site", "claim_id", "type"])
+    one = one.select("id", "site", "claim_id", "type", need.alias("need"), text.tokens(F.col("text")).alias("words"))
+    ids = _backed(one.where("size(words) >= need"), u.where("size(words) >= 2"))
+    return c.join(ids, "id", "left_semi").select("site", "url", "claim_id", F.lit(2).alias("s"))
+
+
 def ground_claims(claim: DataFrame, passage: DataFrame) -> DataFrame:
     """Claims with support: what other passages of the site say of them.
 
     SUPPORTED_ON_SITE, PARTIALLY_SUPPORTED, UNCORROBORATED_ON_SITE, or CONTRADICTED_ON_SITE (another founding year).
     Passages meet claims on a shared subject, or on shared content words."""
-    u = passage.select("site", F.col("url").alias("u_url"), "key", F.col("type").alias("u_type"), F.col("text").alias("u_text"), "own")
-    other = F.col("own") != F.col("claim_id")
-    std = u.withColumn("subject", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("u_text", F.lit(STANDARD), F.lit(1)), lambda x: F.upper(F.regexp_replace(x, r"\s+", " "))))))
-    a = claim.where("type = 'accreditation'").join(std, ["site", "subject"]).where(other)
-    a = a.groupBy("site", "url", "claim_id").agg(F.max(F.when((F.length("u_text") >= 120) | F.col("u_text").rlike(r"(?i)\b(scope|method|testing|calibration|accredited)\b"), 2).otherwise(1)).alias("s"))
-    years = u.withColumn("year", F.explode(F.array_distinct(F.regexp_extract_all("u_text", F.lit(FOUNDED), F.lit(1)))))
-    f = claim.where("type = 'founding'").join(years, "site").where(other)
-    f = f.groupBy("site", "url", "claim_id").agg(F.max(F.when(F.col("year") != F.col("subject"), 3).otherwise(2)).alias("s"))
-    words = text.tokens(F.col("text"))
-    tok = claim.where("type in ('service', 'specification', 'requirement', 'factual', 'metric')").withColumn("t", F.explode(words))
-    ut = u.withColumn("t", F.explode(text.tokens(F.col("u_text"))))
-    pair = tok.join(ut, ["site", "t"]).where(other).groupBy("site", "url", "claim_id", "type", "u_url", "key", "u_type").agg(F.count("*").alias("n"))
-    proof = F.col("u_type").isin("PROCEDURE_STEPS", "TABLE")
-    score = F.when(F.col("type") == "service", F.when((F.col("n") >= 2) & proof, 2).when((F.col("n") >= 2) & (F.col("u_url") != F.col("url")), 1)).when(F.col("type") == "metric", F.when((F.col("n") >= 2) & (F.col("u_type") == "TABLE"), 2)).otherwise(F.when((F.col("n") >= 3) & proof, 2))
-    w = pair.groupBy("site", "url", "claim_id").agg(F.max(score).alias("s"))
-    all_ = a.union(f).union(w).groupBy("site", "url", "claim_id").agg(F.max("s").alias("s"))
+    u = passage.select("site", F.col("url").alias("u_url"), F.col("type").alias("u_type"), F.col("text").alias("u_text"), "own")
+    all_ = _accredited(claim, u).union(_founded(claim, u)).union(_worded(claim, u)).groupBy("site", "url", "claim_id").agg(F.max("s").alias("s"))
     j = claim.join(all_, ["site", "url", "claim_id"], "left")
     none = F.when(F.col("type").isin("accreditation"), "UNCORROBORATED_ON_SITE").when(F.col("type") == "contact", "SUPPORTED_ON_SITE").otherwise("PARTIALLY_SUPPORTED")
     return j.withColumn("support", F.when(F.col("s") == 3, "CONTRADICTED_ON_SITE").when(F.col("s") == 2, "SUPPORTED_ON_SITE").when(F.col("s") == 1, "PARTIALLY_SUPPORTED").otherwise(none)).drop("s")

@@ -56,7 +56,7 @@ def audit(
     fit = settle(eligibility.eligibility(parsed, maps, link, allowed, telemetry))
     barriers = answers.waf(records)
     broken, unclear = links.broken_links(link, records), links.ambiguous_anchors(link)
-    grounded = answers.ground_claims(answers.claims(good, units), answers.passages(good, units))
+    grounded = answers.ground_claims(answers.claims(good, units), answers.passages(good, units, evidence=True))
     findings, access = technical.security(parsed, tls), technical.accessibility(good)
     cite = settle(scores.citability(good))
     trust = scores.trust(good, cite)

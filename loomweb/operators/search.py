@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text, urls
 from ..functions.dims import STOPWORDS
+from ..plans.shared import keep
 
 # Words of navigation that are no search terms.
 GENERIC = ("home", "page", "click", "here", "read", "more", "menu", "contact", "about", "privacy", "policy", "terms", "login", "search", "view", "details", "copyright", "rights", "reserved", "skip", "content", "image", "photo", "icon", "logo")
@@ -33,17 +34,24 @@ def _pieces(source: Column, location: str, split: str, least: int, most_words: i
 
 def content_terms(parsed: DataFrame) -> DataFrame:
     """site, url, raw, n: the 30 most frequent words, and the 25 most frequent phrases of 2 to 4 words without function
-    words between, that a main text has twice or more. Phrases come from positions, runs by gaps and islands."""
-    word = parsed.select("site", "url", F.posexplode(F.regexp_extract_all(F.lower(F.col("p.main_text")), F.lit(r"[\p{L}\p{N}]+(?:-[\p{L}\p{N}]+)?"), F.lit(0))).alias("i", "w"))
-    stop = _ignored(F.col("w")) | (F.length("w") < 2)
-    word = word.withColumn("gap", F.sum(F.when(stop, 1).otherwise(0)).over(Window.partitionBy("site", "url").orderBy("i").rowsBetween(Window.unboundedPreceding, 0))).where(~stop)
-    single = word.where(F.length("w") >= 3).groupBy("site", "url", F.col("w").alias("raw")).agg(F.count("*").alias("n"))
-    run = Window.partitionBy("site", "url", "gap").orderBy("i")
-    phrase = word.select("site", "url", "w", *[F.lead("w", k).over(run).alias(f"w{k}") for k in (1, 2, 3)])
-    grams = F.filter(F.array(F.concat_ws(" ", "w", "w1"), F.when(F.col("w2").isNotNull(), F.concat_ws(" ", "w", "w1", "w2")), F.when(F.col("w3").isNotNull(), F.concat_ws(" ", "w", "w1", "w2", "w3"))), lambda x: x.isNotNull())
-    many = phrase.where("w1 is not null").select("site", "url", F.explode(grams).alias("raw")).groupBy("site", "url", "raw").agg(F.count("*").alias("n"))
-    top = lambda df, k, *order: df.where("n >= 2").withColumn("k", F.row_number().over(Window.partitionBy("site", "url").orderBy(*order))).where(F.col("k") <= k).drop("k")
-    return top(single, 30, F.desc("n"), "raw").union(top(many, 25, F.desc("n"), F.desc(F.length("raw")), "raw"))
+    words between, that a main text has twice or more. Phrases come from shifted copies of a page's words; only what
+    stands twice in a page leaves its row."""
+    found = F.regexp_extract_all(F.lower(F.col("p.main_text")), F.lit(r"[\p{L}\p{N}]+(?:-[\p{L}\p{N}]+)?"), F.lit(0))
+    page = parsed.select("site", "url", F.transform(found, lambda w: F.when(~(_ignored(w) | (F.length(w) < 2)), w)).alias("w"))
+    joined = lambda a, b: F.concat(a, F.lit(" "), b)
+    rest = lambda k: F.slice("w", k, F.greatest(F.size("w"), F.lit(1)))
+    page = page.withColumn("g2", F.zip_with("w", rest(2), joined)).withColumn("g3", F.zip_with("g2", rest(3), joined)).withColumn("g4", F.zip_with("g3", rest(4), joined))
+
+    def top(terms: Column, k: int, *order) -> DataFrame:
+        t = page.select("site", "url", F.array_sort(F.filter(terms, lambda x: x.isNotNull())).alias("t"))
+        same = lambda x, y: F.when(x == y, x)
+        # of n equal terms in order n - 1 equal the next
+        t = t.select("site", "url", F.explode(F.filter(F.zip_with("t", F.slice("t", 2, F.greatest(F.size("t"), F.lit(1))), same), lambda x: x.isNotNull())).alias("raw"))
+        t = t.groupBy("site", "url", "raw").agg((F.count("*") + 1).alias("n"))
+        return t.withColumn("k", F.row_number().over(Window.partitionBy("site", "url").orderBy(*order))).where(F.col("k") <= k).drop("k")
+
+    single = F.filter("w", lambda x: F.length(x) >= 3)
+    return top(single, 30, F.desc("n"), "raw").union(top(F.concat("g2", "g3", "g4"), 25, F.desc("n"), F.desc(F.length("raw")), "raw"))
 
 
 def _heading_terms(level: int):
@@ -369,3 +377,51 @@ def depth_gaps(concept: DataFrame, topics: DataFrame, parsed: DataFrame, most: i
     cond = (F.col("s_url") != F.col("r_url")) & (F.col("r_h") >= 3) & (F.col("s_h") <= 1) & ((F.col("r_w") >= 300) | (F.col("r_w") >= 2 * F.greatest("s_w", F.lit(1))) | (F.col("s_h") == 0))
     out = a.join(b, ["site", "topic"]).where(cond)
     return _top(out.select("site", "topic", F.col("s_url").alias("source_url"), F.col("r_url").alias("related_url"), F.lit("CONTENT_DEPTH_ASYMMETRY").alias("gap_type"), F.slice(F.array_except("r_hs", "s_hs"), 1, 4).alias("missing")), most, "topic", "source_url", "related_url")
+
+
+def gap_classes(concept: DataFrame, topics: DataFrame, parsed: DataFrame) -> DataFrame:
+    """The pairs of topic_gaps and depth_gaps without writing them out: they grow with the square of a topic's pages.
+
+    site, topic, url of each page of a topic, with
+    * class_id: the smallest URL of the site's pages with its topics and concepts; is_concept: whether the topic is one of
+      its concepts, so that the rows of a URL hold them all;
+    * offers: whether it has two concepts or more beside the topic; gaps: the number of the topic's pages of which it lacks
+      two concepts or more; without: the classes, its own aside, that offer something and of which it doesn't. Every
+      other page that offers is one of its gaps, and misses what that has and it has not, the topic aside;
+    * h2, words; depth_gaps and depth_words: the number of the topic's pages with three H2 or more and so many words or
+      more, which are its gaps in depth; 0 and null for a page with two H2 or more.
+
+    Pages without a gap between them are few and found exactly: of the three rarest concepts of the related one (of two,
+    if it has no more) the source has one.
+    """
+    t = _topic_pages(concept, topics)
+    of = lambda df, c: df.groupBy("site", "url").agg(F.sort_array(F.collect_set(c)).alias(c))
+    page = of(concept, "concept").join(of(t, "topic"), ["site", "url"]).withColumn("class", F.xxhash64("concept", "topic"))
+    named = ["site", "concept", "topic", "class"]
+    member = keep(page.select("site", "url", "class"))
+    c = keep(page.groupBy(*named).agg(F.min("url").alias("class_id"), F.count("*").alias("size")))
+    item = c.select("site", "class", F.explode("concept").alias("x"), F.size("concept").alias("m"))
+    often = item.groupBy("site", "x").agg(F.count("*").alias("n"))
+    rare = item.where("m >= 2").join(often, ["site", "x"]).withColumn("k", F.row_number().over(Window.partitionBy("site", "class").orderBy("n", "x"))).where("k <= 3")
+    met = item.select("site", "x", F.col("class").alias("source")).join(rare.select("site", "x", F.col("class").alias("related")), ["site", "x"]).where("source <> related").select("site", "source", "related").distinct()
+    a, b = c.toDF("site", "sb", "st", "source", "source_id", "source_size"), c.toDF("site", "rb", "rt", "related", "related_id", "related_size")
+    lacks = F.array_except("rb", "sb")
+    met = met.join(a, ["site", "source"]).join(b, ["site", "related"]).withColumn("lacks", lacks).where("size(lacks) <= 2")
+    # of topics of both: the related class offers, and the source lacks one concept or none, the topic aside
+    less = F.filter(F.array_intersect("st", "rt"), lambda x: (F.size(F.array_remove("rb", x)) >= 2) & (F.size(F.array_remove("lacks", x)) <= 1))
+    less = met.select("site", F.col("source").alias("class"), "related_id", "related_size", F.explode(less).alias("topic"))
+    less = less.groupBy("site", "class", "topic").agg(F.sort_array(F.collect_list("related_id")).alias("without"), F.sum("related_size").alias("not_gaps"))
+    each = c.select("site", "class", "class_id", "size", F.explode("topic").alias("topic"), "concept")
+    each = each.select("site", "class", "class_id", "size", "topic", F.array_contains("concept", F.col("topic")).alias("is_concept"), (F.size(F.array_remove("concept", F.col("topic"))) >= 2).alias("offers"))
+    total = each.groupBy("site", "topic").agg(F.sum(F.when(F.col("offers"), F.col("size")).otherwise(0)).alias("all"))
+    each = each.join(less, ["site", "class", "topic"], "left").join(total, ["site", "topic"])
+    own = F.when(F.col("offers"), F.col("size")).otherwise(0)
+    each = each.select("site", "class", "class_id", "topic", "is_concept", "offers", (F.col("all") - own - F.coalesce("not_gaps", F.lit(0))).alias("gaps"), F.coalesce("without", F.array().cast("array<string>")).alias("without"))
+    out = member.join(each, ["site", "class"]).drop("class")
+    size = parsed.where("p is not null").select("site", "url", F.size(F.filter("p.headings", lambda h: h["level"] == 2)).alias("h2"), text.word_count(F.col("p.main_text")).alias("words"))
+    out = keep(out.join(size, ["site", "url"]).withColumn("depth_words", F.when(F.col("h2") == 0, 0).when(F.col("h2") == 1, F.least(F.lit(300), 2 * F.greatest("words", F.lit(1))))))
+    # a topic has 301 such numbers at most
+    deep = out.where("h2 >= 3").groupBy("site", "topic", F.least("words", F.lit(300)).alias("w")).agg(F.count("*").alias("n")).groupBy("site", "topic").agg(F.collect_list(F.struct("w", "n")).alias("deep"))
+    n = F.aggregate("deep", F.lit(0).cast("long"), lambda s, x: s + F.when(x["w"] >= F.col("depth_words"), x["n"]).otherwise(0))
+    out = out.join(deep, ["site", "topic"], "left").withColumn("depth_gaps", F.coalesce(n, F.lit(0)))
+    return out.select("site", "topic", "url", "class_id", "is_concept", "offers", "gaps", "without", "h2", "words", "depth_gaps", "depth_words")

@@ -40,7 +40,14 @@ def keep(df: DataFrame) -> DataFrame:
         df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._kept_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a kept table that nothing still to be computed reads."""
+    _delete(df.sparkSession, df._kept_path)
 
 
 #: Whether Spark deletes the shuffle files of a run when the run ends.

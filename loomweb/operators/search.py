@@ -280,9 +280,8 @@ def _hint(category: str, kind: str, points: int, place: str):
     return lambda x: F.struct(F.lit(category).alias("category"), F.lit(kind).alias("kind"), F.lit(points).alias("points"), F.lit(place).alias("place"), F.substring(x, 1, 120).alias("observed"))
 
 
-def intent_evidence(parsed: DataFrame) -> DataFrame:
-    """site, url, category, kind, points, place, observed: each hint at a page's purpose."""
-    p = parsed.where("p is not null")
+def intent_hints() -> Column:
+    """Array of (category, kind, points, place, observed) over a page's `p` and URL."""
     sources = {
         "heading": F.transform("p.headings", lambda h: h["text"]), "action": F.concat(F.transform("p.links", lambda x: x["text"]), F.transform("p.forms", lambda f: F.coalesce(f["submit"], F.lit("")))), "schema": schema_types(),
         "path": F.array(urls.path(F.col("url"))), "text": F.array("p.visible_text"), "form": F.transform("p.forms", lambda f: f["purpose"]), "iframe": F.transform(F.filter("p.resources", lambda r: r["tag"] == "iframe"), lambda r: r["url"]),
@@ -291,7 +290,12 @@ def intent_evidence(parsed: DataFrame) -> DataFrame:
     for category, kind, points, place, pattern in INTENTS:
         hits = F.filter(sources[place], _matches(pattern))
         parts.append(F.transform(hits, _hint(category, kind, points, place)))
-    return p.select("site", "url", F.explode(F.concat(*parts)).alias("e")).select("site", "url", "e.*")
+    return F.concat(*parts)
+
+
+def intent_evidence(parsed: DataFrame) -> DataFrame:
+    """site, url, category, kind, points, place, observed: each hint at a page's purpose."""
+    return parsed.where("p is not null").select("site", "url", F.explode(intent_hints()).alias("e")).select("site", "url", "e.*")
 
 
 def intents(evidence: DataFrame, pages: DataFrame) -> DataFrame:
@@ -326,29 +330,69 @@ def coverage(concept: DataFrame, topics: DataFrame, intent: DataFrame) -> DataFr
 # --- pairs of pages ---
 
 
+def _meeting(sets: DataFrame, least: int) -> DataFrame:
+    """a, b: ids of sets (id, scope, w: array) of one scope that may have a Jaccard similarity of `least` hundredths.
+
+    No such pair is missed: of two sets in order of size, so many of the rarest words of the smaller suffice as the larger
+    one has no fewer, and more of the larger. Sizes and places are whole numbers, so nothing is lost by rounding.
+    """
+    up = lambda x, y: F.expr(f"({x} + {y} - 1) div ({y})")
+    words = sets.where("size(w) > 0").select("scope", "id", F.size("w").alias("n"), F.explode("w").alias("t"))
+    often = words.groupBy("scope", "t").agg(F.count("*").alias("df")).where("df > 1")
+    mine = Window.partitionBy("scope", "id")
+    words = words.join(often, ["scope", "t"]).withColumn("place", F.row_number().over(mine.orderBy("df", "t")) + F.col("n") - F.count("*").over(mine))
+    words = words.where(F.col("place") <= F.col("n") - up(f"{least} * n", 100) + 1)
+    x = words.where(F.col("place") <= F.col("n") - up(f"{2 * least} * n", 100 + least) + 1).select("scope", "t", F.col("id").alias("a"), F.col("n").alias("na"))
+    y = words.select("scope", "t", F.col("id").alias("b"), F.col("n").alias("nb"))
+    fits = (F.struct("na", "a") < F.struct("nb", "b")) & (100 * F.col("na") >= least * F.col("nb"))
+    return x.join(y, ["scope", "t"]).where(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def cannibalization(concept: DataFrame, topics: DataFrame, parsed: DataFrame, intent: DataFrame, family: bool = True, most: int | None = None) -> DataFrame:
     """site, topic, url_a < url_b, title and H1 similarity, shared intent and concepts, strength of pages that may
     compete: both strong on a topic, titles or H1s alike, the same intent (or a commercial and a transactional one; with
-    family its kinds count as transactional), and a concept in common."""
+    family its kinds count as transactional), and a concept in common.
+
+    The pages of a topic aren't paired: those without an intent have no rival, and those of one intent meet, as classes of
+    equal titles and H1s, on the rarer words of these. Only pairs whose titles or H1s are alike are looked at for topics.
+    """
+    fold = lambda c: F.when(c.startswith("transactional"), "transactional").otherwise(c) if family else c
+    known = intent.select("site", "url", "intent").where("intent <> 'unspecified'")
+    concept, topics = (x.join(known, ["site", "url"], "left_semi") for x in (concept, topics))
     t = topics.select("site", "url", "topic").union(concept.select("site", "url", F.col("concept"))).distinct()
     t = t.join(concept.select("site", "url", F.col("concept").alias("topic"), "strength"), ["site", "url", "topic"], "left").withColumn("strength", F.coalesce("strength", F.lit("SUPPORTED"))).where("strength <> 'WEAK'")
+    t = t.groupBy("site", "url").agg(F.collect_list(F.struct("topic", "strength")).alias("ts"))
     bag = concept.groupBy("site", "url").agg(F.collect_set("concept").alias("bag"))
-    page = parsed.where("p is not null").select("site", "url", text.tokens(F.col("p.title")).alias("tt"), text.tokens(F.try_element_at("p.h1", F.lit(1))).alias("ht")).join(intent.select("site", "url", "intent"), ["site", "url"]).join(bag, ["site", "url"], "left")
-    full = t.join(page, ["site", "url"])
-    a = full.select("site", "topic", *[F.col(c).alias(f"{c}_a") for c in ("url", "strength", "tt", "ht", "intent", "bag")])
-    b = full.select("site", "topic", *[F.col(c).alias(f"{c}_b") for c in ("url", "strength", "tt", "ht", "intent", "bag")])
-    pair = a.join(b, ["site", "topic"]).where("url_a < url_b").withColumn("title_similarity", text.jaccard(F.col("tt_a"), F.col("tt_b"))).withColumn("h1_similarity", text.jaccard(F.col("ht_a"), F.col("ht_b")))
-    toks = text.tokens(F.col("topic"))
-    named = (F.size(toks) >= 2) & (F.size(F.array_except(toks, F.col("tt_a"))) == 0) & (F.size(F.array_except(toks, F.col("tt_b"))) == 0)
-    alike = (F.col("title_similarity") >= 0.35) | (F.col("h1_similarity") >= 0.35) | (named & ((F.col("title_similarity") >= 0.2) | (F.col("h1_similarity") >= 0.2)))
-    fold = lambda c: F.when(c.startswith("transactional"), "transactional").otherwise(c) if family else c
-    ia, ib = fold(F.col("intent_a")), fold(F.col("intent_b"))
-    same = (ia == ib) & (ia != "unspecified")
-    near = (F.least(ia, ib) == "commercial") & (F.greatest(ia, ib) == "transactional")
-    shared = F.sort_array(F.array_intersect(F.coalesce("bag_a", F.array().cast("array<string>")), F.coalesce("bag_b", F.array().cast("array<string>"))))
-    out = pair.where(alike & (same | near)).withColumn("shared", shared).where("size(shared) > 0")
-    strength = F.when((F.col("strength_a") == "DIRECT") & (F.col("strength_b") == "DIRECT"), "DIRECT").otherwise("SUPPORTED")
-    out = out.select("site", "topic", "url_a", "url_b", strength.alias("strength"), F.when(same, F.col("intent_a")).otherwise("commercial").alias("shared_intent"), F.round("title_similarity", 3).alias("title_similarity"), F.round("h1_similarity", 3).alias("h1_similarity"), F.slice("shared", 1, 8).alias("shared_concepts"))
+    page = parsed.where("p is not null").select("site", "url", F.sort_array(text.tokens(F.col("p.title"))).alias("tt"), F.sort_array(text.tokens(F.try_element_at("p.h1", F.lit(1)))).alias("ht"))
+    page = page.join(known, ["site", "url"]).join(t, ["site", "url"]).join(bag, ["site", "url"])
+    kind = fold(F.col("intent"))
+    scope = F.concat_ws("\n", "site", F.when(kind.isin("commercial", "transactional"), "commercial").otherwise(kind))
+    page = page.withColumn("scope", scope).withColumn("id", F.md5(F.concat_ws("\n", "scope", F.array_join("tt", " "), F.array_join("ht", " "))))
+    # topics of several words that the title has
+    named = F.filter(F.transform("ts", lambda x: x["topic"]), lambda x: (F.size(text.tokens(x)) >= 2) & (F.size(F.array_except(text.tokens(x), F.col("tt"))) == 0))
+    page = keep(page.withColumn("named", F.array_distinct(named)))
+    one = keep(page.groupBy("id").agg(F.first("scope").alias("scope"), F.first("tt").alias("tt"), F.first("ht").alias("ht"), F.array_distinct(F.flatten(F.collect_set("named"))).alias("named")))
+    sets = lambda w: one.select("id", "scope", F.col(w).alias("w"), "named")
+    some = lambda w: sets(w).where("size(named) > 0")
+    met = _meeting(sets("tt"), 35).union(_meeting(sets("ht"), 35)).union(_meeting(some("tt"), 20)).union(_meeting(some("ht"), 20)).distinct()
+    met = met.union(one.where("size(tt) > 0 or size(ht) > 0").select("id", F.col("id").alias("b")))
+    side = lambda df, x, *cs: df.select(F.col("id").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in cs])
+    met = met.join(side(one, "a", "tt", "ht", "named"), "a").join(side(one, "b", "tt", "ht", "named"), "b")
+    met = met.withColumn("title_similarity", text.jaccard(F.col("tt_a"), F.col("tt_b"))).withColumn("h1_similarity", text.jaccard(F.col("ht_a"), F.col("ht_b")))
+    best = F.greatest("title_similarity", "h1_similarity")
+    met = keep(met.where((best >= 0.35) | ((best >= 0.2) & F.arrays_overlap("named_a", "named_b"))).select("a", "b", "title_similarity", "h1_similarity"))
+    both = met.union(met.where("a <> b").select("b", "a", "title_similarity", "h1_similarity"))
+    columns = ("url", "ts", "intent", "bag", "named")
+    pair = both.join(side(page, "a", "site", *columns), "a").join(side(page, "b", *columns), "b").where("url_a < url_b").withColumnRenamed("site_a", "site")
+    same = fold(F.col("intent_a")) == fold(F.col("intent_b"))
+    pair = pair.withColumn("shared", F.slice(F.sort_array(F.array_intersect("bag_a", "bag_b")), 1, 8)).where("size(shared) > 0")
+    topic = lambda ts: F.transform(ts, lambda x: x["topic"])
+    common = F.array_intersect(topic("ts_a"), topic("ts_b"))
+    common = F.when(best >= 0.35, common).otherwise(F.array_intersect(common, F.array_intersect("named_a", "named_b")))
+    of = lambda x: F.filter(f"ts_{x}", lambda y: y["topic"] == F.col("topic"))
+    out = pair.withColumn("topic", F.explode(common)).withColumn("strong_a", F.explode(of("a"))).withColumn("strong_b", F.explode(of("b")))
+    strength = F.when((F.col("strong_a.strength") == "DIRECT") & (F.col("strong_b.strength") == "DIRECT"), "DIRECT").otherwise("SUPPORTED")
+    out = out.select("site", "topic", "url_a", "url_b", strength.alias("strength"), F.when(same, F.col("intent_a")).otherwise("commercial").alias("shared_intent"), F.round("title_similarity", 3).alias("title_similarity"), F.round("h1_similarity", 3).alias("h1_similarity"), F.col("shared").alias("shared_concepts"))
     return _top(out, most, "topic", "url_a", "url_b")
 
 

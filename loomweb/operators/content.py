@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import functools
 import math
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
 from ..functions.dims import STOPWORDS
-from ..plans.shared import settle
+from ..plans.shared import discard, keep, small_batches
 
 # Phrases of unfinished pages.
 PLACEHOLDER = r"(?i)\b(lorem ipsum|under construction|coming soon|page intentionally left blank|insert text here|sample text|dummy text|template placeholder)\b"
@@ -96,7 +98,6 @@ def _lists(c: DataFrame, near: float, k: int, full: int = 128) -> DataFrame:
     is raised until that is so of every text.
     """
     import numpy as np
-    import pyarrow as pa
 
     kind = "id bigint, n int, weak int, l0 int, l1 int, tokens array<bigint>"
     cut = int(-(2**63) + min(0.999, 2.2 * (1 - near) + 0.005) * 2**64)
@@ -127,54 +128,94 @@ def _lists(c: DataFrame, near: float, k: int, full: int = 128) -> DataFrame:
 
     hashed = c.select("id", F.xxhash64("site", F.size("w") >= k).alias("salt"), F.transform("w", lambda x: F.xxhash64(x)).alias("w"))
     while True:
-        out = settle(hashed.mapInArrow(lists(full, int(full * near)), kind))
+        out = keep(hashed.mapInArrow(lists(full, int(full * near)), kind))
         weak = out.agg(F.max("weak")).first()[0] or 0
         if weak <= int(full * near):
             return out
+        discard(out)
         full = math.ceil((weak + 1) / near)
 
 
+#: Shingles are counted in so many parts, of which one at a time has its shuffles on disk.
+PARTS = 4
+
+
+def _repeated(lists: DataFrame, part: int) -> DataFrame:
+    """t, id, df of a part of the shingles in lists: those that several texts have, and how many."""
+    tokens = lists.select("id", F.explode("tokens").alias("t")).where(F.pmod(F.shiftright("t", 1), F.lit(PARTS)) == part)
+    return tokens.join(tokens.groupBy("t").agg(F.count("*").cast("int").alias("df")).where("df > 1"), "t")
+
+
 def near_duplicates(content: DataFrame, threshold: float = 0.80, k: int = 3) -> DataFrame:
     """url_a < url_b, similarity (percent, one place) and hamming distance of pages of a site that share most shingles.
 
     Only what differs by 12 bits of the fingerprint or 30 words at most counts, and pages with equal hashes don't. The
     candidates share one of the rarest of a text's shingles, enough of them that no pair at the threshold is missed: the
     verdict is on the similarity to four places, so the filter leaves that much room. Texts of fewer than k words are
-    compared with all of few words by their words instead, as are they with longer ones by a shared word.
+    compared with all of few words by their words instead, as are they with longer ones by a shared word. Fingerprints
+    are made of texts that have a partner alone.
     """
-    named = ["site", "words", "content_hash", "simhash"]
-    rows = settle(content.where("words > 0").select(*named, "url"))
-    # pages of one hash, number of words and fingerprint are one class: searched once, and paired at the end alone
-    classes = rows.groupBy(*named).agg(F.min("url").alias("url"))
-    texts = content.where("words > 0").select("site", "url", "main_text").dropDuplicates(["site", "url"])
-    c = settle(classes.join(texts, ["site", "url"]).withColumn("id", F.monotonically_increasing_id()))
+    small_batches(content.sparkSession)
+    named = ["site", "words", "content_hash"]
+    base = keep(content.where("words > 0").select(*named, "url", text.stripped(F.col("main_text")).alias("s")))
+    rows = keep(base.drop("s"))
+    # pages of one hash and number of words are one class: searched once, and paired at the end alone
+    c = base.dropDuplicates(named).select(*named, "s", F.when(F.col("s") == "", 0).otherwise(F.size(F.split("s", " "))).alias("nw"))
+    c = keep(c.withColumn("id", F.monotonically_increasing_id()))
+    discard(base)
+    w = F.when(F.col("s") == "", F.array().cast("array<string>")).otherwise(F.split("s", " "))
     near = threshold - 0.00005
-    lists = _lists(c.withColumn("w", text.words(F.col("main_text"))), near, k)
-    tokens = lists.select("id", "n", "l0", "l1", F.explode("tokens").alias("t"))
-    frequency = tokens.groupBy("t").agg(F.count("*").cast("int").alias("df")).where("df > 1")
+    lists = _lists(c.withColumn("w", w), near, k)
+    parts = [keep(_repeated(lists, i)) for i in range(PARTS)]
     level = F.col("t").bitwiseAND(F.lit(1))
     mine = Window.partitionBy("id", level)
-    ranked = tokens.join(frequency, "t").withColumn("place", F.row_number().over(mine.orderBy("df", "t"))).withColumn("m", F.count("*").over(mine))
+    ranked = functools.reduce(lambda x, y: x.union(y), parts).withColumn("place", F.row_number().over(mine.orderBy("df", "t"))).withColumn("m", F.count("*").over(mine)).join(lists.select("id", "n", "l0", "l1"), "id")
     room = F.col("n") - F.ceil(F.col("n") * near) + 1  # of the listed shingles so many rarest ones suffice
-    prefix = settle(ranked.where(F.col("place") + F.when(level == 0, F.col("l0")).otherwise(F.col("l1")) - F.col("m") <= room).select("t", "id", "n"))
+    prefix = keep(ranked.where(F.col("place") + F.when(level == 0, F.col("l0")).otherwise(F.col("l1")) - F.col("m") <= room).select("t", "id", "n"))
+    for x in parts:
+        discard(x)
     a, b = prefix.toDF("t", "a", "na"), prefix.toDF("t", "b", "nb")
     fits = F.least("na", "nb") >= F.greatest("na", "nb") * near
     pairs = a.join(b, "t").where((F.col("a") < F.col("b")) & fits).select("a", "b")
-    short = c.withColumn("w", text.words(F.col("main_text")))
-    few = short.where(F.size("w") < k).select("site", "id", F.explode(F.array_distinct("w")).alias("t"))
-    other = short.where((F.size("w") >= k) & (F.size(F.array_distinct("w")) <= k / threshold)).select("site", F.col("id").alias("v"), F.explode(F.array_distinct("w")).alias("t"))
+    few = c.where(F.col("nw").between(1, k - 1)).select("site", "id", F.explode(F.array_distinct(w)).alias("t"))
+    # so many words at most, so no more shingles than these
+    most = int(k / threshold)
+    other = c.where(F.col("nw") >= k).join(lists.where(F.col("n") <= most**k).select("id"), "id", "left_semi").select("site", F.col("id").alias("v"), F.array_distinct(w).alias("t")).where(F.size("t") <= most).withColumn("t", F.explode("t"))
     mixed = few.join(other, ["site", "t"]).select(F.least("id", "v").alias("a"), F.greatest("id", "v").alias("b"))
-    pairs = settle(pairs.union(mixed).distinct())
+    pairs = keep(pairs.union(mixed).distinct())
+    discard(lists)
+    discard(prefix)
     wanted = c.join(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi")
-    side = lambda x: wanted.select(F.col("id").alias(x), F.col("site").alias(f"site_{x}"), F.col("main_text").alias(f"t_{x}"), F.col("words").alias(f"n_{x}"), F.col("content_hash").alias(f"h_{x}"), F.col("simhash").alias(f"f_{x}"))
-    j = pairs.join(side("a"), "a").join(side("b"), "b").where("site_a = site_b").withColumn("j", text.shingle_jaccard(F.col("t_a"), F.col("t_b"), k))
-    j = j.withColumn("hamming", text.hamming(F.col("f_a"), F.col("f_b")))
-    gate = (F.col("hamming") <= 12) | (F.abs(F.col("n_a") - F.col("n_b")) <= 30)
-    j = j.where(gate & (F.col("j") >= threshold) & (F.col("h_a") != F.col("h_b"))).select(F.col("site_a").alias("site"), *[F.col(f"{v}_{x}") for x in "ab" for v in "nhf"], F.round(F.col("j") * 100, 1).alias("similarity"), "hamming")
+    side = lambda x: wanted.select(F.col("id").alias(x), F.col("s").alias(f"s_{x}"), *[F.col(v).alias(f"{v}_{x}") for v in named])
+    j = pairs.join(side("a"), "a").join(side("b"), "b").where("site_a = site_b and content_hash_a <> content_hash_b").withColumn("o", _overlap(k)(F.col("s_a"), F.col("s_b")))
+    j = j.select("a", "b", F.col("site_a").alias("site"), F.abs(F.col("words_a") - F.col("words_b")).alias("dn"), F.when(F.col("o.whole") > 0, F.round(F.col("o.both") / F.col("o.whole"), 4)).otherwise(0.0).alias("j"))
+    j = keep(j.where(F.col("j") >= threshold))
+    found = c.join(j.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi").select("id", *named)
+    texts = content.select("site", "url", "main_text").join(rows.join(found, named, "left_semi").select("site", "url"), ["site", "url"], "left_semi")
+    # never null: else a filter on that is inferred, which would hash all texts before the join above
+    texts = texts.select("site", "url", "main_text", text.word_count(F.col("main_text")).alias("words"), F.coalesce(text.content_hash(F.col("main_text")), F.lit("")).alias("content_hash"))
+    own = keep(texts.join(found, named).select("id", "url", text.simhash(F.col("main_text")).alias("f")))
     for x in "ab":
-        own = rows.select(F.col("site").alias("_s"), F.col("words").alias("_n"), F.col("content_hash").alias("_h"), F.col("simhash").alias("_f"), F.col("url").alias(f"u_{x}"))
-        j = j.join(own, (F.col("site") == F.col("_s")) & (F.col(f"n_{x}") == F.col("_n")) & (F.col(f"h_{x}") == F.col("_h")) & F.col(f"f_{x}").eqNullSafe(F.col("_f"))).drop("_s", "_n", "_h", "_f")
-    return j.select("site", F.least("u_a", "u_b").alias("url_a"), F.greatest("u_a", "u_b").alias("url_b"), "similarity", "hamming")
+        j = j.join(own.toDF(x, f"u_{x}", f"f_{x}"), x)
+    j = j.withColumn("hamming", text.hamming(F.col("f_a"), F.col("f_b"))).where((F.col("hamming") <= 12) | (F.col("dn") <= 30))
+    return j.select("site", F.least("u_a", "u_b").alias("url_a"), F.greatest("u_a", "u_b").alias("url_b"), F.round(F.col("j") * 100, 1).alias("similarity"), "hamming")
+
+
+def _overlap(k: int):
+    """both, whole: sizes of intersection and union of two texts' shingles of k words, or words if either has fewer."""
+
+    def run(a: pa.Array, b: pa.Array) -> pa.Array:
+        out = []
+        for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True):
+            x, y = x.split(" ") if x else [], y.split(" ") if y else []
+            if len(x) >= k and len(y) >= k:
+                x, y = (zip(*[w[i:] for i in range(k)], strict=False) for w in (x, y))
+            x, y = set(x), set(y)
+            both = len(x & y)
+            out.append({"both": both, "whole": len(x) + len(y) - both})
+        return pa.array(out, pa.struct([("both", pa.int32()), ("whole", pa.int32())]))
+
+    return F.arrow_udf(run, "both int, whole int")
 
 
 def boilerplate(content: DataFrame, top: int | None = 10) -> DataFrame:
